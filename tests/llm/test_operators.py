@@ -1,0 +1,389 @@
+"""Each operator against a brute-force version, and the defined edge cases."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from weftline.llm import ann, decontaminate, jaccard, langid, mixing, pii, quality, tokenorder, toxicity, urlfilter
+from weftline.llm import textvec as tv
+from weftline.llm.common import Scratch
+
+SF = "/root/testdata/sf0.01"
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, c string"
+
+
+@pytest.fixture(scope="module")
+def scratch(spark):
+    return Scratch(spark)
+
+
+def read(spark, name):
+    return spark.read.parquet(f"{SF}/{name}.parquet")
+
+
+def frame(spark, texts, ids=None):
+    rows = [(ids[i] if ids else i, t, "en", None if i % 4 == 3 else f"s{i % 4}", len(t or ""), "x", "y") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+ODD = [None, "", " \n\t", "a", "one two three four", "one two three four", "word " * 30_000, "x" * 200_000, "ünï 漢字 😀 é", "same text here for all of us", "same text here for all of us"]
+
+
+def shingles(text, width=5):
+    w = (text or "").lower().replace("\x0b", " ").replace("\x0c", " ")
+    w = [x for x in re.split(r"[\x20\x09-\x0d]+", w) if x]
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def brute_classes(texts, threshold=0.8):
+    sets = [shingles(t) for t in texts]
+    index, links = {}, [0] * len(texts)
+    for i, s in enumerate(sets):
+        for g in s:
+            index.setdefault(g, []).append(i)
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in enumerate(sets):
+        seen = {}
+        for g in s:
+            for j in index[g]:
+                if j > i:
+                    seen[j] = seen.get(j, 0) + 1
+        for j, n in seen.items():
+            if n / (len(s) + len(sets[j]) - n) >= threshold - 1e-12:
+                links[i] += 1
+                links[j] += 1
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    return [top(i) for i in range(len(texts))], links
+
+
+def test_word_hashes_and_shingles():
+    texts = ["The cat  sat on the mat.\nthe CAT", "", "one", "a b c d", "the cat"]
+    h, d = tv.shingle_hashes(texts)
+    assert np.bincount(d, minlength=5).tolist() == [len(shingles(t)) for t in texts]
+    w, doc, s, e = tv.word_hashes(texts)
+    assert w[0] == w[7 - 1] == w[np.flatnonzero(doc == 4)[0]] and (s[0], e[0]) == (0, 3)
+
+
+def test_jaccard_against_brute_force(spark, scratch):
+    rows = read(spark, "documents").toPandas()
+    got = jaccard.near_duplicates(read(spark, "documents"), scratch).toPandas().set_index("doc_id").loc[rows.doc_id]
+    classes, links = brute_classes(list(rows.text))
+    assert got.n_links.tolist() == links
+    assert got.class_id.tolist() == [rows.doc_id[c] for c in classes]
+
+
+def test_jaccard_large_group_of_near_copies(spark, scratch):
+    rng = random.Random(3)
+    body = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for i in range(400):
+        w = list(body)
+        for _ in range(i % 3):
+            w[rng.randrange(len(w))] = f"n{i}"
+        texts.append(" ".join(w))
+    texts += [" ".join(f"z{i}_{j}" for j in range(40)) for i in range(50)]
+    classes, links = brute_classes(texts)
+    got = jaccard.near_duplicates(frame(spark, texts), scratch, block=64).toPandas().sort_values("doc_id")
+    assert got.n_links.tolist() == links and got.class_id.tolist() == classes
+
+
+def test_jaccard_edge_cases(spark, scratch):
+    got = jaccard.near_duplicates(frame(spark, ODD), scratch).toPandas().sort_values("doc_id")
+    assert got.class_id.tolist() == [0, 1, 2, 3, 4, 4, 6, 7, 8, 9, 9]
+    assert got.n_links.tolist() == [0, 0, 0, 0, 1, 1, 0, 0, 0, 1, 1]
+    kept = jaccard.drop_duplicates(frame(spark, ODD + ODD[-1:], [*range(11), 10]), scratch).toPandas()
+    assert sorted(kept.doc_id) == [0, 1, 2, 3, 4, 6, 7, 8, 9] and list(kept.columns)[-2:] == ["score", "c"]
+    same = jaccard.drop_duplicates(frame(spark, ["k l m n o p"] * 3, [5, 5, 5]), scratch).toPandas()
+    assert same.doc_id.tolist() == [5]
+    assert jaccard.near_duplicates(frame(spark, []), scratch).count() == 0
+    none = jaccard.near_duplicates(frame(spark, ["a b c d e f", "a b c d e f", None], [None, 7, None]), scratch).toPandas()
+    assert sorted(none.n_links.tolist()) == [0, 1, 1]
+
+
+def test_pii_against_patterns(spark, scratch):
+    rows = read(spark, "documents").toPandas()
+    got = pii.find(read(spark, "documents"), scratch).toPandas().set_index("doc_id").loc[rows.doc_id]
+
+    def brute(t):
+        yield "email", [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        yield "ip", [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+        yield "card", [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(d := re.sub(r"\D", "", m[0])) <= 19 and pii.luhn(d)]
+        yield "phone", [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub(r"\D", "", m[0])) <= 15]
+
+    import hashlib
+
+    for t, n_email, n_card, digest, spans in zip(rows.text, got.n_email, got.n_card, got.base_sha256, got.spans, strict=True):
+        base = dict(brute(t))
+        said = [f"{k}:{s}:{e}" for k, v in base.items() for s, e in v]
+        assert digest == hashlib.sha256(",".join(said).encode()).hexdigest()
+        assert set(said) <= set(spans.split(",")) | {""} and (n_email, n_card) == (len(base["email"]), len(base["card"]))
+    assert got.spans.str.contains("secret:").any()
+    rng = random.Random(5)
+    for _ in range(5000):
+        t = "".join(rng.choice("aB1290.@+- ()%_é9") for _ in range(rng.randint(0, 60)))
+        assert dict(brute(t)) == pii.base_spans(t)
+
+
+def test_pii_edge_cases(spark, scratch):
+    texts = [*ODD, "mail me at a.b@c.example.org, a.b@c.example.org", "9" * 100_000 + " " + "a." * 50_000 + "@"]
+    got = pii.find(frame(spark, texts), scratch).toPandas().sort_values("doc_id")
+    assert got.n_email.tolist()[-2:] == [2, 0] and got.spans.tolist()[:3] == ["", "", ""]
+    assert pii.redact(texts[-2], [(11, 28, "email"), (30, 47, "email")]) == "mail me at [email], [email]"
+    assert pii.find(frame(spark, []), scratch).count() == 0
+
+
+def test_targets_and_flow():
+    t = mixing.targets({"a": 100, "b": 10, None: 90}, {"a": 1, "b": 2, None: 3})
+    assert t["b"] == 30 and t["a"] == pytest.approx(170 / 4) and t[None] == pytest.approx(170 * 3 / 4)
+    f = mixing.flow({("a",): 100, ("b",): 10, (None,): 90}, t)
+    assert {p: round(sum(v.values()), 3) for p, v in f.items()} == {("a",): 42.5, ("b",): 30, (None,): 127.5}
+    g = mixing.flow({("a",): 50, ("a", "b"): 100, ("b",): 10}, {"a": 100.0, "b": 60.0})
+    assert sum(sum(v.values()) for v in g.values()) == pytest.approx(160)  # everything once, none twice
+    assert g[("a", "b")]["a"] == pytest.approx(50) and g[("a", "b")]["b"] == pytest.approx(50)
+
+
+def check_mix(got, slack):
+    assert (got.taken <= 3 * got["size"]).all() and (got.taken % got["size"].clip(lower=1) == 0).all()
+    by = got.groupby(["source_size", "target"]).agg(size=("size", "sum"), taken=("taken", "sum")).reset_index()
+    assert (by["size"] % by.source_size == 0).all()
+    assert ((by.taken - by.target * (by["size"] // by.source_size.clip(lower=1))).abs() <= slack).all()
+    assert by.target.sum() == pytest.approx(by.source_size.sum(), rel=1e-6)
+
+
+def test_mixing(spark, scratch):
+    docs = read(spark, "documents")
+    got = mixing.mixing(docs, scratch).toPandas().sort_values("doc_id").reset_index(drop=True)
+    texts = docs.toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert got["size"].tolist() == [len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in texts.text]
+    assert got.source_size.tolist() == got.groupby(texts.source)["size"].transform("sum").tolist()
+    check_mix(got, 60)
+    again = mixing.mixing(docs.repartition(5), scratch).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert again.taken.tolist() == got.taken.tolist()
+
+
+def test_mixing_edge_cases(spark, scratch):
+    got = mixing.mixing(frame(spark, ODD), scratch).toPandas().sort_values("doc_id")
+    assert got["size"].tolist()[:5] == [0, 0, 0, 1, 4] and (got.taken <= 3 * got["size"]).all()
+    assert mixing.mixing(frame(spark, []), scratch).count() == 0
+    assert mixing.mixing(frame(spark, [None, ""]), scratch).toPandas().taken.tolist() == [0, 0]
+    overlap = mixing.mix(frame(spark, ["a b c"] * 40), scratch, F.array(F.lit("p"), F.when(F.col("doc_id") % 2 == 0, "q").otherwise("p"))).toPandas()
+    assert overlap.taken.sum() == pytest.approx(120, abs=6)
+    taken = mixing.take(frame(spark, ODD), scratch).toPandas()
+    assert list(taken.columns) == ["doc_id", "text", "lang", "source", "n_chars", "score", "c"]
+
+
+def labels(spark):
+    return read(spark, "labels")
+
+
+def test_toxicity(spark):
+    got = toxicity.toxicity(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")).toPandas()
+    y = pd.read_parquet("/root/testdata/sf0.1/labels.parquet").merge(got, on="doc_id")
+    held = y[y.held_out]
+    assert held.held_out.sum() == sum(zlib.crc32(str(i).encode()) % 5 == 0 for i in y.doc_id)
+    assert (held.predicted == held.toxic).mean() > 0.98 and held[held.toxic == 1].predicted.mean() > 0.85
+
+
+def test_quality(spark):
+    got = quality.quality(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")).toPandas()
+    y = pd.read_parquet("/root/testdata/sf0.1/labels.parquet").merge(got, on="doc_id")
+    held = y[y.held_out]
+    assert (held.predicted == held.quality).mean() > 0.98 and got.score.between(0, 1).all()
+
+
+@pytest.mark.parametrize("op", [toxicity.toxicity, quality.quality])
+def test_classifier_edge_cases(spark, op):
+    lab = spark.createDataFrame([(i, i % 2, i % 2) for i in range(11)] + [(3, None, 1), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    got = op(frame(spark, ODD), lab).toPandas()
+    assert len(got) == 11 and got.score.between(0, 1).all() and set(got.predicted) <= {0, 1}
+    assert op(frame(spark, []), lab).count() == 0
+    assert op(frame(spark, ODD), lab.where("doc_id < 0")).toPandas().score.max() <= 1e-6
+
+
+def test_pipeline_keeps_clean_documents(spark):
+    docs, lab = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    kept = toxicity.drop_toxic(docs, lab).select("doc_id").toPandas()
+    y = pd.read_parquet("/root/testdata/sf0.1/labels.parquet")
+    clean = y[y.toxic == 0].doc_id
+    assert clean.isin(kept.doc_id).mean() > 0.995 and y[y.toxic == 1].doc_id.isin(kept.doc_id).mean() < 0.08
+
+
+def test_forward_sums_all_segmentations():
+    pieces = langid.Pieces(["a", "ab", "b", "▁", "▁a", "ba"])
+    prob = np.array([[0.1], [0.2], [0.3], [0.15], [0.05], [0.2], [1e-8]])
+    word = np.array([[ord(c) for c in "▁aba"]], np.uint32)
+    p = dict(zip([*pieces.texts], prob[:, 0], strict=False))
+
+    def total(s):
+        return 1.0 if not s else sum(p[s[:k]] * total(s[k:]) for k in range(1, len(s) + 1) if s[:k] in p)
+
+    assert np.exp(langid.forward(word, pieces, prob))[0, 0] == pytest.approx(total("▁aba"))
+    got = langid.expected(word, np.ones(1), pieces, prob[:, 0])
+    assert (got[:-1] * np.array([len(x) for x in pieces.texts])).sum() == pytest.approx(4)  # every segmentation covers the word
+
+
+def test_language_id(spark):
+    got = langid.language_id(read(spark, "documents")).toPandas()
+    y = read(spark, "documents").toPandas().merge(got, on="doc_id")
+    assert (y[y.held_out].lang == y[y.held_out].lang_pred).mean() > 0.97
+    odd = langid.language_id(frame(spark, ODD)).toPandas().sort_values("doc_id")
+    assert odd.lang_pred.tolist()[:4] == ["und", "und", "und", "en"] and odd.score.tolist()[0] == 0
+    assert langid.language_id(frame(spark, [])).count() == 0
+    assert langid.language_id(frame(spark, ["abc"]).withColumn("lang", F.lit(None).cast("string"))).toPandas().lang_pred.tolist() == ["und"]
+
+
+def words(t):
+    return [x for x in re.split(r"[\x20\x09-\x0d]+", (t or "").lower()) if x]
+
+
+def substring_edits(item, text):
+    row = list(range(len(item) + 1))
+    best = row[-1]
+    for w in text:
+        new = [0]
+        for i in range(1, len(item) + 1):
+            new.append(min(row[i - 1] + (item[i - 1] != w), row[i] + 1, new[i - 1] + 1))
+        row = new
+        best = min(best, row[-1])
+    return best
+
+
+def test_substring_distance():
+    rng = random.Random(1)
+    items = np.array([[rng.randrange(4) for _ in range(7)] for _ in range(300)], np.uint64)
+    texts = np.array([[rng.randrange(4) for _ in range(12)] for _ in range(300)], np.uint64)
+    dist, _, _ = decontaminate.substring_distance(items, texts)
+    assert dist.tolist() == [substring_edits(list(a), list(b)) for a, b in zip(items, texts, strict=True)]
+
+
+def test_decontamination_against_brute_force(spark):
+    docs, bench = read(spark, "documents").toPandas(), read(spark, "benchmark").toPandas()
+    got = decontaminate.contamination(read(spark, "documents"), read(spark, "benchmark")).toPandas()
+    pairs = set(zip(got.doc_id, got.item_id, strict=True))
+    want = set()
+    items = [(i, words(t)) for i, t in zip(bench.item_id, bench.text, strict=True)]
+    rare = {i: set(zip(w, w[1:], w[2:], strict=False)) for i, w in items}
+    for d, t in zip(docs.doc_id, docs.text, strict=True):
+        w = words(t)
+        seen = set(zip(w, w[1:], w[2:], strict=False))
+        want |= {(d, i) for i, iw in items if rare[i] & seen and substring_edits(iw, w) <= len(iw) // 5}
+    assert pairs <= want and len(want) > 10 and len(pairs) >= 0.99 * len(want)
+
+
+def test_decontamination_finds_edited_passages(spark):
+    bench = read(spark, "benchmark")
+    rng, rows, want = random.Random(9), [], []
+    for r in bench.collect():
+        w = words(r["text"])
+        for n in range(4):
+            c = list(w)
+            for _ in range(len(w) // 5):
+                p = rng.randrange(len(c))
+                c[p : p + 1] = rng.choice([[f"q{rng.random()}"], [], [c[p], f"r{rng.random()}"]])
+            rows.append(" ".join(["zz yy xx"] * rng.randrange(30) + c + ["kk ll"] * rng.randrange(30)))
+            want.append(r["item_id"])
+    got = decontaminate.contamination(frame(spark, rows), bench).toPandas()
+    found = set(zip(got.doc_id, got.item_id, strict=True))
+    due = list(enumerate(want))
+    assert sum(x in found for x in due) >= 0.97 * len(due)
+    assert decontaminate.contamination(frame(spark, ODD), bench).count() == 0
+    assert decontaminate.contamination(frame(spark, []), bench).count() == 0
+    assert decontaminate.contamination(frame(spark, rows[:2]), bench.limit(0)).count() == 0
+
+
+def test_ann_recall_and_scores(spark, scratch):
+    base = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").limit(2000)
+    wide = base.union(base.select((F.col("vec_id") + 100_000).alias("vec_id"), F.transform("embedding", lambda x: (x * F.lit(0.9)).cast("float")).alias("embedding"), "label"))
+    got = ann.neighbours(wide, scratch).toPandas()
+    rows = wide.toPandas()
+    x = np.array(rows.embedding.tolist(), np.float64)
+    hit = 0
+    for q, g in got.groupby("query_id"):
+        s = x @ x[np.flatnonzero(rows.vec_id == q)[0]]
+        order = [i for i in np.lexsort((rows.vec_id, -s)) if rows.vec_id[i] != q][:20]
+        hit += len(set(rows.vec_id[order]) & set(g.vec_id))
+        assert g["rank"].tolist() == list(range(1, 21))
+        by = dict(zip(rows.vec_id, s, strict=True))
+        assert np.allclose(g.score, [by[v] for v in g.vec_id], rtol=1e-12)
+    assert hit / (20 * got.query_id.nunique()) > 0.9
+
+
+def test_ann_edge_cases(spark, scratch):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [float("inf"), 1.0]), (20, []), (40, [-1.0, 0.0]), (None, [1.0, 1.0])]
+    got = ann.neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), scratch).orderBy("query_id", "rank").toPandas()
+    assert [tuple(r) for r in got.itertuples(index=False)] == [(0, 1, 1, 0.5), (0, 2, 2, 0.5), (0, 3, 40, -1.0), (40, 1, 1, -0.5), (40, 2, 2, -0.5), (40, 3, 0, -1.0)]
+    assert ann.neighbours(spark.createDataFrame([], "vec_id bigint, embedding array<float>"), scratch).count() == 0
+
+
+def test_feistel_is_a_permutation():
+    for n in (1, 2, 3, 17, 256, 1000, 4097):
+        s = tokenorder.feistel(np.arange(n), n, 7)
+        assert sorted(s.tolist()) == list(range(n))
+        assert tokenorder.feistel(s, n, 7, invert=True).tolist() == list(range(n))
+    assert tokenorder.feistel(np.arange(1000), 1000, 7).tolist() != tokenorder.feistel(np.arange(1000), 1000, 8).tolist()
+
+
+def test_token_order_round_trip(spark, scratch):
+    layout = tokenorder.Layout(length=64, slots=500)
+    texts = [*ODD, *[r["text"] for r in read(spark, "documents").limit(120).collect()]]
+    ids = [None, None, *range(2, len(texts))]
+    ids[10] = 9  # alike in id and text with row 9
+    docs = frame(spark, texts, ids)
+    path = scratch.path("order")
+    index = tokenorder.materialise(docs, path, scratch, layout).toPandas().sort_values("slot").reset_index(drop=True)
+    assert index.slot.tolist() == list(range(len(index))) and (index.byte_offset == index.slot % 500 * layout.stride).all()
+    mat = tokenorder.read_slots(spark, path, 0, len(index), layout)
+    assert mat.shape == (len(index), 64) and [zlib.crc32(r.tobytes()) for r in mat] == index.crc32.tolist()
+    assert (tokenorder.read_slots(spark, path, 490, 30, layout) == mat[490:520]).all()
+    number = tokenorder.feistel(np.arange(len(index)), len(index), layout.key, invert=True)
+    stream = mat[np.argsort(number)]
+    used = index.n_tokens.to_numpy()[np.argsort(number)]
+    got = np.concatenate([r[:n] for r, n in zip(stream, used, strict=True)])
+    enc = tokenorder.encoder(layout.vocabulary)
+    back = [enc.decode(p.tolist()) for p in np.split(got, np.flatnonzero(got == enc.n_vocab) + 1)[:-1] for p in [p[:-1]]]
+    assert sorted(back) == sorted(t or "" for t in texts)
+    order = index.iloc[np.argsort(number)]
+    assert order.doc_id.isna().sum() == 2 and order.doc_id.dropna().is_monotonic_increasing
+    assert tokenorder.materialise(frame(spark, []), scratch.path("order"), scratch, layout).count() == 0
+
+
+def test_url_filters_edge_cases(spark, scratch):
+    caps = spark.createDataFrame(
+        [(1, "https://www.A.example.com/x/?q=1", "2024-03-05", "keep"), (2, "https://b.example.com/y", "2024-03-05", None), (3, None, "2024-03-05", None), (4, "nonsense", "2024-03-05", None),
+         (5, "http://a.example.com/x", None, None), (5, "http://a.example.com/x", "2024-01-01", None), (6, "http://u@a.example.com:80", "2024-03-01", None), (7, "http://a.example.com/x", "2024-03-10", None)],
+        "page_id int, url string, fetched_at string, verdict string",
+    )
+    entries = spark.createDataFrame(
+        [("domain", "example.com", "block", "2024-03-01"), ("host", "a.example.com", "allow", "2024-03-02"), ("url", "a.example.com/x", "block", "2024-03-05"), ("url", "a.example.com/x", "none", "2024-03-09"),
+         ("host", "a.example.com", "block", "2024-03-02"), ("host", None, "block", "2024-03-01"), ("host", "b.example.com", None, "2024-03-01"), ("odd", "b.example.com", "block", "2024-03-01"), ("host", "a.example.com", "none", "2024-03-11")],
+        "scope string, key string, verdict string, day string",
+    )
+    got = urlfilter.evaluate(caps, entries, scratch).orderBy("page_id", F.col("fetched_at").isNull()).collect()
+    assert [(r["page_id"], r["verdict"], r["scope"]) for r in got] == [(1, "block", "url"), (2, "block", "domain"), (3, "unparsed", None), (4, "unparsed", None), (5, "allow", None), (5, "allow", None), (6, "block", "domain"), (7, "allow", "host")]
+    assert urlfilter.evaluate(caps.limit(0), entries, scratch).count() == 0
+    assert {r["verdict"] for r in urlfilter.evaluate(caps, entries.limit(0), scratch).collect()} == {"allow", "unparsed"}
+
+
+def test_oracle_and_pipeline(spark):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "n-gram Jaccard join", "benchmark decontamination", "mixing sources to target weights", "token-ID / binary output"]
+    docs = read(spark, "documents").toPandas()
+    got = corpus_pipeline.run(spark, SF).toPandas()
+    classes, _ = brute_classes(list(docs.text))
+    assert set(got.doc_id) <= set(docs.doc_id)
+    of = dict(zip(docs.doc_id, classes, strict=True))
+    assert len({of[d] for d in set(got.doc_id)}) == got.doc_id.nunique()  # one document of each class
+    assert sorted(got.slot) == list(range(len(got)))
