@@ -148,22 +148,30 @@ def _brute(df: DataFrame, least: int) -> DataFrame:
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(v, root): least vertex of the connected component of each vertex of edges (a, b), by minimum labels with pointer jumping."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = scratch.write(both, "edges")
-    label = scratch.write(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
+    """(v, root): the component of each vertex of edges (a, b), named by one of its vertices.
+
+    Every vertex is hooked to its least neighbour, or itself, and the hooks are followed twice; the edges are then contracted to the
+    new roots. A star is one vertex after the first round, so its edges are read once; vertices left over at least halve each round.
+    """
+    left = scratch.write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    levels = []
     while True:
-        heard = both.join(label.select(F.col("v").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("v")).agg(F.min("r").alias("r"))
-        near = scratch.write(label.join(heard, "v").select("v", F.least("root", "r").alias("root"), F.col("root").alias("was")), "near")
-        jump = near.select(F.col("v").alias("root"), F.col("root").alias("to"))
-        new = scratch.write(near.join(jump, "root").select("v", F.least("root", "to").alias("root"), "was"), "labels")
-        done = new.where("root < was").isEmpty()
-        scratch.drop(label, near)
-        label = new.select("v", "root")
-        label._weftline_path = new._weftline_path
-        if done:
-            scratch.drop(both)
-            return label
+        ends = left.select(F.col("a").alias("v"), F.col("b").alias("w")).union(left.select(F.col("b").alias("v"), F.col("a").alias("w")))
+        hook = scratch.write(ends.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("root")), "hooks")
+        for _ in range(2):
+            onward = hook.select(F.col("v").alias("root"), F.col("root").alias("to"))
+            hook = scratch.write(hook.join(onward, "root").select("v", F.col("to").alias("root")), "hooks")
+        levels.append(hook)
+        to_a, to_b = hook.select(F.col("v").alias("a"), F.col("root").alias("x")), hook.select(F.col("v").alias("b"), F.col("root").alias("y"))
+        new = left.join(to_a, "a").join(to_b, "b").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).where("a <> b").distinct()
+        left = scratch.write(new, "edges")
+        if left.isEmpty():
+            break
+    out = levels.pop()
+    while levels:  # from the last contraction back to the vertices
+        down = levels.pop()
+        out = scratch.write(down.join(out.select(F.col("v").alias("root"), F.col("root").alias("to")), "root", "left").select("v", F.coalesce("to", "root").alias("root")), "roots")
+    return out
 
 
 def candidates(nodes: DataFrame, scratch: Scratch, threshold: float, recall: float, small: int, depth: int) -> DataFrame:
