@@ -64,16 +64,14 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
-def tokens(texts, path: str = VOCABULARY) -> list[np.ndarray]:
-    """Ids of each text, with the end id (the vocabulary's size) after them. A run of over 2**16 characters is cut there: long runs cost quadratic time."""
-    enc = encoder(path)
-    end = np.array([enc.n_vocab], np.uint32)
-    out = []
-    for t in texts:
-        t = t or ""
-        parts = [enc.encode_to_numpy(t[i : i + 65536]) for i in range(0, len(t), 65536)]
-        out.append(np.concatenate([*parts, end]).astype(np.uint16))
-    return out
+def tokens(text: str | None, path: str = VOCABULARY) -> list[int]:
+    """Ids of a text, with the end id (the vocabulary's size) after them. A text is cut every 2**16 characters: runs without a break cost quadratic time."""
+    enc, text = encoder(path), text or ""
+    ids = enc.encode_ordinary(text[:65536])
+    for i in range(65536, len(text), 65536):
+        ids += enc.encode_ordinary(text[i : i + 65536])
+    ids.append(enc.n_vocab)
+    return ids
 
 
 def feistel(index: np.ndarray, n: int, key: int, invert: bool = False) -> np.ndarray:
@@ -99,7 +97,7 @@ def _count(path: str, length: int):
     def run(batches):
         for b in batches:
             if b.num_rows:
-                n = [-(-len(t) // length) for t in tokens(b.column(1).to_pylist(), path)]
+                n = [-(-len(tokens(t.as_py(), path)) // length) for t in b.column(1)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["k", "n"])
 
     return run
@@ -149,20 +147,20 @@ def sequences(docs: DataFrame, layout: Layout, scratch: Scratch) -> tuple[DataFr
         single = single.withColumn("copy", F.lit(0))
 
     def cut(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            start, copy = b.column(2).to_numpy(), b.column(3).to_numpy()
-            ids = b.column(0).to_pylist()
-            body, index = [], []
-            for i, t in enumerate(tokens(b.column(1).to_pylist(), layout.vocabulary)):
-                n = -(-len(t) // layout.length)
-                for j in range(n):
-                    part = t[j * layout.length : (j + 1) * layout.length]
-                    body.append(struct.pack("<qiHH", ids[i] or 0, j, len(part), ids[i] is None) + part.tobytes())
-                    index.append(int(start[i]) + int(copy[i]) * n + j)
-            slot = feistel(np.array(index, np.int64), total, layout.key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(body, pa.binary())], names=["slot", "record"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                b = whole.slice(lo, 256)
+                ids, start, copy = b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
+                body, index = [], []
+                for i, text in enumerate(b.column(1)):
+                    t = np.array(tokens(text.as_py(), layout.vocabulary), "<u2")
+                    raw, n = t.tobytes(), -(-len(t) // layout.length)
+                    for j in range(n):
+                        size = min(layout.length, len(t) - j * layout.length)
+                        body.append(struct.pack("<qiHH", ids[i] or 0, j, size, ids[i] is None) + raw[2 * j * layout.length : 2 * (j + 1) * layout.length])
+                        index.append(start[i] + copy[i] * n + j)
+                slot = feistel(np.array(index, np.int64), total, layout.key)
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(body, pa.binary())], names=["slot", "record"])
 
     return single.select(F.col("doc_id").cast("bigint"), "text", "first", "copy").mapInArrow(cut, "slot bigint, record binary"), total
 
