@@ -38,8 +38,8 @@ class Index:
         kept = [i for i, w in enumerate(parts) if len(w) >= min_words]
         self.ids, self.items = [ids[i] for i in kept], [parts[i] for i in kept]
         self.rng = np.random.default_rng(seed)
+        self.seeds = (tv.mix64(np.arange(96 * 1024, dtype=_U) + _U(seed << 32)) | _U(1)).reshape(96, 1024)
         self.repeats = self._repeats(recall)
-        self.seeds = tv.mix64(np.arange(4096, dtype=_U) + _U(seed << 32))
         self.grams: dict[int, tuple] = {}
         for q in sorted({self.run(len(w)) for w in self.items}):
             rows = [(tv_gram, i, o) for i, w in enumerate(self.items) if self.run(len(w)) == q for o, tv_gram in enumerate(gram(w, q).tolist())]
@@ -51,7 +51,7 @@ class Index:
             which = [i for i, w in enumerate(self.items) if len(w) == m]
             steps = [np.sort(np.random.default_rng([seed, m, r]).choice(3 * m, min(places, 3 * m), replace=False)) for r in range(self.repeats)]
             mat = np.stack([self.items[i] for i in which])
-            sig = [self.signature(mat, r, s) for r, s in enumerate(steps)]
+            sig = self.signatures(mat, steps)
             self.tables[m] = (np.array(which), mat, steps, sig)
 
     def limit(self, m: int) -> int:
@@ -61,24 +61,27 @@ class Index:
         k = self.limit(m)
         return max(1, min(3, -(-(m - k) // (k + 1))))
 
-    def signature(self, windows: np.ndarray, repeat: int, steps: np.ndarray) -> np.ndarray:
-        """LSH key of each row of words: the CGK embedding at the sampled steps."""
+    def signatures(self, windows: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+        """LSH keys (repetitions x rows) of rows of words: the CGK embedding of each repetition at its sampled steps."""
         n, m = windows.shape
-        at, rows, out = np.zeros(n, np.int64), np.arange(n), np.zeros(n, _U)
         wide = np.concatenate([windows, np.full((n, 1), _PAD, _U)], 1)
-        chosen = set(steps.tolist())
-        for j in range(int(steps[-1]) + 1 if len(steps) else 0):
+        at, rows, out = np.zeros((len(steps), n), np.int64), np.arange(n)[None, :], np.zeros((len(steps), n), _U)
+        due: dict[int, list[int]] = {}
+        for r, own in enumerate(steps):
+            for j in own.tolist():
+                due.setdefault(j, []).append(r)
+        last = max(due, default=-1)
+        for j in range(last + 1):
             sym = wide[rows, at]
-            if j in chosen:
-                out = tv.mix64(out + sym)
-            bit = tv.mix64(sym ^ self.seeds[(repeat * 509 + j) % 4096]) >> _U(63) if j < int(steps[-1]) else None
-            if bit is not None:
-                at = np.minimum(at + bit.astype(np.int64), m)
+            if j in due:
+                out[due[j]] = tv.mix64(out[due[j]] + sym[due[j]])
+            if j < last:  # words are hashes already: a multiplication makes a fresh bit of them
+                at += ((sym * self.seeds[: len(steps), j % self.seeds.shape[1], None]) >> _U(63)).astype(np.int64)
+                np.minimum(at, m, out=at)
         return out
 
     def _repeats(self, recall: float) -> int:
         """Repetitions for the target recall of copies at the limit, from simulated edits of the items."""
-        self.seeds = tv.mix64(np.arange(4096, dtype=_U) + _U(99))
         hit = total = 0
         for w in self.items[:: max(1, len(self.items) // 40)]:
             k, m = self.limit(len(w)), len(w)
@@ -93,10 +96,10 @@ class Index:
                     c[p : p + (kind != 1)] = [new] if kind < 3 else []  # substitution twice as often as insertion and deletion
                 copies.append((c + [int(_PAD)] * m)[:m])
             mat = np.concatenate([w[None, :], np.array(copies, _U)])
-            for r in range(12):
-                s = self.signature(mat, r, np.sort(self.rng.choice(3 * m, min(self.places, 3 * m), replace=False)))
-                hit += int((s[1:] == s[0]).sum())
-                total += 20
+            steps = [np.sort(self.rng.choice(3 * m, min(self.places, 3 * m), replace=False)) for _ in range(12)]
+            sig = self.signatures(mat, steps)
+            hit += int((sig[:, 1:] == sig[:, :1]).sum())
+            total += 12 * 20
         rate = max(hit / total, 0.02) if total else 1.0
         return 1 if rate >= 1 else min(96, math.ceil(math.log(1 - recall) / math.log(1 - rate)))
 
@@ -129,13 +132,12 @@ class Index:
         first, last = bounds[doc], bounds[doc + 1]
         for m, w in self.windows(words, first, last):
             which, mat, steps, sig = self.tables[m]
-            for lo in range(0, w.shape[1], 4096):
-                start, begin, end = w[:, lo : lo + 4096]
+            for lo in range(0, w.shape[1], 1024):
+                start, begin, end = w[:, lo : lo + 1024]
                 pos = start[:, None] + np.arange(m)[None, :]
                 view = np.where(pos < end[:, None], words[np.minimum(pos, len(words) - 1)], _PAD)
                 pairs = []
-                for r in range(self.repeats):
-                    s = self.signature(view, r, steps[r])
+                for r, s in enumerate(self.signatures(view, steps)):
                     order = np.argsort(sig[r], kind="stable")
                     keys = sig[r][order]
                     a, b = np.searchsorted(keys, s), np.searchsorted(keys, s, "right")
@@ -207,7 +209,7 @@ def search(docs: DataFrame, found: Index, keep: list[str]) -> DataFrame:
 
     def run(texts):
         hits = []
-        for _, part in tv.chunks(texts):
+        for _, part in tv.chunks(texts, 1 << 21):
             hits += found.search(part)
         return {"__hits": pa.array(hits, _HITS)}
 
