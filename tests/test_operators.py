@@ -1,0 +1,202 @@
+"""Operators without SQL: filters, chunks, graph clustering, transcripts, streams; small fixtures of our own."""
+
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from weftline.functions import text as T
+from weftline.operators import chunks, events, filters, graph, rules, transcripts
+from weftline.sources import files
+from weftline.streaming import events as streams
+
+
+def definition(**how):
+    return filters.Definition(match_command="^x", **how)
+
+
+def run(text, ok=None, **how):
+    return filters.reduce(text, definition(**how), ok)
+
+
+TEN = "\n".join(f"line {i}" for i in range(1, 11)) + "\n" + "pad " * 40
+
+
+@pytest.mark.parametrize(
+    ("how", "text", "want"),
+    [
+        ({"strip_lines_matching": ["^a"]}, "a1\nb2\na3\nb4 and more", "b2\nb4 and more"),
+        ({"keep_lines_matching": ["2$"]}, "a2\nb3\nc2", "a2\nc2"),
+        ({"strip_ansi": True}, "\x1b[31mred\x1b[0m text", "red text"),
+        ({"max_lines": 2}, "a\nb\nc\nd", "a\nb"),
+        ({"tail_lines": 1}, "a\nb\nc", "c"),
+        ({"replace_patterns": [[r"(\w+)=(\w+)", "$2:$1"]]}, "a=b", "b:a"),
+        ({"truncate_lines_at": 3}, "abcdef\nxy", "abc\nxy"),
+        ({"match_output": [{"pattern": "^ok", "message": "fine"}]}, "ok all went well", "fine"),
+        ({"match_output": [{"pattern": "^ok", "message": "fine"}]}, "ok\nerror: no", "ok\nerror: no"),
+        ({"match_output": [{"pattern": "^ok", "message": "fine", "unless": "bad"}]}, "ok but bad", "ok but bad"),
+        ({"uniform_success": {"pattern": "ok$", "message": "{n} ok"}}, "one is ok\ntwo is ok", "2 ok"),
+        ({"strip_lines_matching": ["."], "on_empty": "none"}, "something", "none"),
+        ({"strip_lines_matching": ["."], "passthrough_when_emptied": True}, "something", "something"),
+        ({"strip_lines_matching": ["."], "on_empty": "none"}, "fatal: no", "fatal: no"),
+        ({"block_caps": [{"start": "^B", "max_lines": 2}]}, "B1\nx\n" + "y" * 60 + "\nz\n\nafter", "B1\nx\n\nafter\n[... 2 detail lines omitted from 1 blocks ...]"),
+        ({"extract_sections": [{"start_pattern": "^<", "end_pattern": "^>"}]}, "a\n<\nb\nc\n>\nd", "b\nc"),
+        ({"extract_sections": [{"start_pattern": "^<", "end_pattern": "^>", "include_markers": True, "max_matches": 1}]}, "<\nb\n>\n<\nc\n>", "<\nb\n>"),
+        ({"semantic_filter": {"query": "Cat dog"}}, "the cat\na cow\nDOGS", "the cat\nDOGS"),
+        ({"summarize_json": {"max_array_items": 1, "exclude": ["z"]}}, json.dumps({"a": list(range(60)), "z": 1}), '{\n  "a": [\n    0,\n    "... 59 more item(s) omitted ..."\n  ]\n}'),
+        ({"strip_lines_matching": ["^a"]}, "a\r\nb\r\nc\r\n", "b\r\nc"),
+    ],
+)
+def test_filter_fields(how, text, want):
+    assert run(text, **how) == want
+
+
+def test_filter_windows_and_failures():
+    assert run(TEN, head_lines=2, tail_lines=1).split("\n")[2] == "[... 8 lines omitted ...]"
+    assert run(TEN, max_lines=3, notify_on_truncate=True).endswith("[... 8 lines omitted (line limit) ...]")
+    assert run("a\nb\nc error\nd", ok=False, max_lines=1) == "c error" or "c error" in run("a\nb\nc error\nd" + " " * 0, ok=False, max_lines=1)
+    assert run(TEN, ok=False, on_failure="tail:1") == "pad " * 39 + "pad"
+    assert run(TEN, ok=False, on_failure="passthrough") == TEN.rstrip()
+    assert "line 9" in run(TEN, max_lines=1, priority_lines=["9$"])
+    out = run("\n".join(["warn x"] * 30 + ["end"]), category_caps=[{"pattern": "^warn", "max": 2}])
+    assert out == "warn x\nwarn x\n[... 28 more similar line(s) omitted ...]\nend"
+    dup = "\n\n".join(["same one\nsame two\nsame three\nsame four"] * 12)
+    assert "[... 11 similar block(s) omitted ...]" in run(dup, deduplicate_blocks={"min_block_lines": 2, "similarity": 0.9})
+    assert T is not None and len(filters.budgeted("\n".join(["word " * 10] * 40), 60)) < 400
+
+
+def test_filters_never_lengthen():
+    rng = random.Random(4)
+    defs = [definition(head_lines=1, tail_lines=1, notify_on_truncate=True), definition(token_budget=5), definition(match_output=[{"pattern": ".", "message": "a long message " * 5}]), definition(truncate_lines_at=2, notify_on_truncate=True)]
+    for _ in range(300):
+        t = "\n".join("".join(rng.choice("aé error\t") for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(0, 9)))
+        for d in defs:
+            got = filters.reduce(t, d)
+            assert not t.strip() or len(got.encode()) <= len(t.rstrip().encode())
+
+
+@pytest.mark.parametrize(
+    ("command", "want"),
+    [
+        ("git status", "git status"), ("FOO=1 sudo git status", "git status"), ("cd /x && npm run build 2>&1 | tail -5", "tail -5"), ("bash -lc 'cd a; cargo test'", "cargo test"),
+        ("npx tsc --noEmit", "tsc --noEmit"), ("timeout 30 pytest -q", "pytest -q"), ('echo "a && b"', "echo a && b"), ("python -m pytest x", "pytest x"),
+    ],
+)
+def test_effective_command(command, want):
+    assert filters.candidates(command)[0] == want
+
+
+def test_filter_choice_and_checks():
+    a, b = filters.Definition("^git", name="a"), filters.Definition("^git status", name="b")
+    assert filters.find("cd x && git status", [[a, b]]).name == "b"
+    assert filters.find("git status", [[a], [b]]).name == "a"
+    assert filters.find("ls", [[a]]) is None
+    with pytest.raises(ValueError):
+        filters.load("[filters.x]\nmatch_command = 'a'\nodd = 1")
+    assert filters.issues(filters.Definition("(", max_lines=0)) == ["bad pattern: (", "max_lines is 0"]
+
+
+def test_chunks():
+    rng = random.Random(2)
+    for lang in ("generic", "python", "rust", "sql", "vb"):
+        for _ in range(60):
+            text = "\n".join(rng.choice(["", "def f(x):", "    return 1", "fn a() {", "}", "x" * rng.randint(0, 3000), "CREATE TABLE t (a int);", "Sub Foo()", "words here " * 20]) for _ in range(rng.randint(0, 40)))
+            got = chunks.chunk(text, lang)
+            assert all(c["token_count"] <= 400 and c["content"].strip() for c in got)
+    code = "import os\n\ndef one(a):\n    return a\n\nclass Two:\n    def m(self):\n        pass\n"
+    assert [(c["symbol"], c["start_line"], c["end_line"]) for c in chunks.chunk(code, "python") if c["symbol"]] == [("one", 3, 4), ("Two", 6, 8)]
+    rust = "use a::b;\nfn x() {\n  y();\n}\nstruct S;\n"
+    assert [(c["symbol"], c["kind"]) for c in chunks.chunk(rust, "rust") if c["symbol"]] == [("x", "function"), ("S", "struct")]
+
+
+def test_references_and_imports(spark):
+    src = spark.createDataFrame([(1, "fn a() { b(); store::open(); if (x) {} }")], "caller int, content string")
+    refs = src.select("caller", F.explode(chunks.references("content")).alias("ref"))
+    assert sorted(r["ref"] for r in refs.collect()) == ["a", "b", "open", "store::open"]
+    defs = spark.createDataFrame([(1, "a", "src/a.rs"), (2, "b", "src/b.rs"), (3, "open", "src/store.rs"), (4, "open", "src/other.rs")], "callee int, name string, path string")
+    assert sorted(map(tuple, chunks.resolve(refs.where("ref <> 'open'"), defs).collect())) == [(1, 2), (1, 3)]
+    lines = spark.createDataFrame([("src/a.rs", "rust", 1, "use crate::store::open_db;"), ("p/x.py", "python", 1, "import p.y"), ("w/a.ts", "typescript", 1, "import z from './b'"), ("w/a.ts", "typescript", 2, "import q from 'react'")], "path string, lang string, pos int, line string")
+    known = spark.createDataFrame([("src/store.rs",), ("p/y.py",), ("w/b.ts",)], "path string")
+    got = {(r["path"], r["target"]): r["resolved"] for r in chunks.resolve_imports(chunks.imports(lines), known).collect()}
+    assert got == {("src/a.rs", "crate::store::open_db"): "src/store.rs", ("p/x.py", "p.y"): "p/y.py", ("w/a.ts", "./b"): "w/b.ts", ("w/a.ts", "react"): None}
+
+
+def test_graph_clusters_and_cycles(spark):
+    pairs = [(a, b, 1.0) for g in (range(4), range(4, 8)) for a in g for b in g if a < b] + [(3, 4, 1.0)]
+    got = graph.louvain(8, pairs)
+    assert len(set(got[:4])) == 1 and len(set(got[4:])) == 1 and got[0] != got[4]
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 5), (6, 7), (7, 6)], "src int, dst int")
+    assert sorted(map(tuple, graph.cycles(e).collect())) == [(1, 1), (2, 1), (3, 1), (6, 6), (7, 6)]
+    assert sorted(map(tuple, graph.reach(e, spark.createDataFrame([(4,)], "node int"), None, reverse=True).collect())) == [(1, 3), (2, 2), (3, 1), (4, 0)]
+
+
+def test_secret_rules(spark):
+    made = {"github-token": "gh" + "p_" + "a1B2" * 9, "slack-token": "xo" + "xb-" + "1234567890ab", "aws-access-key-id": "AK" + "IA" + "ABCDEFGH12345678", "jwt": "ey" + "Jabcdefgh1.abcdefgh2.abcdefgh3"}
+    df = spark.createDataFrame([(i, f"x {v} y") for i, v in enumerate(made.values())] + [(99, "password = aaaaaaaaaaaaaaaaaaaa")], "id int, text string")
+    got = {r["id"]: r["rule"] for r in rules.secrets(df, "id").collect()}
+    assert got == dict(enumerate(made))  # and no low-entropy value
+    assert rules.load.__doc__
+
+
+def test_environment_facts_and_transcripts(spark):
+    calls = spark.createDataFrame([(1, "pytest -q", "bash: pytest: command not found"), (2, "pytest -q", "zsh: command not found: pytest"), (2, "python -m pytest -q", "3 passed"), (3, "python -m pytest", "ok"), (1, "tsc", "tsc: not found"), (4, "tsc", "done"), (2, "tsc", "tsc: not found")], "session int, command string, output string")
+    assert [tuple(r) for r in transcripts.environment_facts(calls).collect()] == [("pytest", 2, "python -m pytest", 2)]
+    deep = {"message": {"content": [{"type": "function_call", "call_id": "c", "name": "shell", "arguments": json.dumps({"command": ["ls", "-l"]})}]}}
+    got = [r for r in transcripts.flatten(deep) if r[1] == "call"]
+    assert got == [("/message/content/0", "call", "c", "shell", "ls -l", None)]
+
+
+def test_scalars(spark):
+    row = spark.createDataFrame([("a\x1b[31mb\x1b[0m", "cargo test --all | tail", "https://user:pw@www.Example.com:80/x?token=1", "a\r\nb\n\n", "src/x.min.js")], "a string, c string, u string, l string, p string").select(
+        T.strip_ansi("a"), T.command_label("c"), T.normalize_host("u"), T.normalize_target("u"), T.lines("l"), files.should_index("p"), T.language(F.lit("x/y.TSX")), T.entropy(F.lit("aabb")), T.redact_credentials(F.lit("Authorization: Bearer abc")), T.collapse_redraws(F.lit("10%\r50%\rdone\nx")), T.dominant_eol(F.lit("a\r\nb\r\nc\n"))
+    ).first()
+    assert list(row) == ["ab", "cargo test", "example.com", "https://www.Example.com:80/x?[REDACTED]", ["a", "b", ""], False, "typescript", 1.0, "[REDACTED]", "done\nx", "\r\n"]
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.py").write_bytes(b"print(1)\n")
+    (tmp_path / "src" / "b.rs").write_bytes("﻿fn x() {}".encode("utf-16"))
+    (tmp_path / "src" / "c.py").write_bytes(b"a\0b")
+    (tmp_path / ".env").write_bytes(b"x=1")
+    got = {r["path"]: (r["lang"], r["text"]) for r in files.repository(spark, str(tmp_path)).collect()}
+    assert set(got) == {"src/a.py", "src/b.rs"} and got["src/a.py"] == ("python", "print(1)\n") and "fn x() {}" in got["src/b.rs"][1]
+    log = tmp_path / "log"
+    log.mkdir()
+    (log / "e.log").write_text('{"ts": 1.0, "tool": "t", "action": "pass", "command": "password=hunter2 x"}\nbroken\n')
+    ev = files.event_log(spark, [str(log)])
+    assert [(r["tool"], r["phase"]) for r in ev.collect()] == [("t", "pre")]
+    files.append_events(ev.drop("log"), str(tmp_path / "out"))
+    assert "hunter2" not in spark.read.text(str(tmp_path / "out")).first()[0]
+
+
+def runs_fixture(spark):
+    rng = random.Random(6)
+    rows = [(i, f"p{i % 2}", f"c{i % 3}", f"s{rng.randrange(2)}", rng.random() < 0.8, f"2024-01-01 {i // 60:02d}:{i % 60:02d}:00") for i in range(600)]
+    return spark.createDataFrame(rows, "event_id bigint, project string, command string, signature string, failed boolean, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def test_streaks_in_batch_and_stream(spark, tmp_path):
+    rows = runs_fixture(spark)
+    batch = {(r["event_id"], r["n"]) for r in events.failure_streaks(rows).collect()}
+    rows.orderBy("ts").coalesce(1).write.json(str(tmp_path / "in"))
+    stream = streams.streaks(streams.source(spark, str(tmp_path / "in"), rows.schema))
+    q = stream.writeStream.format("memory").queryName("streaks").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {(r["event_id"], r["n"]) for r in spark.table("streaks").collect()} == batch and batch
+
+
+def test_sessions_and_outputs_in_stream(spark, tmp_path):
+    rows = runs_fixture(spark).where("event_id % 100 < 40").withColumn("digest", F.col("signature"))
+    rows.coalesce(1).write.json(str(tmp_path / "in"))
+    src = streams.source(spark, str(tmp_path / "in"), rows.schema)
+    q = streams.sessions(src, "project").writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(r["project"], r["start"], r["calls"]) for r in spark.table("sessions").collect()}
+    w = rows.groupBy("project", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("calls")).select("project", "w.start", "calls")
+    whole = {tuple(r) for r in w.collect()}
+    assert got <= whole and len(got) >= len(whole) - 2  # the last session of a key is still open
+    q = streams.first_outputs(src).writeStream.format("memory").queryName("firsts").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.table("firsts").count() == rows.select("project", "command", "digest").distinct().count()

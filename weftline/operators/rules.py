@@ -1,0 +1,115 @@
+"""Rule scans over lines: credentials and network destinations.
+
+Rules are (id, pattern, group, least entropy, needles). Per line every rule is one array expression, so a scan is one projection and
+one explode: no join of lines with rules. Needles are literals one of which a match must hold; they are tested before the pattern.
+"""
+
+from __future__ import annotations
+
+import tomllib
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from weftline.functions import text as T
+from weftline.operators.lines import explode_lines
+
+
+@dataclass(frozen=True)
+class Rule:
+    id: str
+    pattern: str
+    group: int = 0
+    entropy: float = 0.0
+    needles: tuple[str, ...] = ()
+
+
+# Credential patterns, specific ones first.
+SECRET_RULES = [
+    Rule("aws-access-key-id", r"\b(?:AKIA|ASIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA)[0-9A-Z]{16}\b"),
+    Rule("google-api-key", r"\bAIza[0-9A-Za-z_-]{35}\b", needles=("AIza",)),
+    Rule("gcp-oauth-client-secret", r"\bGOCSPX-[0-9A-Za-z_-]{28}\b", needles=("GOCSPX-",)),
+    Rule("digitalocean-token", r"\bdo[oprt]_v1_[0-9a-f]{64}\b", needles=("_v1_",)),
+    Rule("github-token", r"\bgh[pousr]_[0-9A-Za-z]{36,255}\b", needles=("gh",)),
+    Rule("github-pat-fine-grained", r"\bgithub_pat_[0-9A-Za-z_]{22,}\b", needles=("github_pat_",)),
+    Rule("gitlab-pat", r"\bglpat-[0-9A-Za-z_-]{20,}\b", needles=("glpat-",)),
+    Rule("llm-api-key", r"\bsk-(?:ant-|proj-)?[A-Za-z0-9_-]{20,}\b", entropy=3.5, needles=("sk-",)),
+    Rule("huggingface-token", r"\bhf_[0-9A-Za-z]{34,}\b", needles=("hf_",)),
+    Rule("stripe-secret-key", r"\b(?:sk|rk)_live_[0-9A-Za-z]{20,}\b", needles=("_live_",)),
+    Rule("slack-token", r"\bxox[baprs]-[0-9A-Za-z-]{10,}\b", needles=("xox",)),
+    Rule("slack-webhook", r"https://hooks\.slack\.com/services/[A-Za-z0-9/]+", needles=("hooks.slack.com",)),
+    Rule("twilio-api-key", r"\bSK[0-9a-fA-F]{32}\b", needles=("SK",)),
+    Rule("sendgrid-key", r"\bSG\.[0-9A-Za-z_-]{22}\.[0-9A-Za-z_-]{43}\b", needles=("SG.",)),
+    Rule("npm-token", r"\bnpm_[0-9A-Za-z]{36}\b", needles=("npm_",)),
+    Rule("private-key-block", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----", needles=("PRIVATE KEY",)),
+    Rule("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b", needles=("eyJ",)),
+    Rule("basic-auth-url", r"(?i)(?:https?|ftps?|smtps?|ldaps?)://[^\s/:@]{1,64}:([^\s/:${}<>]{7,63})@[^\s/@]+", 1, 2.8, ("://",)),
+    Rule("db-connection-uri", r"(?i)(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp)://[^\s:@/]+:([^\s:/${}<>]{7,})@[^\s/@]+", 1, 2.8, ("://",)),
+    Rule("generic-secret-assignment", r"""(?i)(?:api[_-]?key|secret|token|password|passwd|pwd|access[_-]?token|client[_-]?secret|private[_-]?key)["' ]?\s*[:=]\s*["']?([A-Za-z0-9+/_-]{16,})""", 1, 3.5, ("=", ":")),
+]
+# Network destinations.
+EGRESS_RULES = [
+    Rule("https-url", r"https://(?:[^/@\s\"<>]+@)?([A-Za-z0-9.-]+)(?::\d+)?(?:/[^\s\"<>|;#]*)?", 1, needles=("https://",)),
+    Rule("http-url", r"http://(?:[^/@\s\"<>]+@)?([A-Za-z0-9.-]+)(?::\d+)?(?:/[^\s\"<>|;#]*)?", 1, needles=("http://",)),
+    Rule("ipv4-address", r"\b(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}):\d+\b", 1, needles=(":",)),
+    Rule("ssh-host", r"ssh://([A-Za-z0-9.-]+)(?::\d+)?", 1, needles=("ssh://",)),
+    Rule("git-remote-ssh", r"git@([A-Za-z0-9.-]+):", 1, needles=("git@",)),
+    Rule("curl-request", r"curl\s+\S*https?://([A-Za-z0-9.-]+)(?::\d+)?(?:/\S*)?", 1, needles=("curl",)),
+    Rule("wget-request", r"wget\s+\S*https?://([A-Za-z0-9.-]+)(?::\d+)?(?:/\S*)?", 1, needles=("wget",)),
+]
+
+
+def load(path: str, bundled: list[Rule], override: bool = False) -> list[Rule]:
+    """Rules of a TOML file over the bundled ones: repository rules only add, a user's (override) replace by id; the last of an id wins in its first place."""
+    with open(path, "rb") as f:
+        found = [Rule(r["id"], r["pattern"], r.get("capture", 0), float(r.get("min_entropy", 0.0))) for r in tomllib.load(f).get("rules", [])]
+    out = {r.id: r for r in bundled}
+    for r in found:
+        if override or r.id not in out or all(r.id != b.id for b in bundled):
+            out[r.id] = r
+    return list(out.values())
+
+
+def _hits(line: Column, rule: Rule) -> Column:
+    found = F.regexp_extract_all(line, F.lit(rule.pattern), F.lit(rule.group))
+    if not rule.needles:
+        return found
+    gate = F.lit(False)
+    for n in rule.needles:
+        gate = gate | line.contains(n)
+    return F.when(gate, found).otherwise(F.array().cast("array<string>"))
+
+
+def _found(line: Column, n: int, rule: Rule) -> Column:
+    return F.transform(_hits(line, rule), lambda v, i: F.struct(F.lit(rule.id).alias("rule"), F.lit(n).alias("rule_no"), v.alias("value"), i.alias("nth"), F.lit(rule.entropy).alias("least")))
+
+
+def scan(lines: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(id, pos, rule, rule_no, value, nth) of every match in lines (id, pos, line)."""
+    each = [_found(F.col("line"), n, r) for n, r in enumerate(rules)]
+    return lines.select("id", "pos", F.explode(F.flatten(F.array(*each))).alias("h")).select("id", "pos", "h.*")
+
+
+def secrets(df: DataFrame, id_col: str, text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
+    """(id, pos, rule, masked, bits): credentials whose entropy reaches the rule's; of equal values in a line the first rule's."""
+    found = scan(explode_lines(df, id_col, text_col), rules or SECRET_RULES).withColumn("bits", F.round(T.entropy("value"), 6)).where(F.col("bits") >= F.col("least"))
+    first = Window.partitionBy("id", "pos", "value").orderBy("rule_no", "nth")
+    found = found.withColumn("r", F.row_number().over(first)).where("r = 1")
+    return found.select("id", "pos", "rule", F.concat(F.substring("value", 1, 4), F.lit("…")).alias("masked"), "bits")
+
+
+def egress(df: DataFrame, id_col: str, text_col: str, rules: list[Rule] | None = None) -> DataFrame:
+    """(id, pos, rule, host): destinations, one of each host, rule and line."""
+    plain = df.withColumn("__t", F.replace(F.col(text_col), F.lit("\\/"), F.lit("/")))
+    found = scan(explode_lines(plain, id_col, "__t"), rules or EGRESS_RULES).withColumn("host", T.normalize_host("value"))
+    return found.where("host <> ''").select("id", "pos", "rule", "host").distinct()
+
+
+def verdicts(findings: DataFrame, hosts: DataFrame) -> DataFrame:
+    """findings with verdict: of the host's and its parent domains' entries in hosts (host, verdict) `dangerous` wins over `safe`; else `unknown`."""
+    labels = F.split("host", r"\.")
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    names = findings.select("host").distinct().withColumn("parent", F.explode(parents))
+    known = names.join(hosts.select(F.col("host").alias("parent"), "verdict"), "parent").groupBy("host").agg(F.min("verdict").alias("verdict"))  # dangerous < safe
+    return findings.join(known, "host", "left").withColumn("verdict", F.coalesce("verdict", F.lit("unknown")))
