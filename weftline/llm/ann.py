@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch
+from weftline.llm.common import Scratch, map_arrow
 from weftline.llm.jaccard import _whole_groups
 
 SAMPLE = 8_000
@@ -156,7 +156,7 @@ def search(base: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 20, k
                 packed = (c[:, 0::2] * 16 + c[:, 1::2]).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cell, pa.int32()), pa.array([p.tobytes() for p in packed], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())], names=["id", "cell", "code", "vec"])
 
-    coded = scratch.write(src.select("id", "embedding").mapInArrow(code, "id bigint, cell int, code binary, vec binary"), "codes")
+    coded = scratch.write(map_arrow(src.select("id", "embedding"), code, "id bigint, cell int, code binary, vec binary"), "codes")
     sizes = {r["cell"]: r["count"] for r in coded.groupBy("cell").count().collect()}  # one row per cell
     full = np.array([sizes.get(c, 0) for c in range(len(index.centres))])
     probes = min(len(full), max(8, int(np.ceil(share * len(full)))))
@@ -198,7 +198,7 @@ def search(base: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 20, k
                     q = np.frombuffer(b"".join(t.column("vec").slice(at, to - at).to_pylist()), np.float64).reshape(-1, dim)
                     yield _best(index, q, ids[at:to], codes, x, ids[lo:mid], int(cell[lo]), k, rerank)
 
-    found = both.mapInArrow(scan, "query_id bigint, vec_id bigint, score double")
+    found = map_arrow(both, scan, "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # k rows for each block read
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

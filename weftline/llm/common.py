@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -51,6 +54,24 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy() -> None:
+    """Gives memory that a finished task has freed back to the machine: Python workers live on, and executors' memory is limited."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema), tidied up after each task."""
+
+    def tidied(batches):
+        yield from run(batches)
+        tidy()
+
+    return df.mapInArrow(tidied, schema)
+
+
 def map_texts(df: DataFrame, keep: list[str], fn: Callable[[list], dict], fields: str, text: str = "text") -> DataFrame:
     """keep columns pass through unchanged; fn gets the batch's texts (null: None) and returns arrays for the fields of the DDL `fields`.
 
@@ -70,7 +91,7 @@ def map_texts(df: DataFrame, keep: list[str], fn: Callable[[list], dict], fields
             cols = [b.column(i) for i in range(len(keep))] + [a if isinstance(a, pa.Array) else pa.array(a, t) for a, t in ((got[n], t) for n, t in types)]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, *(n for n, _ in types)])
 
-    return src.mapInArrow(run, out_ddl)
+    return map_arrow(src, run, out_ddl)
 
 
 def _arrow_types(ddl: str, spark: SparkSession) -> list[tuple[str, pa.DataType]]:
@@ -116,4 +137,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, take: Column
     return texts, ys
 
 
-__all__ = ["Scratch", "crc_mod", "labelled_sample", "map_texts", "shared_dir", "table", "tv"]
+__all__ = ["Scratch", "crc_mod", "labelled_sample", "map_arrow", "map_texts", "shared_dir", "table", "tidy", "tv"]

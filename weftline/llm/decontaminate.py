@@ -209,7 +209,7 @@ def search(docs: DataFrame, found: Index, keep: list[str]) -> DataFrame:
 
     def run(texts):
         hits = []
-        for _, part in tv.chunks(texts, 1 << 21):
+        for _, part in tv.chunks(texts, 1 << 20):
             hits += found.search(part)
         return {"__hits": pa.array(hits, _HITS)}
 

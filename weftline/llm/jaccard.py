@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import textvec as tv
-from weftline.llm.common import Scratch, map_texts
+from weftline.llm.common import Scratch, map_arrow, map_texts
 
 T = 64  # positions of a sketch
 _U = np.uint64
@@ -85,7 +85,7 @@ def _split(df: DataFrame, threshold: float, roots: np.ndarray | None = None) ->
             for lo in range(0, b.num_rows, 2000):
                 yield _children(b.slice(lo, 2000), threshold, roots)
 
-    return df.mapInArrow(run, "node bigint, c bigint")
+    return map_arrow(df, run, "node bigint, c bigint")
 
 
 def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +144,7 @@ def _brute(df: DataFrame, least: int) -> DataFrame:
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
-    return df.mapInArrow(run, "a bigint, b bigint")
+    return map_arrow(df, run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -252,7 +252,7 @@ def _verify(df: DataFrame, threshold: float, width: int) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["c", "to", "links", "root"])
 
-    return df.mapInArrow(run, "c bigint, to bigint, links bigint, root bigint")
+    return map_arrow(df, run, "c bigint, to bigint, links bigint, root bigint")
 
 
 def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:

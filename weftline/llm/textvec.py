@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = _U(pow(int(_BASE), -1, 1 << 64))

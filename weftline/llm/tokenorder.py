@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import textvec as tv
-from weftline.llm.common import Scratch
+from weftline.llm.common import Scratch, map_arrow
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The vocabulary's splitting pattern, and the record mark (two line feeds).
@@ -131,7 +131,7 @@ def _offsets(counts: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
 def sequences(docs: DataFrame, layout: Layout, scratch: Scratch) -> tuple[DataFrame, int]:
     """(slot, record without padding) of every sequence, and their number."""
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"))
-    counted = scratch.write(keyed.select("k", "text").mapInArrow(_count(layout.vocabulary, layout.length), "k bigint, n bigint"), "counts")
+    counted = scratch.write(map_arrow(keyed.select("k", "text"), _count(layout.vocabulary, layout.length), "k bigint, n bigint"), "counts")
     ids = scratch.write(keyed.select("doc_id", "k").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "ids")
     counts = counted.groupBy("k").agg(F.min("n").alias("n")).join(ids, "k")
     first, total = _offsets(counts, scratch)
@@ -162,7 +162,7 @@ def sequences(docs: DataFrame, layout: Layout, scratch: Scratch) -> tuple[DataFr
                 slot = feistel(np.array(index, np.int64), total, layout.key)
                 yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(body, pa.binary())], names=["slot", "record"])
 
-    return single.select(F.col("doc_id").cast("bigint"), "text", "first", "copy").mapInArrow(cut, "slot bigint, record binary"), total
+    return map_arrow(single.select(F.col("doc_id").cast("bigint"), "text", "first", "copy"), cut, "slot bigint, record binary"), total
 
 
 def materialise(docs: DataFrame, path: str, scratch: Scratch, layout: Layout = Layout()) -> DataFrame:
@@ -178,20 +178,23 @@ def materialise(docs: DataFrame, path: str, scratch: Scratch, layout: Layout = L
 
 def read_index(spark, path: str, layout: Layout = Layout()) -> DataFrame:
     """slot, shard, byte_offset, doc_id, seq_no, n_tokens and crc32 (of the ids, padding included) of every record of the shards."""
+    kind = np.dtype([("id", "<i8"), ("seq", "<i4"), ("n", "<u2"), ("none", "<u2"), ("rest", "V", 2 * layout.length + 2)])
 
     def run(batches):
         for b in batches:
-            for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                shard, n = int(name.rsplit("part-", 1)[1][:5]), len(raw) // layout.stride
-                rows = np.frombuffer(raw, np.dtype([("id", "<i8"), ("seq", "<i4"), ("n", "<u2"), ("none", "<u2"), ("ids", "u1", 2 * layout.length + 2)]), n)
-                at = np.arange(n, dtype=np.int64)
-                crc = [zlib.crc32(x[:-2]) for x in np.ascontiguousarray(rows["ids"])]
-                cols = [pa.array(shard * layout.slots + at), pa.array(np.full(n, shard, np.int32)), pa.array(at * layout.stride), pa.array(np.ascontiguousarray(rows["id"]), mask=rows["none"] > 0)]
-                cols += [pa.array(np.ascontiguousarray(rows["seq"])), pa.array(rows["n"].astype(np.int32)), pa.array(crc, pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names=["slot", "shard", "byte_offset", "doc_id", "seq_no", "n_tokens", "crc32"])
+            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                raw = content.as_buffer()  # of a whole shard, not copied
+                shard, n = int(name.rsplit("part-", 1)[1][:5]), raw.size // layout.stride
+                rows, view = np.frombuffer(raw, kind, n), memoryview(raw)
+                for lo in range(0, n, 8192):
+                    part, at = rows[lo : lo + 8192], np.arange(lo, min(n, lo + 8192), dtype=np.int64)
+                    crc = [zlib.crc32(view[i + HEADER : i + HEADER + 2 * layout.length]) for i in range(lo * layout.stride, (lo + len(part)) * layout.stride, layout.stride)]
+                    cols = [pa.array(shard * layout.slots + at), pa.array(np.full(len(part), shard, np.int32)), pa.array(at * layout.stride), pa.array(part["id"].copy(), mask=part["none"] > 0)]
+                    cols += [pa.array(part["seq"].copy()), pa.array(part["n"].astype(np.int32)), pa.array(crc, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["slot", "shard", "byte_offset", "doc_id", "seq_no", "n_tokens", "crc32"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/shards").select("path", "content")
-    return files.mapInArrow(run, "slot bigint, shard int, byte_offset bigint, doc_id bigint, seq_no int, n_tokens int, crc32 bigint")
+    return map_arrow(files, run, "slot bigint, shard int, byte_offset bigint, doc_id bigint, seq_no int, n_tokens int, crc32 bigint")
 
 
 def read_slots(spark, path: str, first: int, count: int, layout: Layout = Layout()) -> np.ndarray:
