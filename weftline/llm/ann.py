@@ -3,8 +3,8 @@
 A bounded sample trains coarse centres and product codebooks of 16 words (4 bits) a subspace. Codes are chosen to keep the
 residual parallel to the vector small (anisotropic loss), which is what moves an inner product. Every row is coded and belongs to
 its nearest centre's cell; a query reads the cells whose centres score highest. Cells are dealt out in blocks of bounded size, so
-a crowded cell is many tasks; a block's codes are scanned with the query's tables, two 4-bit codes at a time, and the best are ranked anew
-by the exact inner product in double precision.
+a crowded cell is many tasks; a block's codes are scanned with the query's tables, two 4-bit codes at a time, and the best, with all that lie
+within three typical errors of the k-th, are ranked anew by the exact inner product in double precision.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those of another length than
 the most frequent one in the sample; a candidate with the query's own id is never returned; repeated ids are separate candidates; with fewer candidates all are returned; an
@@ -39,6 +39,7 @@ class Index:
     eta: float  # weight of the parallel residual
     width: int
     dim: int
+    spread: float = 0.0  # typical error of an approximate score, for a query of length 1
 
     def split(self, x: np.ndarray) -> np.ndarray:
         """n x subspaces x width, zeros appended."""
@@ -108,6 +109,8 @@ def train(x: np.ndarray, cells: int, width: int = 2, cut: float = 0.2, rounds: i
                     rhs = r[s, j].sum(0) + (eta - 1) * ((r[s, j] * u[s, j]).sum(1) + other[s]) @ u[s, j]
                     index.books[j, k] = np.linalg.solve(uu, rhs)
             par[:, j] = ((r[:, j] - index.books[j][code[:, j]]) * u[:, j]).sum(1)
+    code = index.encode(x, at)
+    index.spread = float(np.sqrt(np.mean([((r[:, j] - index.books[j][code[:, j]]) ** 2).sum(1) for j in range(m)]) * m / d))
     return index
 
 
@@ -131,7 +134,7 @@ def search(base: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 20, k
     """query_id, rank, vec_id, score: the k best rows of base for each row of queries (both: key, vec), but the query's own.
 
     recall: of the sample's own exact neighbours, the part that must lie in the cells a query reads; sets the number of cells.
-    rerank: so many times k of a block are ranked by the exact product.
+    rerank: so many times k of a block, at least, are ranked by the exact product.
     """
     src = usable(base.select(F.col(key).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("embedding")).where("id is not null"))
     sample = src.select("embedding").orderBy(F.xxhash64("id", F.lit(5)), "id").limit(SAMPLE).collect()
@@ -207,10 +210,12 @@ def _best(index: Index, q, qid, codes, x, ids, cell: int, k: int, rerank: int) -
     rough = index.scan(q, codes, cell)
     rough[qid[:, None] == ids[None, :]] = -np.inf
     keep = min(len(ids), k * rerank)
-    top = np.argpartition(-rough, keep - 1, 1)[:, :keep] if keep < len(ids) else np.tile(np.arange(len(ids)), (len(q), 1))
+    least = np.partition(rough, len(ids) - keep, 1)[:, len(ids) - keep]
+    kth = np.partition(rough, max(0, len(ids) - k), 1)[:, max(0, len(ids) - k)]
+    bar = np.minimum(least, kth - 3 * index.spread * np.linalg.norm(q, axis=1))  # all that the table scan can't tell from the k best are ranked exactly
     out = [[], [], []]
     for i in range(len(q)):
-        near = top[i][ids[top[i]] != qid[i]]
+        near = np.flatnonzero((rough[i] >= bar[i]) & (ids != qid[i]))
         score = (x[near] * q[i]).sum(1)
         best = np.lexsort((ids[near], -score))[:k]
         out[0].append(np.full(len(best), qid[i]))
