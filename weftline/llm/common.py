@@ -84,12 +84,12 @@ def map_texts(df: DataFrame, keep: list[str], fn: Callable[[list], dict], fields
     types = _arrow_types(fields, df.sparkSession)
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            got = fn(b.column(at).to_pylist())
-            cols = [b.column(i) for i in range(len(keep))] + [a if isinstance(a, pa.Array) else pa.array(a, t) for a, t in ((got[n], t) for n, t in types)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, *(n for n, _ in types)])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):  # of a batch, only a slice is held as Python objects
+                b = whole.slice(lo, 1024)
+                got = fn(b.column(at).to_pylist())
+                cols = [b.column(i) for i in range(len(keep))] + [a if isinstance(a, pa.Array) else pa.array(a, t) for a, t in ((got[n], t) for n, t in types)]
+                yield pa.RecordBatch.from_arrays(cols, names=[*keep, *(n for n, _ in types)])
 
     return map_arrow(src, run, out_ddl)
 
