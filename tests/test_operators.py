@@ -200,3 +200,28 @@ def test_sessions_and_outputs_in_stream(spark, tmp_path):
     q = streams.first_outputs(src).writeStream.format("memory").queryName("firsts").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("firsts").count() == rows.select("project", "command", "digest").distinct().count()
+
+
+def test_generic_reduction():
+    from weftline.operators import reduce as R
+
+    blob = "iVBORw0KGgo" + "aB3" * 400
+    assert R.generic("x " + blob + " y") == f"x [base64 png, {len(blob)} chars omitted] y"
+    assert "ab" * 400 in R.generic("hex " + "ab" * 400)
+    assert R.generic('{ "b": 1.50,\n "a": [1, 2], "s": "x  y" }') == '{"b":1.50,"a":[1,2],"s":"x  y"}'
+    assert R.generic('{"a": 1}\n{"b":  2}\n') == '{"a":1}\n{"b":2}'
+    assert R.group_lines("a\na\na\nb") == "a (x3)\nb"
+    assert R.group_blocks("h\n" + "x\ny\n" * 4 + "e") == "h\nx\ny\n[block of 2 lines repeated 4 times]\ne"
+    long = "start " + "filler words " * 4000 + "some_ident_1234 " + "more words " * 4000 + " end"
+    assert R.count(R.ceiling(long)) < 8100 and R.ceiling(long).startswith("start") and R.ceiling(long).endswith("end")
+    assert R.generic("10%\r50%\rdone\nok") == "done\nok"
+    log = "\n".join(f"commit {i:040x}\nAuthor: a\nDate: d\n\n    message {i}\n" for i in range(20))
+    assert R.by_command("cd x && git log -n 20 | cat", log) != log and R.by_command("git log", log).split("\n")[0] == "00000000 message 0"
+    ps = "USER PID %CPU COMMAND\n" + "\n".join(f"u {i} {i}.0 c{i}" for i in range(30))
+    assert R.by_command("ps aux", ps).split("\n")[1] == "u 29 29.0 c29"
+    assert R.pack([("a", "x" * 40, 1.0), ("b", "x" * 400, 0.9), ("c", "x" * 8, 0.1)], 12) == ["a", "c"]
+    rng = random.Random(1)
+    for _ in range(200):
+        t = "\n".join(rng.choice(["a", "b", "", "error x", "path/to/f:3: y", "\x1b[1mz\x1b[0m"]) for _ in range(rng.randint(0, 40)))
+        for c in ("git status", "git diff", "grep x", "find .", "ps", "kubectl get pods", "npm install", "terraform plan", "cargo tree", "cargo build"):
+            assert len(R.by_command(c, t).encode()) <= len(t.encode())

@@ -455,3 +455,21 @@ def _(spark, d):
 def _(spark, d):
     rows = table(spark, d, "customer").select("c_custkey", "c_nationkey")
     return files.upsert(rows.withColumn("state", F.lit("old")), rows.where("c_nationkey < 5").withColumn("state", F.lit("new")), "c_custkey").select("c_custkey", "state")
+
+
+@query("generic_reduction")
+def _(spark, d):
+    from weftline.operators import reduce
+
+    rows = docs(spark, d).withColumn("command", F.when(F.col("doc_id") % 2 == 0, "git log").otherwise("grep -rn x ."))
+    return reduce.apply(rows, "command", "text", ["doc_id", "lang"]).groupBy("lang").agg(F.count("*").alias("n"), F.sum("tokens_after").alias("tokens"))
+
+
+@query("replay_savings")
+def _(spark, d):
+    rows = table(spark, d, "conversations").withColumn("command", F.when(F.col("role") == "user", "cat notes").otherwise("find ."))
+    from weftline.operators import reduce
+
+    out = filters.apply_to(rows, "command", "text", keep=["conv_id", "turn", "role", "text"])
+    out = out.select(F.col("role").alias("agent"), "filter", T.tokens("text").alias("raw_tokens"), T.tokens("reduced").alias("tokens_after"))
+    return reduce.savings(out)
