@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -56,7 +55,6 @@ class Scratch:
 
 def tidy() -> None:
     """Gives memory that a finished task has freed back to the machine: Python workers live on, and executors' memory is limited."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -17,7 +17,9 @@ empty table writes no shard. Special tokens' strings in a text are ordinary text
 from __future__ import annotations
 
 import struct
+import sys
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -97,8 +99,8 @@ def _count(path: str, length: int):
     def run(batches):
         for b in batches:
             if b.num_rows:
-                n = [-(-len(tokens(t.as_py(), path)) // length) for t in b.column(1)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["k", "n"])
+                n = [-(-len(tokens(t.as_py(), path)) // length) for t in b.column(2)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["k", "doc_id", "n"])
 
     return run
 
@@ -131,9 +133,8 @@ def _offsets(counts: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
 def sequences(docs: DataFrame, layout: Layout, scratch: Scratch) -> tuple[DataFrame, int]:
     """(slot, record without padding) of every sequence, and their number."""
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"))
-    counted = scratch.write(map_arrow(keyed.select("k", "text"), _count(layout.vocabulary, layout.length), "k bigint, n bigint"), "counts")
-    ids = scratch.write(keyed.select("doc_id", "k").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "ids")
-    counts = counted.groupBy("k").agg(F.min("n").alias("n")).join(ids, "k")
+    counted = map_arrow(keyed.select("k", F.col("doc_id").cast("bigint"), "text"), _count(layout.vocabulary, layout.length), "k bigint, doc_id bigint, n bigint")
+    counts = scratch.write(counted, "counts").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("copies"))
     first, total = _offsets(counts, scratch)
     first = scratch.write(first, "first")
     several = first.where("copies > 1")
@@ -153,7 +154,9 @@ def sequences(docs: DataFrame, layout: Layout, scratch: Scratch) -> tuple[DataFr
                 ids, start, copy = b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
                 body, index = [], []
                 for i, text in enumerate(b.column(1)):
-                    t = np.array(tokens(text.as_py(), layout.vocabulary), "<u2")
+                    t = array("H", tokens(text.as_py(), layout.vocabulary))
+                    if sys.byteorder == "big":
+                        t.byteswap()
                     raw, n = t.tobytes(), -(-len(t) // layout.length)
                     for j in range(n):
                         size = min(layout.length, len(t) - j * layout.length)
