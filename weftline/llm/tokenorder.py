@@ -7,7 +7,8 @@ shard is sorted and written as records of one stride: a 16-byte header (document
 id; little-endian 8, 4, 2 and 2 bytes), 2-byte ids padded with the end id, then a 2-byte record mark. Record s is at byte
 (s mod slots per shard) x stride of its shard, so a reader starts anywhere and resumes from a slot number.
 
-Texts are tokenised twice, first to count, so that only the final shuffle carries tokens. Shards are written by the engine's own
+Texts are tokenised twice, first to count, so that only the final shuffle carries tokens; the ids of `stored` percent of the
+documents are kept from the first time, which trades disk for CPU. Shards are written by the engine's own
 writer, on any file system it knows and with its commit protocol.
 
 Defined cases: a null or empty text is one sequence of the end id; rows alike in id and text are separate documents; null ids come first; an
@@ -44,6 +45,7 @@ class Layout:
     length: int = 256  # ids a sequence
     slots: int = 32_768  # records a shard
     key: int = 20240101
+    stored: int = 20  # percent of the documents whose ids are kept between the two passes
     vocabulary: str = VOCABULARY
 
     @property
@@ -95,12 +97,28 @@ def feistel(index: np.ndarray, n: int, key: int, invert: bool = False) -> np.nda
     return x.astype(np.int64)
 
 
-def _count(path: str, length: int):
+def _packed(text: str | None, path: str) -> bytes:
+    """The ids of a text, 2 bytes each, little-endian."""
+    ids = array("H", tokens(text, path))
+    if sys.byteorder == "big":
+        ids.byteswap()
+    return ids.tobytes()
+
+
+def _count(layout: Layout):
     def run(batches):
-        for b in batches:
-            if b.num_rows:
-                n = [-(-len(tokens(t.as_py(), path)) // length) for t in b.column(2)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["k", "doc_id", "n"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                b = whole.slice(lo, 256)
+                n, kept = [], []
+                for text, keep in zip(b.column(2), b.column(3).to_pylist(), strict=True):
+                    if keep:
+                        kept.append(_packed(text.as_py(), layout.vocabulary))
+                        n.append(-(-len(kept[-1]) // (2 * layout.length)))
+                    else:
+                        kept.append(None)
+                        n.append(-(-len(tokens(text.as_py(), layout.vocabulary)) // layout.length))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(kept, pa.binary())], names=["k", "doc_id", "n", "ids"])
 
     return run
 
@@ -133,39 +151,42 @@ def _offsets(counts: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
 def sequences(docs: DataFrame, layout: Layout, scratch: Scratch) -> tuple[DataFrame, int]:
     """(slot, record without padding) of every sequence, and their number."""
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"))
-    counted = map_arrow(keyed.select("k", F.col("doc_id").cast("bigint"), "text"), _count(layout.vocabulary, layout.length), "k bigint, doc_id bigint, n bigint")
-    counts = scratch.write(counted, "counts").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("copies"))
+    keep = F.pmod("k", F.lit(100)) < layout.stored
+    counted = map_arrow(keyed.select("k", F.col("doc_id").cast("bigint"), "text", keep.alias("keep")), _count(layout), "k bigint, doc_id bigint, n bigint, ids binary")
+    counted = scratch.write(counted, "counts")
+    counts = counted.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("copies"))
     first, total = _offsets(counts, scratch)
     first = scratch.write(first, "first")
     several = first.where("copies > 1")
     rows = first.count()
-    single = keyed.join(F.broadcast(first) if rows <= BROADCAST_ROWS else first, "k")
+    side = F.broadcast(first) if rows <= BROADCAST_ROWS else first
+    none = F.lit(None).cast("binary").alias("ids")
+    alone, zero = F.col("copies") == 1, F.lit(0).alias("copy")
+    known = counted.where("ids is not null").join(side, "k").where(alone).select("doc_id", F.lit(None).cast("string").alias("text"), "ids", "first", zero)
+    single = keyed.where(~keep).join(side, "k").where(alone).select(F.col("doc_id").cast("bigint"), "text", none, "first", zero).union(known)
     if not several.isEmpty():  # rows alike in id and text: one of them stands for all
         few = F.broadcast(several.select("k")) if several.count() <= BROADCAST_ROWS else several.select("k")
         once = keyed.join(few, "k", "left_semi").dropDuplicates(["k"]).join(first, "k").withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
-        single = single.where("copies = 1").withColumn("copy", F.lit(0)).unionByName(once)
-    else:
-        single = single.withColumn("copy", F.lit(0))
+        single = single.union(once.select(F.col("doc_id").cast("bigint"), "text", none, "first", "copy"))
 
     def cut(batches):
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)
-                ids, start, copy = b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
+                ids, start, copy = b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()
                 body, index = [], []
-                for i, text in enumerate(b.column(1)):
-                    t = array("H", tokens(text.as_py(), layout.vocabulary))
-                    if sys.byteorder == "big":
-                        t.byteswap()
-                    raw, n = t.tobytes(), -(-len(t) // layout.length)
+                for i, (text, stored) in enumerate(zip(b.column(1), b.column(2), strict=True)):
+                    raw = stored.as_py() or _packed(text.as_py(), layout.vocabulary)
+                    length = len(raw) // 2
+                    n = -(-length // layout.length)
                     for j in range(n):
-                        size = min(layout.length, len(t) - j * layout.length)
+                        size = min(layout.length, length - j * layout.length)
                         body.append(struct.pack("<qiHH", ids[i] or 0, j, size, ids[i] is None) + raw[2 * j * layout.length : 2 * (j + 1) * layout.length])
                         index.append(start[i] + copy[i] * n + j)
                 slot = feistel(np.array(index, np.int64), total, layout.key)
                 yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(body, pa.binary())], names=["slot", "record"])
 
-    return map_arrow(single.select(F.col("doc_id").cast("bigint"), "text", "first", "copy"), cut, "slot bigint, record binary"), total
+    return map_arrow(single, cut, "slot bigint, record binary"), total
 
 
 def materialise(docs: DataFrame, path: str, scratch: Scratch, layout: Layout = Layout()) -> DataFrame:
