@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
-from weftline.operators import chunks, events, filters, graph, rules, transcripts
+from weftline.operators import chunks, events, filters, graph, lines, prompts, reports, rules, transcripts
 from weftline.sources import files
 from weftline.streaming import events as streams
 
@@ -225,3 +225,77 @@ def test_generic_reduction():
         t = "\n".join(rng.choice(["a", "b", "", "error x", "path/to/f:3: y", "\x1b[1mz\x1b[0m"]) for _ in range(rng.randint(0, 40)))
         for c in ("git status", "git diff", "grep x", "find .", "ps", "kubectl get pods", "npm install", "terraform plan", "cargo tree", "cargo build"):
             assert len(R.by_command(c, t).encode()) <= len(t.encode())
+
+
+def test_every_credential_rule_finds_its_form(spark):
+    h, a = "0123456789abcdef" * 6, "Ab1Cd2Ef3Gh4Ij5Kl6Mn7Op8Qr9St0Uv" * 6
+    forms = {
+        "gitlab-runner-token": "GR1348" + "941" + a[:20], "gitlab-pipeline-trigger-token": "glptt" + "-" + h[:40], "gitlab-feed-token": "glft" + "-" + a[:20], "openrouter-key": "sk-or" + "-v1-" + h[:64],
+        "replicate-token": "r8" + "_" + a[:37], "groq-key": "gsk" + "_" + a[:40], "perplexity-key": "pplx" + "-" + a[:40], "xai-key": "xai" + "-" + a[:80], "databricks-token": "dapi" + h[:32],
+        "stripe-webhook-secret": "whsec" + "_" + a[:32], "shopify-token": "shpat" + "_" + h[:32], "square-access-token": "sq0atp" + "-" + a[:22], "slack-app-token": "xapp" + "-1-A1-2-" + h[:8],
+        "telegram-bot-token": "12345678" + ":" + a[:35], "twilio-account-sid": "AC" + h[:32], "mailgun-key": "key" + "-" + h[:32], "mailchimp-key": h[:32] + "-us" + "7", "rubygems-key": "rubygems" + "_" + h[:48],
+        "dockerhub-pat": "dckr_pat" + "_" + a[:27], "sonarqube-token": "squ" + "_" + h[:40], "grafana-service-account-token": "glsa" + "_" + a[:32] + "_" + h[:8], "vault-service-token": "hvs" + "." + a[:20],
+        "newrelic-user-key": "NRAK" + "-" + a[:27].upper(), "newrelic-license-key": h[:40] + "NRAL", "sentry-dsn": "https://" + h[:32] + "@o1.example.org/12", "datadog-token": "ddap" + "_" + a[:40], "linear-api-key": "lin_api" + "_" + a[:40],
+        "notion-token": "ntn" + "_" + a[:43], "airtable-token": "pat" + a[:14] + "." + h[:64], "supabase-token": "sbp" + "_" + h[:40], "planetscale-token": "pscale_pw" + "_" + a[:32], "doppler-token": "dp" + ".pt." + a[:40],
+        "age-secret-key": "AGE-SECRET" + "-KEY-1" + a[:58].upper(), "azure-storage-account-key": "AccountKey" + "=" + a[:86] + "==",
+    }
+    df = spark.createDataFrame(list(forms.items()), "id string, text string")
+    found = {(r["id"], r["rule"]) for r in rules.secrets(df, "id").collect()}
+    assert {k for k in forms if (k, k) not in found} == set()
+    assert rules.secrets(df.select("id", F.lit("plain words, no key").alias("text")), "id").count() == 0
+    assert len({r.id for r in rules.SECRET_RULES}) == 63 and len({r.id for r in rules.EGRESS_RULES}) == 18
+
+
+def test_destinations(spark):
+    forms = [("git-remote-https", "git clone https://code.example.org/a/b"), ("docker-registry", "pull ghcr.io/x/y"), ("package-registry", "from pypi.org"), ("aws-endpoint", "https://s3.eu.amazonaws.com/b"),
+             ("azure-endpoint", "https://a.blob.core.net/x"), ("npm-install", "npm install https://npm.example.org/x"), ("generic-external-domain", "'https://api.example.org/x'")]
+    found = {(r["id"], r["rule"]) for r in rules.egress(spark.createDataFrame(forms, "id string, text string"), "id", "text").collect()}
+    assert {(k, k) for k, _ in forms} <= found
+
+
+def test_retrieve_windows(spark):
+    df = spark.createDataFrame([(1, "a\nB\nc\nd\ne"), (2, ""), (3, None)], "id int, text string")
+    li = lines.explode_lines(df, "id")
+
+    def got(**how):
+        return [r["line"] for r in lines.retrieve(li, **how).orderBy("id", "pos").collect()]
+
+    assert got() == ["a", "B", "c", "d", "e"]
+    assert got(first=2, last=3) == ["2:B", "3:c"] and got(last=1) == ["1:a"] and got(first=9) == []
+    assert got(grep="b") == ["2:B"] and got(grep="[B]") == ["2:B"] and got(grep="A") == []
+    assert got(head=1, tail=1) == ["a", "[... 3 lines omitted ...]", "e"] and got(head=3, tail=2) == ["a", "B", "c", "d", "e"]
+    assert got(head=2) == ["a", "B"] and got(tail=2) == ["d", "e"] and got(head=0, tail=1) == ["[... 4 lines omitted ...]", "e"]
+    with pytest.raises(ValueError):
+        lines.retrieve(li, first=3, last=2)
+
+
+def test_reports(spark):
+    nodes = spark.createDataFrame([(1, 'a "x"'), (2, "b<c>"), (3, "unused"), (4, None)], "id int, label string")
+    rel = spark.createDataFrame([(1, 2, "r"), (1, 2, "r"), (2, 4, None)], "src int, dst int, reference string")
+    text = reports.document(reports.dot(nodes, rel, "t")).head()["text"].split("\n")
+    assert text[0] == "digraph relations {" and text[-2:] == ["}", ""] and len(text) == 4 + 3 + 2 + 2
+    assert '  N1 [label="a \\"x\\""];' in text and '  N2 -> N4 [label=""];' in text
+    chart = reports.document(reports.mermaid(nodes, rel, "t")).head()["text"]
+    assert chart.startswith("```mermaid\ngraph LR\n") and "N1[\"a 'x'\"]" in chart and "unused" not in chart
+    page = reports.document(reports.html(nodes, rel, "<t>")).head()["text"]
+    assert "&lt;t&gt;" in page and page.count("<tr>") == 2 and "b&lt;c&gt;" in page
+    empty = reports.document(reports.dot(nodes, rel.limit(0), "t")).head()["text"]
+    assert empty.count("\n") == 5
+
+
+def test_module_labels(spark):
+    rows = [("one", "src/a.py")] * 3 + [("one", "src/b.py")] * 2 + [("two", f"src/x/{i}.py") for i in range(5)] + [("three", f"{i}/f{i}.py") for i in range(5)]
+    got = {r["module"]: (r["label"], r["size"]) for r in reports.module_labels(spark.createDataFrame(rows, "module string, path string")).collect()}
+    assert got == {"one": ("src/a.py", 5), "two": ("src/x/", 5), "three": ("f0.py + f1.py + f2.py +2", 5)}
+
+
+def test_prompt_weight(spark):
+    texts = [("a", "---\nname: fmt\ndescription: formats code\n---\nbody"), ("b", "---\nname: x\ndescription: |\n  one two\n  three\nother: 1\n---\n"), ("c", "plain first\nsecond"), ("d", None)]
+    got = {r["f"]: (r["skill"], r["listing"]) for r in prompts.skills(spark.createDataFrame(texts, "f string, text string"), "f", "text").collect()}
+    want = {"a": "fmt: formats code", "b": "x: one two three", "c": "c: plain first", "d": "d: "}
+    assert got == {k: (v.split(":")[0], -(-len(v) // 4)) for k, v in want.items()}
+    servers = spark.createDataFrame([("g", "s1", 3, 2000), ("g", "s2", 4, 1600), ("g", "s3", None, None), ("h", "s4", 1, 10)], "agent string, server string, tools int, tokens int")
+    context = spark.createDataFrame([("g", 10), ("i", 9000)], "agent string, tokens int")
+    rows = {r["agent"]: r for r in prompts.audit(servers, context, 3000, 2, 50).collect()}
+    assert rows["g"]["reasons"] == ["~3600 tool tokens > 3000", "3 servers > 2"] and rows["g"]["advice"][2].startswith("review `s1` first") and len(rows["g"]["advice"]) == 5
+    assert not rows["h"]["warn"] and rows["h"]["advice"] == [] and rows["i"]["reasons"] == ["~9000 always-on context tokens > 3000"] and rows["i"]["servers"] == 0

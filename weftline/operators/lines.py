@@ -100,3 +100,42 @@ def similar_blocks(lines: DataFrame, threshold: float = 0.8, least: int = 2) ->
     same = F.size(F.filter(F.zip_with("body", "prior", lambda a, b: a == b), lambda x: x)) / F.size("body")
     out = blocks.withColumn("prior", prior).withColumn("agreement", F.when(F.size("body") == F.size("prior"), same).otherwise(F.lit(0.0)))
     return out.select("id", "block", F.size("body").alias("n_lines"), "agreement", ((F.col("agreement") >= threshold) & (F.size("body") >= least)).alias("similar"))
+
+
+def retrieve(lines: DataFrame, first: int | None = None, last: int | None = None, grep: str | None = None, head: int | None = None, tail: int | None = None) -> DataFrame:
+    """A window of each text: the lines first to last, of these what matches grep, of these head and tail.
+
+    grep ignores case unless it holds an upper-case letter. With a range or grep, lines carry their number. Between head and tail a row tells how many lines are missing.
+    """
+    kept = lines
+    if first is not None or last is not None:
+        if (first or 1) < 1 or (last is not None and last < (first or 1)):
+            raise ValueError("lines count from 1, first <= last")
+        kept = kept.where(F.col("pos").between(first or 1, last if last is not None else 2**62))
+    if grep is not None:
+        kept = kept.where(F.col("line").rlike(grep if any(c.isupper() for c in grep) else f"(?i){grep}"))
+    shown = F.concat(F.col("pos").cast("string"), F.lit(":"), "line") if first is not None or last is not None or grep is not None else F.col("line")
+    kept = kept.select("id", "pos", shown.alias("line"))
+    if head is None and tail is None:
+        return kept
+    whole = Window.partitionBy("id")
+    kept = kept.withColumn("k", F.row_number().over(_order())).withColumn("n", F.count("*").over(whole))
+    gap = F.col("n") - (head or 0) - (tail or 0)
+    near = F.lit(False)
+    if head is not None:
+        near = near | (F.col("k") <= head)
+    if tail is not None:
+        near = near | (F.col("k") > F.col("n") - tail)
+    seam = (gap > 0) & (F.col("k") == head + 1) if head is not None and tail is not None else F.lit(False)
+    marker = F.concat(F.lit("[... "), gap.cast("string"), F.lit(" lines omitted ...]"))
+    return kept.where(near | seam).select("id", "pos", F.when(seam & ~near, marker).otherwise(F.col("line")).alias("line"))
+
+
+def uncovered(spans: DataFrame, totals: DataFrame) -> DataFrame:
+    """(id, start, end): the lines from 1 to the text's total (id, total) that no span (id, start, end) covers, as maximal ranges."""
+    edge = totals.select("id", (F.col("total") + 1).alias("start"), (F.col("total") + 1).alias("end"), F.col("total"))
+    all_ = spans.select("id", "start", "end", F.lit(None).cast("bigint").alias("total")).join(totals.select("id"), "id", "left_semi").union(edge)
+    before = Window.partitionBy("id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.max("total").over(Window.partitionBy("id"))
+    gaps = all_.select("id", (F.coalesce(F.max("end").over(before), F.lit(0)) + 1).alias("s"), (F.least(F.col("start") - 1, total)).alias("e"))
+    return gaps.where("s <= e").select("id", F.col("s").cast("bigint").alias("start"), F.col("e").cast("bigint").alias("end"))

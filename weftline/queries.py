@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
-from weftline.operators import chunks, events, filters, graph, lines, rules, transcripts, usage
+from weftline.operators import chunks, events, filters, graph, lines, prompts, reports, rules, transcripts, usage
 from weftline.plans.inputs import EVENT_LOG, TRADE, USAGE, mapped, oracle, table
 from weftline.sources import files
 
@@ -473,3 +473,78 @@ def _(spark, d):
     out = filters.apply_to(rows, "command", "text", keep=["conv_id", "turn", "role", "text"])
     out = out.select(F.col("role").alias("agent"), "filter", T.tokens("text").alias("raw_tokens"), T.tokens("reduced").alias("tokens_after"))
     return reduce.savings(out)
+
+
+# ---- retrieval, reports, prompt weight --------------------------------------------------------------------------
+
+
+@query(
+    "retrieval_slice",
+    f"""{LN}, k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS k, count(*) OVER (PARTITION BY id) AS n FROM l WHERE pos BETWEEN 2 AND 40 AND regexp_matches(line, '(?i)the|an'))
+    SELECT id, pos, CASE WHEN n > 5 AND k = 4 AND k <= n - 2 THEN '[... ' || (n - 5) || ' lines omitted ...]' ELSE pos || ':' || line END AS line FROM k WHERE k <= 3 OR k > n - 2 OR (n > 5 AND k = 4)""",
+)
+def _(spark, d):
+    return lines.retrieve(lines.explode_lines(docs(spark, d), "doc_id"), 2, 40, "the|an", 3, 2)
+
+
+@query(
+    "uncovered_ranges",
+    """WITH s AS (SELECT l_orderkey AS id, l_linenumber * 3 AS a, l_linenumber * 3 + CAST(l_quantity AS BIGINT) % 4 AS b FROM lineitem), p AS (SELECT o_orderkey AS id, unnest(range(1, 26)) AS p FROM orders),
+    u AS (SELECT p.id, p, p - row_number() OVER (PARTITION BY p.id ORDER BY p) AS g FROM p ANTI JOIN s ON s.id = p.id AND p.p BETWEEN a AND b)
+    SELECT id, CAST(min(p) AS BIGINT) AS start, CAST(max(p) AS BIGINT) AS "end" FROM u GROUP BY id, g""",
+)
+def _(spark, d):
+    spans = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") * 3).alias("start"), (F.col("l_linenumber") * 3 + F.col("l_quantity").cast("bigint") % 4).alias("end"))
+    return lines.uncovered(spans, table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit(25).cast("bigint").alias("total")))
+
+
+def _diagram(spark, d):
+    nodes = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("label"))
+    return nodes, trade(spark, d).select("src", "dst", F.lit("buys from").alias("reference"))
+
+
+@query(
+    "graph_mermaid",
+    f"""{E}, x(section, line) AS (SELECT 0, unnest(['```mermaid', 'graph LR']) UNION ALL SELECT 3, unnest(['    %% trade', '```'])
+    UNION ALL SELECT 1, '    N' || n_nationkey || '["' || n_name || '"]' FROM nation WHERE n_nationkey IN (SELECT src FROM e UNION SELECT dst FROM e)
+    UNION ALL SELECT DISTINCT 2, '    N' || src || ' -->|"buys from"| N' || dst FROM e) SELECT section, line FROM x""",
+)
+def _(spark, d):
+    return reports.mermaid(*_diagram(spark, d), "trade").select("section", "line")
+
+
+@query(
+    "graph_dot",
+    f"""{E}, x(section, line) AS (SELECT 0, unnest(['digraph relations {{', '  label="trade";', '  rankdir=LR;', '  node [shape=box];']) UNION ALL SELECT 3, '}}'
+    UNION ALL SELECT 1, '  N' || n_nationkey || ' [label="' || n_name || '"];' FROM nation WHERE n_nationkey IN (SELECT src FROM e UNION SELECT dst FROM e)
+    UNION ALL SELECT DISTINCT 2, '  N' || src || ' -> N' || dst || ' [label="buys from"];' FROM e) SELECT section, line FROM x""",
+)
+def _(spark, d):
+    return reports.dot(*_diagram(spark, d), "trade").select("section", "line")
+
+
+@query(
+    "repository_report",
+    f"""{E}, c(src, dst) AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src),
+    n AS (SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e),
+    s AS (SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree, (SELECT count(*) FROM c WHERE dst = n.node) AS dependents FROM n GROUP BY node ORDER BY sum(o + i) DESC, node LIMIT 12),
+    h AS (SELECT 'god nodes' AS heading, in_degree + out_degree AS b, * FROM s UNION ALL SELECT 'bottlenecks', in_degree - out_degree, * FROM s WHERE in_degree > out_degree UNION ALL SELECT 'blast leaders', dependents, * FROM s)
+    SELECT heading, row_number() OVER (PARTITION BY heading ORDER BY b DESC, node) AS place, node, in_degree, out_degree, dependents FROM h QUALIFY place <= 4""",
+)
+def _(spark, d):
+    return reports.repository(trade(spark, d), 4)
+
+
+@query(
+    "prompt_weight",
+    """WITH s AS (SELECT n_name AS agent, count(*) AS servers, CAST(sum(s_suppkey % 30) AS BIGINT) AS tools, CAST(sum(s_suppkey * 37 % 4000) AS BIGINT) AS tool_tokens FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name),
+    c AS (SELECT n_name AS agent, CAST(sum(ceil(length(c_name) / 4.0)) AS BIGINT) AS always_on FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name),
+    b AS (SELECT agent, coalesce(servers, 0) AS servers, coalesce(tools, 0) AS tools, coalesce(tool_tokens, 0) AS tool_tokens, coalesce(always_on, 0) AS always_on FROM s FULL JOIN c USING (agent))
+    SELECT *, tool_tokens > 300 OR servers > 3 OR tools > 60 OR always_on > 300 AS warn, concat_ws('; ', CASE WHEN tool_tokens > 300 THEN '~' || tool_tokens || ' tool tokens > 300' END, CASE WHEN servers > 3 THEN servers || ' servers > 3' END,
+    CASE WHEN tools > 60 THEN tools || ' tools > 60' END, CASE WHEN always_on > 300 THEN '~' || always_on || ' always-on context tokens > 300' END) AS reasons FROM b""",
+)
+def _(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("agent"))
+    servers = table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("k")).select("agent", F.col("s_name").alias("server"), (F.col("s_suppkey") % 30).alias("tools"), (F.col("s_suppkey") * 37 % 4000).alias("tokens"))
+    context = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("k")).select("agent", T.tokens("c_name").alias("tokens"))
+    return prompts.audit(servers, context, 300, 3, 60).withColumn("reasons", F.array_join("reasons", "; ")).drop("advice")
