@@ -2,12 +2,14 @@
 
 Rules are (id, pattern, group, least entropy, needles). Per line every rule is one array expression, so a scan is one projection and
 one explode: no join of lines with rules. Needles are literals one of which a match must hold; they are tested before the pattern.
+Rules whose matches hold a least number of characters in a row without white space (`run`) read the line's long enough words alone, or, where a
+match may also hold white space (`spaced`), the lines with such a word; all others read every line.
 """
 
 from __future__ import annotations
 
 import tomllib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ class Rule:
     group: int = 0
     entropy: float = 0.0
     needles: tuple[str, ...] = ()
+    run: int = 0
+    spaced: bool = False
 
 
 # Credential patterns, specific ones first.
@@ -91,6 +95,9 @@ SECRET_RULES = [
     Rule("db-connection-uri", r"(?i)(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp)://[^\s:@/]+:([^\s:/${}<>]{7,})@[^\s/@]+", 1, 2.8, ("://",)),
     Rule("generic-secret-assignment", r"""(?i)(?:api[_-]?key|secret|token|password|passwd|pwd|access[_-]?token|client[_-]?secret|private[_-]?key)["' ]?\s*[:=]\s*["']?([A-Za-z0-9+/_-]{16,})""", 1, 3.5, ("=", ":")),
 ]
+# The shortest match of all but the key block has 15 characters without white space in a row; two may hold white space before these.
+SPACED = ("aws-secret-access-key", "generic-secret-assignment")
+SECRET_RULES = [r if r.id == "private-key-block" else replace(r, run=15, spaced=r.id in SPACED) for r in SECRET_RULES]
 # Network destinations.
 EGRESS_RULES = [
     Rule("https-url", r"https://(?:[^/@\s\"<>]+@)?([A-Za-z0-9.-]+)(?::\d+)?(?:/[^\s\"<>|;#]*)?", 1, needles=("https://",)),
@@ -141,7 +148,12 @@ def _found(line: Column, n: int, rule: Rule) -> Column:
 
 def scan(lines: DataFrame, rules: list[Rule]) -> DataFrame:
     """(id, pos, rule, rule_no, value, nth) of every match in lines (id, pos, line)."""
-    each = [_found(F.col("line"), n, r) for n, r in enumerate(rules)]
+    least = min((r.run for r in rules if r.run), default=0)
+    if least:  # a word is a whole run without white space, so no match and no word boundary gets lost
+        words = F.array_join(F.regexp_extract_all("line", F.lit(rf"(?<!\S)\S{{{least},}}"), F.lit(0)), " ")
+        lines = lines.select("id", "pos", "line", words.alias("words"))
+    long = F.when(F.col("words") != "", F.col("line")).otherwise("") if least else F.col("line")
+    each = [_found(F.col("line") if not r.run else long if r.spaced else F.col("words"), n, r) for n, r in enumerate(rules)]
     return lines.select("id", "pos", F.explode(F.flatten(F.array(*each))).alias("h")).select("id", "pos", "h.*")
 
 
