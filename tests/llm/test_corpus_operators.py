@@ -303,6 +303,25 @@ def test_decontamination_finds_edited_passages(spark):
     assert decontaminate.contamination(frame(spark, rows[:2]), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("lengths", "seed"), [((10, 300), 1), ((10, 60, 120), 2)])
+def test_decontamination_of_mixed_lengths(lengths, seed):
+    rng = random.Random(seed)
+    items = [[f"w{rng.randrange(5000)}" for _ in range(m)] for m in lengths for _ in range(10)]
+    index, exact = (decontaminate.Index(list(range(len(items))), [" ".join(w) for w in items], recall=r) for r in (0.99, 1.0))
+    for i in range(0, len(items), 10):
+        texts, due = [], []
+        for n in range(60):
+            c = list(items[i + n % 10])
+            for _ in range(len(c) // 5):
+                p = rng.randrange(len(c))
+                c[p : p + 1] = rng.choice([[f"q{rng.random()}"], [f"q{rng.random()}"], [], [c[p], f"r{rng.random()}"]])
+            texts.append(" ".join(["zz yy xx"] * rng.randrange(30) + c + ["kk ll"] * rng.randrange(30)))
+            due.append(i + n % 10)
+        for how, least in ((index, 0.95), (exact, 1.0)):
+            found = [{h["item_id"] for h in hits} for hits in how.search(texts)]
+            assert sum(x in f for x, f in zip(due, found, strict=True)) >= least * len(due), len(items[i])
+
+
 def test_ann_recall_and_scores(spark, scratch):
     base = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").limit(2000)
     wide = base.union(base.select((F.col("vec_id") + 100_000).alias("vec_id"), F.transform("embedding", lambda x: (x * F.lit(0.9)).cast("float")).alias("embedding"), "label"))

@@ -4,8 +4,10 @@ An item's near copy is a passage whose word edit distance to the item is at most
 passage shares a run of ceil((m - k) / (k + 1)) words with the item (pigeonhole; m words, k edits), so only windows aligned with a shared run
 of that length, or of 3 words, can match; no match is lost by leaving out the others. Each such item-sized window is embedded by the CGK random walk (a
 pointer that repeats or advances by a random bit of the word it stands on), which turns edit distance into Hamming distance;
-sampled places of the embedding are the LSH key. The number of repetitions is set by simulated edits at the limit, to the target recall.
-Colliding (window, item) pairs are verified by exact approximate-substring edit distance.
+sampled places of the embedding are the LSH key. The number of repetitions is set for each item length: so many that the target share
+of simulated copies, edited at the limit, is met at least once. Colliding (window, item) pairs are verified by exact approximate-substring
+edit distance. For lengths at which MOST repetitions don't reach the target, every passage that shares enough runs with an item (k edits
+destroy at most k * q of its runs of q words) is verified without LSH, so that nothing is lost there.
 
 Defined cases: null and empty texts match nothing; items without text or of fewer than `min_words` words are not searched (they don't
 identify a source); repeated rows get equal results, equal items each match; an empty table of either kind gives no match.
@@ -14,6 +16,7 @@ identify a source); repeated rows get equal results, equal items each match; an
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,13 @@ from weftline.llm.common import map_texts
 _U = np.uint64
 _PAD = _U(0x5BD1E995A4F3C2E7)
 MAX_ITEMS = 50_000
+MOST = 256  # repetitions; beyond, the exact check of all passages costs less
+COPIES = 400  # simulated for each length
+
+
+@lru_cache(2)
+def _walk(seed: int) -> np.ndarray:
+    return (tv.mix64(np.arange(MOST * 1024, dtype=_U) + _U(seed << 32)) | _U(1)).reshape(MOST, 1024)
 
 
 class Index:
@@ -37,22 +47,33 @@ class Index:
         parts = np.split(words, np.searchsorted(doc, np.arange(1, len(texts)))) if texts else []
         kept = [i for i, w in enumerate(parts) if len(w) >= min_words]
         self.ids, self.items = [ids[i] for i in kept], [parts[i] for i in kept]
-        self.rng = np.random.default_rng(seed)
-        self.seeds = (tv.mix64(np.arange(96 * 1024, dtype=_U) + _U(seed << 32)) | _U(1)).reshape(96, 1024)
-        self.repeats = self._repeats(recall)
-        self.grams: dict[int, tuple] = {}
-        for q in sorted({self.run(len(w)) for w in self.items}):
-            rows = [(tv_gram, i, o) for i, w in enumerate(self.items) if self.run(len(w)) == q for o, tv_gram in enumerate(gram(w, q).tolist())]
-            rows.sort()
-            keys = np.array([r[0] for r in rows], _U)
-            self.grams[q] = (keys, np.array([len(self.items[r[1]]) for r in rows], np.int64), np.array([r[2] for r in rows], np.int64))
+        self.seed = seed
+        lengths = sorted({len(w) for w in self.items})
+        self.grams = self._gram_table(range(len(self.items)))
+        self.repeats = self._repeats(lengths, recall)
         self.tables: dict[int, tuple] = {}
-        for m in sorted({len(w) for w in self.items}):
+        for m in lengths:
             which = [i for i, w in enumerate(self.items) if len(w) == m]
-            steps = [np.sort(np.random.default_rng([seed, m, r]).choice(3 * m, min(places, 3 * m), replace=False)) for r in range(self.repeats)]
+            steps = self.steps(m, 0, self.repeats[m] or 0)
             mat = np.stack([self.items[i] for i in which])
-            sig = self.signatures(mat, steps)
-            self.tables[m] = (np.array(which), mat, steps, sig)
+            self.tables[m] = (np.array(which), mat, steps, self.signatures(mat, steps))
+        self.grams = self._gram_table([i for i, w in enumerate(self.items) if self.repeats[len(w)]])
+        self.exact = self._gram_table([i for i, w in enumerate(self.items) if not self.repeats[len(w)]])
+
+    def _gram_table(self, which) -> dict[int, tuple]:
+        """By length of run: runs in order, and the item and the place in it of each."""
+        out = {}
+        for q in sorted({self.run(len(self.items[i])) for i in which}):
+            own = [i for i in which if self.run(len(self.items[i])) == q]
+            grams = [gram(self.items[i], q)[: len(self.items[i]) - q + 1] for i in own]
+            keys, item, offset = np.concatenate(grams), np.repeat(own, [len(g) for g in grams]), np.concatenate([np.arange(len(g)) for g in grams])
+            order = np.lexsort((offset, item, keys))
+            out[q] = (keys[order], item[order], offset[order])
+        return out
+
+    def steps(self, m: int, first: int, last: int) -> list[np.ndarray]:
+        """Sampled places of the repetitions first to last - 1 for items of m words."""
+        return [np.sort(np.random.default_rng([self.seed, m, r]).choice(3 * m, min(self.places, 3 * m), replace=False)) for r in range(first, last)]
 
     def limit(self, m: int) -> int:
         return int(self.edits * m)
@@ -61,8 +82,8 @@ class Index:
         k = self.limit(m)
         return max(1, min(3, -(-(m - k) // (k + 1))))
 
-    def signatures(self, windows: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-        """LSH keys (repetitions x rows) of rows of words: the CGK embedding of each repetition at its sampled steps."""
+    def signatures(self, windows: np.ndarray, steps: list[np.ndarray], first: int = 0) -> np.ndarray:
+        """LSH keys (repetitions from `first` on x rows) of rows of words: the CGK embedding of each repetition at its sampled steps."""
         n, m = windows.shape
         wide = np.concatenate([windows, np.full((n, 1), _PAD, _U)], 1)
         at, rows, out = np.zeros((len(steps), n), np.int64), np.arange(n)[None, :], np.zeros((len(steps), n), _U)
@@ -70,58 +91,119 @@ class Index:
         for r, own in enumerate(steps):
             for j in own.tolist():
                 due.setdefault(j, []).append(r)
-        last = max(due, default=-1)
+        last, seeds = max(due, default=-1), _walk(self.seed)[first : first + len(steps)]
         for j in range(last + 1):
             sym = wide[rows, at]
             if j in due:
                 out[due[j]] = tv.mix64(out[due[j]] + sym[due[j]])
             if j < last:  # words are hashes already: a multiplication makes a fresh bit of them
-                at += ((sym * self.seeds[: len(steps), j % self.seeds.shape[1], None]) >> _U(63)).astype(np.int64)
+                at += ((sym * seeds[:, j % seeds.shape[1], None]) >> _U(63)).astype(np.int64)
                 np.minimum(at, m, out=at)
         return out
 
-    def _repeats(self, recall: float) -> int:
-        """Repetitions for the target recall of copies at the limit, from simulated edits of the items."""
-        hit = total = 0
-        for w in self.items[:: max(1, len(self.items) // 40)]:
-            k, m = self.limit(len(w)), len(w)
-            if not k:
-                continue
-            copies = []
-            for _ in range(20):
-                c = w.tolist()
-                for _ in range(k):
-                    p, kind = int(self.rng.integers(len(c))), int(self.rng.integers(4))
-                    new = int(self.rng.integers(1 << 63))
-                    c[p : p + (kind != 1)] = [new] if kind < 3 else []  # substitution twice as often as insertion and deletion
-                copies.append((c + [int(_PAD)] * m)[:m])
-            mat = np.concatenate([w[None, :], np.array(copies, _U)])
-            steps = [np.sort(self.rng.choice(3 * m, min(self.places, 3 * m), replace=False)) for _ in range(12)]
-            sig = self.signatures(mat, steps)
-            hit += int((sig[:, 1:] == sig[:, :1]).sum())
-            total += 12 * 20
-        rate = max(hit / total, 0.02) if total else 1.0
-        return 1 if rate >= 1 else min(96, math.ceil(math.log(1 - recall) / math.log(1 - rate)))
-
-    def windows(self, words: np.ndarray, first: np.ndarray, last: np.ndarray):
+    def _repeats(self, lengths: list[int], recall: float) -> dict[int, int | None]:
+        """Repetitions by item length; None: verified without LSH.
+
+        Up to 64 words each length is simulated. Longer ones go by the longest within a tenth, with its edits rounded up. No length has fewer than
+        a shorter one, as rates fall with length and single draws of places can be lucky; all beyond a length that MOST repetitions
+        don't serve are verified without LSH, too.
+        """
+        out: dict[int, int | None] = {}
+        left, most = list(lengths), 1
+        while left:
+            group = [m for m in left if m <= max(left[0], left[0] * 1.1 if left[0] > 64 else 0)]
+            m = group[-1]
+            n = self._simulated(m, math.ceil(self.edits * m) if m > 64 else self.limit(m), recall)
+            most = None if n is None else max(most, n)
+            if most is None:
+                return out | dict.fromkeys(left)
+            out |= dict.fromkeys(group, most)
+            left = left[len(group) :]
+        return out
+
+    def _simulated(self, m: int, k: int, recall: float) -> int | None:
+        """Repetitions that meet the recall's share of copies with k edits at least once, by all windows that are tried."""
+        if not k or recall >= 1:
+            return None if k else 1
+        mat = np.stack([w for w in self.items if len(w) == m][:COPIES])
+        rng = np.random.default_rng([self.seed, m])
+        texts = []
+        for i in range(COPIES):
+            c = mat[i % len(mat)].tolist()
+            for _ in range(k):
+                p, kind = int(rng.integers(len(c))), int(rng.integers(4))
+                new = int(rng.integers(1 << 63))
+                c[p : p + (kind != 1)] = [new] if kind < 3 else []  # substitution twice as often as insertion and deletion
+            texts.append(np.concatenate([rng.integers(1 << 63, size=k).astype(_U), np.array(c, _U), rng.integers(1 << 63, size=2 * k).astype(_U)]))
+        words, bounds = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+        first, last = (np.repeat(x, np.diff(bounds)) for x in (bounds[:-1], bounds[1:]))
+        start, begin, end = next((w for size, w in self.windows(words, first, last, m)), np.zeros((3, 0), np.int64))
+        copy, view = np.searchsorted(bounds, begin), view_of(words, start, end, m)
+        met = np.full(COPIES, MOST)
+        due = math.ceil(recall * COPIES + 1.3 * math.sqrt(COPIES * recall * (1 - recall)))  # so that nine in ten such simulations hold what they say
+        for r in range(0, MOST, 16):
+            open_ = np.flatnonzero(met[copy] == MOST)
+            steps = self.steps(m, MOST + r, MOST + r + 16)  # not those of the tables: these must not be lucky for these copies
+            hit = self.signatures(view[open_], steps, r) == self.signatures(mat, steps, r)[:, copy[open_] % len(mat)]
+            np.minimum.at(met, copy[open_], np.where(hit.any(0), r + hit.argmax(0), MOST))
+            missed = np.count_nonzero(met == MOST)
+            if COPIES - missed >= due:
+                return int(np.sort(met)[due - 1]) + 1
+            if (missed / COPIES) ** (MOST / (r + 16)) > 1 - recall:  # what is missed falls more slowly from repetition to repetition
+                return None
+        return None
+
+    def _shared(self, table: tuple, q: int, words: np.ndarray, last: np.ndarray):
+        """Place, item and place in the item of every run of q words that the words share with the table."""
+        keys, items, offsets = table
+        g = gram(words, q)
+        lo = np.searchsorted(keys, g)
+        hit = np.flatnonzero((lo < len(keys)) & (keys[np.minimum(lo, len(keys) - 1)] == g)) if len(keys) else np.zeros(0, int)
+        hit = hit[last[hit] - hit >= q]
+        lo, hi = lo[hit], np.searchsorted(keys, g[hit], "right")
+        count = hi - lo
+        row = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return np.repeat(hit, count), items[row], offsets[row]
+
+    def windows(self, words: np.ndarray, first: np.ndarray, last: np.ndarray, only: int | None = None):
         """Distinct (size, start, text bounds) of windows that can hold a near copy. first, last: bounds of each word's text."""
         got: dict[int, list[np.ndarray]] = {}
-        for q, (keys, sizes, offsets) in self.grams.items():
-            g = gram(words, q)
-            lo = np.searchsorted(keys, g)
-            hit = np.flatnonzero((lo < len(keys)) & (keys[np.minimum(lo, len(keys) - 1)] == g)) if len(keys) else np.zeros(0, int)
-            hit = hit[last[hit] - hit >= q]
-            lo, hi = lo[hit], np.searchsorted(keys, g[hit], "right")
-            count = hi - lo
-            place = np.repeat(hit, count)
-            row = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            start = np.clip(place - offsets[row], first[place], last[place] - 1)
-            for m in np.unique(sizes[row]).tolist():
-                mine = sizes[row] == m
-                got.setdefault(m, []).append(np.unique(np.stack([start[mine], first[place[mine]], last[place[mine]]]), axis=1))
+        sizes = np.array([len(w) for w in self.items], np.int64)
+        for q, table in self.grams.items():
+            place, item, offset = self._shared(table, q, words, last)
+            start = np.clip(place - offset, first[place], last[place] - 1)
+            for m in [only] if only else np.unique(sizes[item]).tolist():
+                mine = sizes[item] == m
+                if mine.any():
+                    got.setdefault(m, []).append(np.unique(np.stack([start[mine], first[place[mine]], last[place[mine]]]), axis=1))
         for m, parts in got.items():
             yield m, np.unique(np.concatenate(parts, 1), axis=1)
 
+    def passages(self, words: np.ndarray, first: np.ndarray, last: np.ndarray):
+        """(size, items, starts, ends) of all passages that can hold a near copy of an item searched without LSH.
+
+        A copy keeps at least m - q + 1 - k * q of the item's runs, displaced by amounts within k of each other.
+        """
+        sizes = np.array([len(w) for w in self.items], np.int64)
+        for q, table in self.exact.items():
+            place, item, offset = self._shared(table, q, words, last)
+            order = np.lexsort((place - offset, first[place], item))
+            place, item, start = place[order], item[order], (place - offset)[order]
+            m, text = sizes[item], first[place]
+            k = (self.edits * m).astype(np.int64)
+            group = np.cumsum(np.concatenate([[0], (item[1:] != item[:-1]) | (text[1:] != text[:-1])])) if len(item) else item
+            line = group * (4 * (len(words) + int(sizes.max(initial=0)))) + start
+            held = np.searchsorted(line, line + k, "right") - np.arange(len(line))
+            found: dict[int, list] = {}
+            before, at = None, 0
+            for x in np.flatnonzero(held >= np.maximum(1, m - q + 1 - k * q)).tolist():
+                if before != group[x] or start[x] - at > k[x]:  # starts within k share a passage
+                    before, at = group[x], start[x]
+                    found.setdefault(int(m[x]), []).append([item[x], max(at - k[x], text[x]), 0])
+                found[int(m[x])][-1][2] = min(start[x] + m[x] + k[x], last[place[x]])
+            for size, rows in found.items():
+                yield size, *np.array(rows, np.int64).T
+
     def search(self, texts: list[str]) -> list[list[dict]]:
         """Of each text: best match of every item found in it."""
         words, doc, at, to = tv.word_hashes(texts)
@@ -130,38 +212,47 @@ class Index:
             return [[] for _ in texts]
         bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
         first, last = bounds[doc], bounds[doc + 1]
+
+        def verify(m: int, items: np.ndarray, lo_w: np.ndarray, hi_w: np.ndarray) -> None:
+            which, mat, _, _ = self.tables[m]
+            k, size = self.limit(m), max(16, min(2048, (1 << 18) // m))
+            for p in range(0, len(items), size):
+                it, lo, hi = items[p : p + size], lo_w[p : p + size], hi_w[p : p + size]
+                dist, s, e = substring_distance(mat[it], view_of(words, lo, hi, max(m + 2 * k, int((hi - lo).max()))))
+                for x in np.flatnonzero(dist <= k).tolist():
+                    d, i = doc[lo[x]], int(which[it[x]])
+                    b, f = int(lo[x] + s[x]), int(min(lo[x] + e[x], hi[x]))
+                    new = (int(dist[x]), int(at[b]), int(to[max(b, f - 1)]))
+                    if i not in out[d] or new < out[d][i]:
+                        out[d][i] = new
+
         for m, w in self.windows(words, first, last):
             which, mat, steps, sig = self.tables[m]
-            for lo in range(0, w.shape[1], 1024):
-                start, begin, end = w[:, lo : lo + 1024]
-                pos = start[:, None] + np.arange(m)[None, :]
-                view = np.where(pos < end[:, None], words[np.minimum(pos, len(words) - 1)], _PAD)
+            order = np.argsort(sig, axis=1, kind="stable")
+            keys, k = np.take_along_axis(sig, order, 1), self.limit(m)
+            size = max(64, min(1024, (1 << 15) // len(steps)))
+            for lo in range(0, w.shape[1], size):
+                start, begin, end = w[:, lo : lo + size]
                 pairs = []
-                for r, s in enumerate(self.signatures(view, steps)):
-                    order = np.argsort(sig[r], kind="stable")
-                    keys = sig[r][order]
-                    a, b = np.searchsorted(keys, s), np.searchsorted(keys, s, "right")
+                for r, s in enumerate(self.signatures(view_of(words, start, end, m), steps)):
+                    a, b = np.searchsorted(keys[r], s), np.searchsorted(keys[r], s, "right")
                     row = np.repeat(np.arange(len(s)), b - a)
-                    item = order[np.repeat(a, b - a) + np.arange(len(row)) - np.repeat(np.cumsum(b - a) - (b - a), b - a)]
+                    item = order[r][np.repeat(a, b - a) + np.arange(len(row)) - np.repeat(np.cumsum(b - a) - (b - a), b - a)]
                     pairs.append(row * len(which) + item)
                 pair = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, int)
                 row, item = pair // len(which), pair % len(which)
-                k = self.limit(m)
-                for p in range(0, len(row), 2048):
-                    r, it = row[p : p + 2048], item[p : p + 2048]
-                    lo_w, hi_w = np.maximum(start[r] - k, begin[r]), np.minimum(start[r] + m + k, end[r])
-                    span = np.arange(m + 2 * k)[None, :] + lo_w[:, None]
-                    region = np.where(span < hi_w[:, None], words[np.minimum(span, len(words) - 1)], _PAD)
-                    dist, s, e = substring_distance(mat[it], region)
-                    for x in np.flatnonzero(dist <= k).tolist():
-                        d, i = doc[start[r[x]]], int(which[it[x]])
-                        b, f = int(lo_w[x] + s[x]), int(min(lo_w[x] + e[x], hi_w[x]))
-                        new = (int(dist[x]), int(at[b]), int(to[max(b, f - 1)]))
-                        if i not in out[d] or new < out[d][i]:
-                            out[d][i] = new
+                verify(m, item, np.maximum(start[row] - k, begin[row]), np.minimum(start[row] + m + k, end[row]))
+        for m, item, lo_w, hi_w in self.passages(words, first, last):
+            verify(m, np.searchsorted(self.tables[m][0], item), lo_w, hi_w)
         return [[{"item_id": self.ids[i], "distance": v[0], "start": v[1], "end": v[2]} for i, v in sorted(o.items())] for o in out]
 
 
+def view_of(words: np.ndarray, start: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
+    """Row by row `width` words from start on, padded from end on."""
+    pos = start[:, None] + np.arange(width)[None, :]
+    return np.where(pos < end[:, None], words[np.minimum(pos, len(words) - 1)], _PAD)
+
+
 def gram(words: np.ndarray, q: int) -> np.ndarray:
     """Hash of the q words from each place on (the last q - 1 are not used)."""
     acc = np.zeros(len(words), _U)
