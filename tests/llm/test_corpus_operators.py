@@ -184,6 +184,20 @@ def test_mixing_edge_cases(spark, scratch):
     assert list(taken.columns) == ["doc_id", "text", "lang", "source", "n_chars", "score", "c"]
 
 
+def test_mixing_fills_past_a_long_document(spark, scratch):
+    rng = random.Random(4)
+    texts = ["w " * rng.randrange(100, 401) for _ in range(200)] + ["w " * 20_000]
+    docs = frame(spark, texts)
+    for seed in range(3):
+        meta = mixing.describe(docs, F.array(F.lit("s")), seed, [F.col("doc_id")]).cache()
+        rows = {r["doc_id"]: r for r in meta.collect()}
+        size = sum(r["size"] for r in rows.values())
+        place = sum(r["size"] for r in rows.values() if r["unit"] < rows[200]["unit"])
+        want = place + 1.0 + min(10_000, (size - place - 20_000) // 2)  # the long document is where the sum crosses it
+        got = mixing.repeats(meta, mixing.plan(meta, {"s": want}, {("s",): (size, len(texts))}, 3, scratch)).toPandas()
+        assert abs((got["size"] * got.repeats).sum() - want) <= 100
+
+
 def labels(spark):
     return read(spark, "labels")
 

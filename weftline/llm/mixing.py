@@ -4,8 +4,8 @@ A document belongs to one or more sources. Documents are counted by membership p
 pattern can give its words once, twice or up to `most` times, at a cost that rises with each repetition; each source wants its
 target. The min-cost flow from patterns to sources says how often each pattern is taken. Of a pattern that is taken a fractional number of
 times, the documents that are taken once more are chosen by a seeded hash: every document below a threshold, found by
-refining a histogram, and of the last few units those that still fit. A document's share is thus a function of its own values: no join by
-id, and reruns agree.
+refining a histogram, and of the last few units those that still fit. What is too long for the room left is skipped, and the documents after it
+fill on in the same way until none fits. A document's share is thus a function of its own values: no join by id, and reruns agree.
 
 Defined cases: null and empty texts have size 0 and are taken 0 words; the null source is a source like any other; rows alike in id, text and
 sources are taken or left together; an empty table gives an empty result; over MAX_PATTERNS patterns raise an error.
@@ -122,7 +122,7 @@ def describe(docs: DataFrame, sources: Column, seed: int, keep: list[Column]) ->
 
 
 def plan(meta: DataFrame, wanted: dict, sizes: dict[tuple, tuple[int, int]], most: int, scratch: Scratch, few: int = 64) -> list[tuple]:
-    """(pattern, whole repetitions, threshold, further units) of each pattern; meta: size, pattern, unit."""
+    """(pattern, whole repetitions, ranges of units with the largest size taken there, further units) of each pattern; meta: size, pattern, unit."""
     given = flow({p: s for p, (s, _) in sizes.items()}, wanted, most)
     out, open_ = [], {}
     for p, (size, n) in sizes.items():
@@ -130,50 +130,71 @@ def plan(meta: DataFrame, wanted: dict, sizes: dict[tuple, tuple[int, int]], mos
         full = int(words_ // size) if size else 0
         rest = words_ - full * size if full < most else 0.0
         if rest < 0.5:
-            out.append((p, full, 0, []))
+            out.append((p, full, [], []))
         else:
-            open_[p] = {"full": full, "rest": rest, "lo": 0, "hi": TOP, "n": n}
+            open_[p] = {"full": full, "rest": rest, "lo": 0, "hi": TOP, "n": n, "cap": TOP, "from": 0, "parts": [], "taken": {}, "left": {}}
     spark = scratch.spark
-    schema = T.StructType([T.StructField("pattern", T.ArrayType(T.StringType())), T.StructField("lo", T.LongType()), T.StructField("step", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("rest", T.DoubleType())])
-    side = lambda ps: F.broadcast(spark.createDataFrame([(list(p), o["lo"], o["step"], o["hi"], o["rest"]) for p, o in ps.items()], schema))  # noqa: E731  MAX_PATTERNS rows at most
-    while wide := {p: o for p, o in open_.items() if o["n"] > few and o["hi"] - o["lo"] > 1}:
-        for o in wide.values():
-            parts = min(1024, max(2, o["n"] // (few // 2)), o["hi"] - o["lo"])
-            o["step"] = -(-(o["hi"] - o["lo"]) // parts)
-        hist = meta.where("size > 0").join(side(wide), "pattern").where("unit >= lo and unit < hi")
-        hist = hist.groupBy("pattern", "lo", "step", "hi", "rest", F.expr("(unit - lo) div step").alias("b")).agg(F.sum("size").alias("s"), F.count("*").alias("n"))
-        run = F.sum("s").over(_by("pattern", "b"))
-        cut = hist.withColumn("upto", run).where("upto >= rest").groupBy("pattern").agg(F.min_by(F.struct("b", "s", "n", "upto"), "b").alias("x"))
-        found = {tuple(r["pattern"]): r["x"] for r in cut.collect()}
-        for p, o in wide.items():
-            x = found.get(p)
-            if x is None:  # rounding: everything in the range is taken
-                out.append((p, o["full"], o["hi"], []))
-                del open_[p]
-                continue
-            base = o["lo"]
-            o["lo"], o["hi"], o["n"] = base + x["b"] * o["step"], min(o["hi"], base + (x["b"] + 1) * o["step"]), x["n"]
-            o["rest"] -= x["upto"] - x["s"]
-    if open_:
+    schema = T.StructType([T.StructField("pattern", T.ArrayType(T.StringType())), T.StructField("lo", T.LongType()), T.StructField("step", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("rest", T.DoubleType()), T.StructField("cap", T.LongType())])
+    side = lambda ps: F.broadcast(spark.createDataFrame([(list(p), o["lo"], o["step"], o["hi"], o["rest"], o["cap"]) for p, o in ps.items()], schema))  # noqa: E731  MAX_PATTERNS rows at most
+    fits = lambda ps: meta.where("size > 0").join(side(ps), "pattern").where("unit >= lo and unit < hi and size <= cap")
+
+    def close(p: tuple) -> None:
+        o = open_.pop(p)
+        out.append((p, o["full"], o["parts"], exchange(o["taken"], o["left"], o["rest"])))
+
+    while open_:
+        while wide := {p: o for p, o in open_.items() if o["n"] > few and o["hi"] - o["lo"] > 1}:
+            for o in wide.values():
+                parts = min(1024, max(2, o["n"] // (few // 2)), o["hi"] - o["lo"])
+                o["step"] = -(-(o["hi"] - o["lo"]) // parts)
+            hist = fits(wide).groupBy("pattern", "lo", "step", "hi", "rest", F.expr("(unit - lo) div step").alias("b")).agg(F.sum("size").alias("s"), F.count("*").alias("n"))
+            run = F.sum("s").over(_by("pattern", "b"))
+            cut = hist.withColumn("upto", run).where("upto >= rest").groupBy("pattern").agg(F.min_by(F.struct("b", "s", "n", "upto"), "b").alias("x"))
+            found = {tuple(r["pattern"]): r["x"] for r in cut.collect()}
+            for p, o in wide.items():
+                x = found.get(p)
+                if x is None:  # rounding: everything in the range is taken
+                    o["parts"].append((o["from"], o["hi"], o["cap"]))
+                    o["rest"] = 0.0
+                    close(p)
+                    continue
+                base = o["lo"]
+                o["lo"], o["hi"], o["n"] = base + x["b"] * o["step"], min(o["hi"], base + (x["b"] + 1) * o["step"]), x["n"]
+                o["rest"] -= x["upto"] - x["s"]
+        if not open_:
+            break
         for o in open_.values():
             o["step"] = 1
-        units = meta.where("size > 0").join(side(open_), "pattern").where("unit >= lo and unit < hi").groupBy("pattern", "unit").agg(F.sum("size").alias("s"))
         by: dict[tuple, list] = {}
-        for r in units.collect():  # about `few` units of each pattern
+        for r in fits(open_).groupBy("pattern", "unit").agg(F.sum("size").alias("s")).collect():  # about `few` units of each pattern
             by.setdefault(tuple(r["pattern"]), []).append((r["unit"], r["s"]))
         for p, o in open_.items():
-            out.append((p, o["full"], o["lo"], fit_units(sorted(by.get(p, [])), o["rest"])))
+            if o["lo"] > o["from"]:
+                o["parts"].append((o["from"], o["lo"], o["cap"]))
+            for u, size in sorted(by.get(p, [])):
+                if size <= o["rest"]:
+                    o["taken"][u] = size
+                    o["rest"] -= size
+                else:
+                    o["left"][u] = size
+            o["lo"] = o["from"] = o["hi"]
+            o["hi"], o["cap"] = TOP, int(o["rest"])
+        after = {tuple(r["pattern"]): r for r in fits(open_).groupBy("pattern").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()}
+        for p, o in list(open_.items()):
+            if p not in after:  # no document fits any more
+                close(p)
+            elif after[p]["s"] <= o["rest"]:  # all do
+                o["parts"].append((o["from"], TOP, o["cap"]))
+                o["rest"] -= after[p]["s"]
+                close(p)
+            else:
+                o["n"] = after[p]["n"]
     return out
 
 
-def fit_units(units: list[tuple[int, int]], room: float, swaps: int = 3) -> list[int]:
-    """Of (unit, size) in seeded order: those that fit one after another, then the few exchanges that come nearest to room."""
-    taken, left = {}, room
-    for u, s in units:
-        if s <= left:
-            taken[u] = s
-            left -= s
-    rest = {u: s for u, s in units if u not in taken}
+def exchange(taken: dict[int, int], rest: dict[int, int], left: float, swaps: int = 3) -> list[int]:
+    """Units (with sizes) taken after the few exchanges with the rest that bring `left` nearest to 0."""
+    taken, rest = dict(taken), dict(rest)
     for _ in range(swaps):
         moves = [(abs(left - b + a), x, y) for x, a in [(-1, 0), *taken.items()] for y, b in [(-1, 0), *rest.items()]]
         best, x, y = min(moves)
@@ -195,11 +216,11 @@ def _by(*cols: str):
 
 
 def repeats(df: DataFrame, plan_rows: list[tuple]) -> DataFrame:
-    """df (pattern, unit) with repeats, the times each document is taken."""
-    schema = T.StructType([T.StructField("pattern", T.ArrayType(T.StringType())), T.StructField("full", T.IntegerType()), T.StructField("below", T.LongType()), T.StructField("more", T.ArrayType(T.LongType()))])
-    side = df.sparkSession.createDataFrame([(list(p), f, b, m) for p, f, b, m in plan_rows], schema)
-    once = (F.col("unit") < F.col("below")) | F.array_contains("more", F.col("unit"))
-    return df.join(F.broadcast(side), "pattern").withColumn("repeats", F.col("full") + once.cast("int")).drop("full", "below", "more")
+    """df (pattern, unit, size) with repeats, the times each document is taken."""
+    schema = T.StructType([T.StructField("pattern", T.ArrayType(T.StringType())), T.StructField("full", T.IntegerType()), T.StructField("parts", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("more", T.ArrayType(T.LongType()))])
+    side = df.sparkSession.createDataFrame([(list(p), f, [list(x) for x in b], m) for p, f, b, m in plan_rows], schema)
+    once = F.exists("parts", lambda x: (F.col("unit") >= x[0]) & (F.col("unit") < x[1]) & (F.col("size") <= x[2])) | F.array_contains("more", F.col("unit"))
+    return df.join(F.broadcast(side), "pattern").withColumn("repeats", F.col("full") + once.cast("int")).drop("full", "parts", "more")
 
 
 def _pattern_sizes(meta: DataFrame) -> dict[tuple, tuple[int, int]]:
