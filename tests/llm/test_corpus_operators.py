@@ -360,6 +360,14 @@ def test_ann_edge_cases(spark, scratch):
     assert ann.neighbours(spark.createDataFrame([], "vec_id bigint, embedding array<float>"), scratch).count() == 0
 
 
+def test_ann_repeated_query_ids(spark, scratch):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [0.0, 1.0])] + [(i, [float(i), 100.0 - i]) for i in range(61, 80)] + [(i, [float(i), 100.0 - i]) for i in range(81, 100)]
+    got = ann.neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), scratch).toPandas()
+    first = [(20, r + 1, 99 - r, 99.0 - r) for r in range(19)] + [(20, 20, 79, 79.0)]
+    second = [(20, r + 1, 61 + r, 39.0 - r) for r in range(19)] + [(20, 20, 81, 19.0)]
+    assert sorted(got.itertuples(index=False, name=None)) == sorted(first + second)
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 17, 256, 1000, 4097):
         s = tokenorder.feistel(np.arange(n), n, 7)

@@ -7,7 +7,8 @@ a crowded cell is many tasks; a block's codes are scanned with the query's table
 within three typical errors of the k-th, are ranked anew by the exact inner product in double precision.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those of another length than
-the most frequent one in the sample; a candidate with the query's own id is never returned; repeated ids are separate candidates; with fewer candidates all are returned; an
+the most frequent one in the sample; a candidate with the query's own id is never returned; repeated ids are separate candidates; query rows alike in id and vector
+are one query, and different vectors under one id are separate queries, each with its own ranks from 1; with fewer candidates all are returned; an
 empty table gives an empty result.
 """
 
@@ -180,15 +181,16 @@ def search(base: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 20, k
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(cell, pa.int32()), pa.array(which, pa.int32()), pa.array([raw[i] for i in row], pa.binary())], names=["id", "cell", "block", "vec"])
 
     asked = usable(queries.select(F.col(key).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("embedding")).where("id is not null"))
-    asked = asked.where(F.size("embedding") == dim).mapInArrow(probe, "id bigint, cell int, block int, vec binary")
+    asked = asked.where(F.size("embedding") == dim).dropDuplicates(["id", "embedding"]).mapInArrow(probe, "id bigint, cell int, block int, vec binary")
     turns = F.create_map(*[F.lit(int(x)) for c, s in sorted(sizes.items()) for x in (c, -(-s // block))]) if sizes else None
     dealt = coded.withColumn("block", F.pmod(F.xxhash64("id", "vec"), turns[F.col("cell")]).cast("int"))
-    both = dealt.select("cell", "block", F.lit(0).alias("asks"), "id", "code", "vec").unionByName(asked.select("cell", "block", F.lit(1).alias("asks"), "id", F.lit(None).cast("binary").alias("code"), "vec"))
+    both = dealt.select("cell", "block", F.lit(0).alias("asks"), "id", F.lit(0).cast("bigint").alias("own"), "code", "vec")
+    both = both.unionByName(asked.select("cell", "block", F.lit(1).alias("asks"), "id", F.xxhash64("vec").alias("own"), F.lit(None).cast("binary").alias("code"), "vec"))
     both = both.repartition("cell", "block").sortWithinPartitions("cell", "block", "asks", "id")
 
     def scan(batches):
         for t in _whole_groups(batches, ["cell", "block"]):
-            cell, blk, asks, ids = (t.column(c).to_numpy() for c in ("cell", "block", "asks", "id"))
+            cell, blk, asks, ids, own = (t.column(c).to_numpy() for c in ("cell", "block", "asks", "id", "own"))
             cuts = np.flatnonzero((cell[1:] != cell[:-1]) | (blk[1:] != blk[:-1])) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(cell)], strict=True):
                 mid = lo + int(np.searchsorted(asks[lo:hi], 1))
@@ -199,29 +201,30 @@ def search(base: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 20, k
                 for at in range(mid, hi, 128):
                     to = min(hi, at + 128)
                     q = np.frombuffer(b"".join(t.column("vec").slice(at, to - at).to_pylist()), np.float64).reshape(-1, dim)
-                    yield _best(index, q, ids[at:to], codes, x, ids[lo:mid], int(cell[lo]), k, rerank)
+                    yield _best(index, q, ids[at:to], own[at:to], codes, x, ids[lo:mid], int(cell[lo]), k, rerank)
 
-    found = map_arrow(both, scan, "query_id bigint, vec_id bigint, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # k rows for each block read
+    found = map_arrow(both, scan, "query_id bigint, own bigint, vec_id bigint, score double")
+    order = Window.partitionBy("query_id", "own").orderBy(F.desc("score"), "vec_id")  # k rows for each block read
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _best(index: Index, q, qid, codes, x, ids, cell: int, k: int, rerank: int) -> pa.RecordBatch:
+def _best(index: Index, q, qid, own, codes, x, ids, cell: int, k: int, rerank: int) -> pa.RecordBatch:
     rough = index.scan(q, codes, cell)
     rough[qid[:, None] == ids[None, :]] = -np.inf
     keep = min(len(ids), k * rerank)
     least = np.partition(rough, len(ids) - keep, 1)[:, len(ids) - keep]
     kth = np.partition(rough, max(0, len(ids) - k), 1)[:, max(0, len(ids) - k)]
     bar = np.minimum(least, kth - 3 * index.spread * np.linalg.norm(q, axis=1))  # all that the table scan can't tell from the k best are ranked exactly
-    out = [[], [], []]
+    out = [[], [], [], []]
     for i in range(len(q)):
         near = np.flatnonzero((rough[i] >= bar[i]) & (ids != qid[i]))
         score = (x[near] * q[i]).sum(1)
         best = np.lexsort((ids[near], -score))[:k]
         out[0].append(np.full(len(best), qid[i]))
-        out[1].append(ids[near][best])
-        out[2].append(score[best])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["query_id", "vec_id", "score"])
+        out[1].append(np.full(len(best), own[i]))
+        out[2].append(ids[near][best])
+        out[3].append(score[best])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["query_id", "own", "vec_id", "score"])
 
 
 def neighbours(embeddings: DataFrame, scratch: Scratch, k: int = 20, every: int = 20) -> DataFrame:
