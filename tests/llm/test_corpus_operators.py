@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,7 +85,7 @@ def test_jaccard_against_brute_force(spark, scratch):
     assert got.class_id.tolist() == [rows.doc_id[c] for c in classes]
 
 
-def test_jaccard_large_group_of_near_copies(spark, scratch):
+def test_jaccard_large_group_of_near_copies(spark, scratch, monkeypatch):
     rng = random.Random(3)
     body = [f"w{rng.randrange(10**6)}" for _ in range(120)]
     texts = []
@@ -95,8 +96,25 @@ def test_jaccard_large_group_of_near_copies(spark, scratch):
         texts.append(" ".join(w))
     texts += [" ".join(f"z{i}_{j}" for j in range(40)) for i in range(50)]
     classes, links = brute_classes(texts)
-    got = jaccard.near_duplicates(frame(spark, texts), scratch, block=64).toPandas().sort_values("doc_id")
-    assert got.n_links.tolist() == links and got.class_id.tolist() == classes
+    for nodes, part, tile in ((64, 100, 16), (1024, 8192, 64)):  # in several parts, and in one
+        monkeypatch.setattr(jaccard, "BLOCK_NODES", nodes)
+        monkeypatch.setattr(jaccard, "PART_NODES", part)
+        monkeypatch.setattr(jaccard, "TILE", tile)
+        got = jaccard.near_duplicates(frame(spark, texts), scratch).toPandas().sort_values("doc_id")
+        assert got.n_links.tolist() == links and got.class_id.tolist() == classes
+
+
+def test_jaccard_equal_keys_of_different_contents(spark, scratch, monkeypatch):
+    plain = jaccard.describe
+
+    def coarse(texts, width=5):
+        got = plain(texts, width)
+        return got | {"c": pa.array([None if c is None else c & 7 for c in got["c"].to_pylist()], pa.int64())}
+
+    monkeypatch.setattr(jaccard, "describe", coarse)
+    texts = [" ".join(f"w{i // 2}_{j}" for j in range(30)) for i in range(60)]
+    got = jaccard.near_duplicates(frame(spark, texts), scratch).toPandas().sort_values("doc_id")
+    assert got.n_links.tolist() == [1] * 60 and got.class_id.tolist() == [i // 2 * 2 for i in range(60)]
 
 
 def test_jaccard_edge_cases(spark, scratch):
@@ -400,6 +418,30 @@ def test_token_order_round_trip(spark, scratch):
     assert tokenorder.materialise(frame(spark, []), scratch.path("order"), scratch, layout).count() == 0
 
 
+def test_token_ids_are_those_of_the_whole_text():
+    enc = tokenorder.encoder(tokenorder.VOCABULARY)
+    rng = random.Random(2)
+    texts = ["x" * 65_530 + " tail word", "x" * 131_070 + " 1 a", "ab " * 700_000, "x" * 200_000, "a\n" * 40_000 + " " * 25_000 + "b c", " " * 25_000, "é" * 65_536 + "!'s"]
+    for t in [*texts, *("".join(rng.choice(["a", "Z9", " ", "\n", "'s", "é", "漢", "  "]) for _ in range(200)) for _ in range(300))]:
+        assert tokenorder.tokens(t).tolist() == [*enc.encode_ordinary(t), enc.n_vocab]
+    for t in ("".join(rng.choice(["a", "Z9", " ", "\n", "'s", "!", "é", "漢"]) for _ in range(300)) for _ in range(300)):
+        assert [i for part, _ in tokenorder._parts(t, 7) for i in enc.encode_ordinary(part)] == enc.encode_ordinary(t)
+
+
+def test_shard_numbers_of_any_width():
+    assert [tokenorder.shard_number(f"file:/x/part-{n}-7a.txt") for n in ("00012", "123456", "1234567")] == [12, 123_456, 1_234_567]
+
+
+def test_token_order_of_many_copies(spark, scratch, monkeypatch):
+    monkeypatch.setattr(tokenorder, "COPIES", 7)
+    layout = tokenorder.Layout(length=16, slots=64)
+    docs = frame(spark, ["one two three " * 20] * 50 + ["other"] * 3 + ["alone"], [1] * 50 + [2] * 3 + [3])
+    index = tokenorder.materialise(docs, scratch.path("order"), scratch, layout).toPandas()
+    assert sorted(index.slot) == list(range(len(index))) and index.doc_id.value_counts().to_dict() == {1: 50 * 4, 2: 3, 3: 1}
+    number = tokenorder.feistel(index.slot.to_numpy(), len(index), layout.key, invert=True)
+    assert index.seq_no.to_numpy()[np.argsort(number)].tolist() == [0, 1, 2, 3] * 50 + [0] * 4
+
+
 def test_url_filters_edge_cases(spark, scratch):
     caps = spark.createDataFrame(
         [(1, "https://www.A.example.com/x/?q=1", "2024-03-05", "keep"), (2, "https://b.example.com/y", "2024-03-05", None), (3, None, "2024-03-05", None), (4, "nonsense", "2024-03-05", None),

@@ -6,7 +6,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a local one only where it is unset, as in tests."""
+    """The folder the cluster names in spark.checkpoint.dir. Where it is unset, a local session, as in tests, gets a local one; a cluster gets an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         at = tempfile.mkdtemp(prefix="weftline-")
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext.getCheckpointDir()
@@ -104,12 +106,30 @@ def crc_mod(col: str, mod: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % mod
 
 
+def row_keys(*cols: str) -> list[Column]:
+    """k and i: together 128 bits that tell rows of different (id, text) apart. i is the id itself, where there is one, so k alone decides only among rows of one id."""
+    doc_id, text = (F.col(f"`{c}`") for c in cols or ("doc_id", "text"))
+    return [F.xxhash64(doc_id, text).alias("k"), F.coalesce(doc_id.cast("bigint"), F.xxhash64(F.lit(41), text)).alias("i")]
+
+
+def within(sizes: Iterable[tuple], most: int) -> set:
+    """Keys of (key, size), in their order, as long as the sizes sum to at most `most`; what doesn't fit is skipped and what comes after may."""
+    out, left = set(), most
+    for key, size in sizes:
+        if size <= left:
+            out.add(key)
+            left -= size
+    return out
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, take: Column, max_docs: int, max_chars: int):
     """At most max_docs (text, label) of docs whose id is in the labels and passes `take`, in a fixed random order.
 
-    A document with several labels has the largest; null labels and null ids don't count. The ids are chosen from the label
-    table alone, so documents are read once and nothing is shuffled but ids; the sample stops at max_chars characters.
+    A document with several labels has the largest; null labels and null ids don't count; of several texts of one id the least stands. The ids are
+    chosen from the label table alone, so documents are read once and nothing is shuffled but ids and the sample. The sample's lengths come to
+    the driver first, then the texts that make up at most max_chars characters: a text that doesn't fit the room left is skipped, not the sample's end.
     """
+    scratch = Scratch(docs.sparkSession)
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & take)
         .groupBy(F.col("doc_id").alias("__id"))
@@ -122,17 +142,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, take: Column
         .join(F.broadcast(ids), "__id")
         .groupBy("__id", "__y")
         .agg(F.min("__t").alias("__t"))
-        .orderBy(F.xxhash64("__id", F.lit(17)), "__id")
-        .limit(max_docs)
+        .select("__id", "__y", "__t", F.char_length("__t").alias("__n"), F.xxhash64("__id", F.lit(17)).alias("__h"))
     )
-    texts, ys, size = [], [], 0
-    for r in rows.toLocalIterator(prefetchPartitions=False):
-        size += len(r["__t"])
-        if texts and size > max_chars:
-            break
-        texts.append(r["__t"])
-        ys.append(r["__y"])
-    return texts, ys
+    rows = scratch.write(rows, "sample")
+    sizes = sorted((r["__h"], r["__id"], r["__n"]) for r in rows.select("__h", "__id", "__n").collect())  # max_docs rows at most
+    chosen = within((((h, i), n) for h, i, n in sizes), max_chars)
+    got = _fetch(rows, chosen, ["__h", "__id"], ["__t", "__y"])
+    scratch.drop(rows)
+    return [r["__t"] for r in got], [r["__y"] for r in got]
+
+
+def _fetch(rows: DataFrame, chosen: set, key: list[str], cols: list[str]) -> list:
+    """The chosen rows in the order of their keys; their number and size are bounded by the caller."""
+    if not chosen:
+        return []
+    wanted = rows.sparkSession.createDataFrame(sorted(chosen), rows.select(*key).schema)
+    got = rows.join(F.broadcast(wanted), key).select(*key, *cols).collect()
+    return sorted(got, key=lambda r: tuple(r[k] for k in key))
 
 
-__all__ = ["Scratch", "crc_mod", "labelled_sample", "map_arrow", "map_texts", "shared_dir", "table", "tidy", "tv"]
+__all__ = ["Scratch", "crc_mod", "labelled_sample", "map_arrow", "map_texts", "row_keys", "shared_dir", "table", "tidy", "tv", "within"]

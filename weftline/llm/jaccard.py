@@ -5,10 +5,14 @@ node. Every run starts with all nodes in one bucket; a bucket is split on a few
 sketches, so that nodes that share the token sampled there meet again; a bucket of at most `small` nodes is compared by brute force
 on sketches; a bucket that stays large after `depth` splits is joined as a star, without comparing its pairs. Runs repeat until a
 pair at the threshold is met with the target recall. What the runs joined is then verified exactly: the documents of each candidate group are
-compared on their whole sets, in blocks of bounded size; no list of pairs is made.
+compared on their whole sets, tile by tile; no list of pairs is made. A group of at most BLOCK_NODES documents and BLOCK_ITEMS shingles is one task.
+A larger one is dealt into parts of up to PART_NODES documents and PART_ITEMS shingles, hashed once, and every two parts meet in one task.
 
 Defined cases: null and empty texts, or texts without words, have no links and are classes of their own; repeated rows are copies of each
-other; null ids take part by their text (their class id is the least id in the class, null if there is none); an empty table gives an empty result.
+other; null ids take part by their text (their class id is the least id in the class, null if there is none); a text of any length is compared whole, and one
+larger than a part is a part of its own; a similarity equal to the threshold is a link; of the documents of a class the one with the least id, null ids last,
+stands for it, and among rows of that id one by a hash of its text; an empty table gives an empty result. Only doc_id and text are read; drop_duplicates keeps all
+columns, whatever their names but __k and __i.
 """
 
 from __future__ import annotations
@@ -17,16 +21,19 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import textvec as tv
-from weftline.llm.common import Scratch, map_arrow, map_texts
+from weftline.llm.common import Scratch, map_arrow, map_texts, row_keys
 
 T = 64  # positions of a sketch
 _U = np.uint64
 _SEEDS = tv.mix64(np.arange(2 * T, dtype=_U) + _U(977))
 BROADCAST_ROWS = 1_000_000
+BLOCK_NODES, BLOCK_ITEMS = 1024, 1 << 20  # of a group that is compared in one task
+PART_NODES, PART_ITEMS = 8192, 1 << 20  # of a part of a larger group
+TILE = 512
 
 
 def sketches(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -39,9 +46,9 @@ def sketches(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def describe(texts, width: int = 5) -> dict:
-    """Of each text: content key of its set (null: no word), size of the set, sketch."""
+    """Of each text: content key of its set (null: no word) and a second digest, size of the set, sketch."""
     n = len(texts)
-    key, size, sketch = np.zeros(n, np.int64), np.zeros(n, np.int64), [None] * n
+    key, more, size, sketch = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), [None] * n
     for at, run in tv.chunks(texts):
         h, d = tv.shingle_hashes(run, width)
         if not len(h):
@@ -50,11 +57,12 @@ def describe(texts, width: int = 5) -> dict:
         counts = np.diff(np.concatenate([first, [len(d)]]))
         digest = tv.mix64(np.add.reduceat(tv.mix64(h), first) + counts.astype(_U))
         key[at + d[first]] = digest.view(np.int64)
+        more[at + d[first]] = tv.mix64(np.add.reduceat(tv.mix64(h ^ _U(0x5DEECE66D)), first) + digest).view(np.int64)
         size[at + d[first]] = counts
         for i, row in zip((at + d[first]).tolist(), sketches(h, first), strict=True):
             sketch[i] = row.tobytes()
     none = size == 0
-    return {"c": pa.array(key, mask=none), "size": size, "sketch": pa.array(sketch, pa.binary())}
+    return {"c": pa.array(key, mask=none), "c2": pa.array(more, mask=none), "size": size, "sketch": pa.array(sketch, pa.binary())}
 
 
 def _chosen(node: np.ndarray, threshold: float) -> np.ndarray:
@@ -202,52 +210,102 @@ def candidates(nodes: DataFrame, scratch: Scratch, threshold: float, recall: flo
     return out
 
 
-def _compare(texts: list[str], side: np.ndarray, copies: np.ndarray, threshold: float, width: int):
-    """Of the texts of one block: (links of each to texts of the other side, weighted by copies; edges i, j). side: 0 and 1, or 0 only."""
-    h, d = tv.shingle_hashes(texts, width)
-    n = len(texts)
-    size = np.bincount(d, minlength=n).astype(np.float64)
-    distinct, col = np.unique(h, return_inverse=True)
-    shared = np.zeros((n, n))
-    order = np.argsort(col, kind="stable")
-    col, row = col[order], d[order]
-    step = max(1024, (1 << 20) // max(1, n))
-    for lo in range(0, len(distinct), step):
-        a, b = np.searchsorted(col, [lo, lo + step])
-        m = np.zeros((n, step), np.float32)
-        m[row[a:b], col[a:b] - lo] = 1
-        shared += m @ m.T
-    alike = shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-9
-    np.fill_diagonal(alike, False)
-    if side.any():
-        alike &= side[:, None] != side[None, :]
-    i, j = np.nonzero(np.triu(alike))
-    return alike @ copies, i, j
+class _Sets:
+    """Sets of 64-bit hashes, one after the other: h[starts[n] : starts[n + 1]] is set n."""
+
+    def __init__(self, h: np.ndarray, sizes: np.ndarray):
+        self.h, self.sizes, self.starts = h, sizes, np.concatenate([[0], np.cumsum(sizes)])
+
+    def slice(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the sets lo to hi - 1 and the number, from 0, of the set of each."""
+        return self.h[self.starts[lo] : self.starts[hi]], np.repeat(np.arange(hi - lo), self.sizes[lo:hi])
+
+
+def _alike(a: _Sets, b: _Sets, threshold: float, i: tuple[int, int], j: tuple[int, int], same: bool) -> np.ndarray:
+    """Which sets of a, from i[0] to i[1] - 1, are similar to which of b, from j[0] to j[1] - 1; same: both are one collection, and a set isn't compared with itself."""
+    (ha, ra), (hb, rb) = a.slice(*i), b.slice(*j)
+    common = np.intersect1d(ha, hb)
+    n, m = i[1] - i[0], j[1] - j[0]
+    shared = np.zeros((n, m), np.float32)
+    at, bt = np.searchsorted(common, ha), np.searchsorted(common, hb)
+    pad = np.append(common, _U(0))
+    oka, okb = (pad[at] == ha) & (at < len(common)), (pad[bt] == hb) & (bt < len(common))
+    order_a, order_b = np.argsort(at[oka], kind="stable"), np.argsort(bt[okb], kind="stable")
+    ca, xa, cb, xb = at[oka][order_a], ra[oka][order_a], bt[okb][order_b], rb[okb][order_b]
+    step = max(512, (1 << 20) // max(1, n + m))
+    for lo in range(0, len(common), step):
+        p, q = np.searchsorted(ca, [lo, lo + step]), np.searchsorted(cb, [lo, lo + step])
+        x, y = np.zeros((n, step), np.float32), np.zeros((m, step), np.float32)
+        x[xa[p[0] : p[1]], ca[p[0] : p[1]] - lo] = 1
+        y[xb[q[0] : q[1]], cb[q[0] : q[1]] - lo] = 1
+        shared += x @ y.T  # counts, exact below 2**24
+    sa, sb = a.sizes[i[0] : i[1]].astype(np.float64), b.sizes[j[0] : j[1]].astype(np.float64)
+    out = shared >= threshold * (sa[:, None] + sb[None, :] - shared) - 1e-9
+    if same and i == j:
+        np.fill_diagonal(out, False)
+    return out
+
+
+def _compare(a: _Sets, ca: np.ndarray, wa: np.ndarray, b: _Sets, cb: np.ndarray, wb: np.ndarray, threshold: float, same: bool):
+    """Links (weighted by copies) of the nodes ca to those of cb and the other way, and star edges of what is linked. same: both sides are one."""
+    links_a, links_b = np.zeros(len(ca), np.int64), np.zeros(len(cb), np.int64)
+    xs, ys = [], []
+    for lo in range(0, len(ca), TILE):
+        i = (lo, min(lo + TILE, len(ca)))
+        for at in range(lo if same else 0, len(cb), TILE):
+            j = (at, min(at + TILE, len(cb)))
+            hit = _alike(a, b, threshold, i, j, same)
+            if not hit.any():
+                continue
+            links_a[i[0] : i[1]] += hit @ wb[j[0] : j[1]]
+            if not same:
+                links_b[j[0] : j[1]] += wa[i[0] : i[1]] @ hit
+            elif i != j:
+                links_a[j[0] : j[1]] += wa[i[0] : i[1]] @ hit
+            x, y = np.nonzero(np.triu(hit) if same and i == j else hit)
+            x, y = _stars(ca[i[0] : i[1]][x], cb[j[0] : j[1]][y])
+            xs.append(x)
+            ys.append(y)
+    x, y = _stars(np.concatenate(xs), np.concatenate(ys)) if xs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return links_a, links_b, x, y
 
 
 def _verify(df: DataFrame, threshold: float, width: int) -> DataFrame:
-    """Blocks of documents, sorted by (root, i, j): links of each node found in the block, and its least linked node there."""
+    """Blocks of documents, sorted by (root, i, j, part, c): links of each node found in the block, and its least linked node there."""
+
+    def sets(t: pa.Table, lo: int, hi: int) -> _Sets:
+        stored, texts = t.column("items").slice(lo, hi - lo), t.column("text").slice(lo, hi - lo)
+        if stored.null_count == 0:
+            raw = [x.as_buffer() for x in stored]
+            return _Sets(np.frombuffer(b"".join(raw), _U), np.array([r.size // 8 for r in raw]))
+        h, sizes = [], np.zeros(hi - lo, np.int64)
+        for at, run in tv.chunks(texts.to_pylist()):
+            got, d = tv.shingle_hashes(run, width)
+            h.append(got)
+            sizes[at : at + len(run)] = np.bincount(d, minlength=len(run))
+        return _Sets(np.concatenate(h) if h else np.zeros(0, _U), sizes)
 
     def run(batches):
         for t in _whole_groups(batches, ["root", "i", "j"]):
             keys = np.stack([t.column(k).to_numpy() for k in ("root", "i", "j")])
             cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
             c, copies, mine = t.column("c").to_numpy(), t.column("copies").to_numpy(), t.column("part").to_numpy()
-            texts = t.column("text").to_pylist()
             out = [[], [], [], []]
             for lo, hi in zip([0, *cuts], [*cuts, len(c)], strict=True):
-                if hi - lo < 2:
-                    continue
-                side = (mine[lo:hi] != keys[1, lo]).astype(int)
-                if keys[1, lo] != keys[2, lo] and not side.any():
-                    continue  # one side of the block is empty
-                links, i, j = _compare(texts[lo:hi], side, copies[lo:hi], threshold, width)
-                x, y = _stars(c[lo:hi][i], c[lo:hi][j])
+                same = keys[1, lo] == keys[2, lo]
+                mid = hi if same else lo + int(np.searchsorted(mine[lo:hi], keys[2, lo]))
+                if hi - lo < 2 or not same and mid in (lo, hi):
+                    continue  # a block of one document, or with one side empty
+                a = sets(t, lo, mid)
+                b = a if same else sets(t, mid, hi)
+                to = (lo, mid) if same else (mid, hi)
+                la, lb, x, y = _compare(a, c[lo:mid], copies[lo:mid], b, c[to[0] : to[1]], copies[to[0] : to[1]], threshold, same)
                 root = dict(zip(x.tolist(), y.tolist(), strict=True))
+                links = la if same else np.concatenate([la, lb])
                 some = np.flatnonzero(links > 0)
                 out[0] += c[lo:hi][some].tolist()
                 out[1] += [root.get(v, v) for v in c[lo:hi][some].tolist()]
-                out[2] += links[some].astype(np.int64).tolist()
+                out[2] += links[some].tolist()
                 out[3] += [int(keys[0, lo])] * len(some)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["c", "to", "links", "root"])
@@ -255,55 +313,83 @@ def _verify(df: DataFrame, threshold: float, width: int) -> DataFrame:
     return map_arrow(df, run, "c bigint, to bigint, links bigint, root bigint")
 
 
+def _items(texts, width: int) -> dict:
+    """The hashes of each text's set, 8 bytes each."""
+    out = [b""] * len(texts)
+    for at, run in tv.chunks(texts):
+        h, d = tv.shingle_hashes(run, width)
+        cuts = np.searchsorted(d, np.arange(len(run) + 1))
+        for n in range(len(run)):
+            out[at + n] = h[cuts[n] : cuts[n + 1]].tobytes()
+    return {"items": pa.array(out, pa.binary())}
+
+
 def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def link(docs: DataFrame, scratch: Scratch, threshold: float = 0.8, width: int = 5, recall: float = 0.99, small: int = 64, depth: int = 3, block: int = 128) -> DataFrame:
-    """One row per document: k (hash of id and text), doc_id, c (content), class_c (least content key of its class), copies, links (to other documents), keeper (k of the class's first document)."""
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"))
-    seen = scratch.write(map_texts(keyed, ["k", "doc_id"], lambda t: describe(t, width), "c bigint, size bigint, sketch binary"), "sketches")
-    nodes = (
-        seen.where("c is not null")
-        .groupBy("c")
-        .agg(F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("least"), F.any_value("sketch").alias("sketch"))
-        .select("c", "copies", F.col("least.none").alias("none"), F.col("least.doc_id").alias("id"), F.col("least.k").alias("k"), "sketch")
-    )
-    nodes = scratch.write(nodes, "nodes")
+def _nodes(seen: DataFrame) -> DataFrame:
+    """One row for each content key: copies, the row that stands for it, size, sketch, and whether several contents share the key."""
+    by = seen.where("c is not null").groupBy("c").agg(
+        F.count("*").alias("copies"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "i")).alias("least"),
+        (F.min("c2") != F.max("c2")).alias("clash"),
+        F.max("size").alias("size"),
+        F.any_value("sketch").alias("sketch"),
+    )
+    return by.select("c", "copies", F.col("least.none").alias("none"), F.col("least.doc_id").alias("id"), F.col("least.k").alias("k"), F.col("least.i").alias("i"), "clash", "size", "sketch")
+
+
+def link(docs: DataFrame, scratch: Scratch, threshold: float = 0.8, width: int = 5, recall: float = 0.99, small: int = 64, depth: int = 3) -> DataFrame:
+    """One row per document: k and i (hashes of id and text), doc_id, c (content), class_c (least content key of its class), copies, links (to other documents), keeper (whether its row stands for its class)."""
+    key = ["k", "i"]
+    keyed = docs.select("doc_id", "text", *row_keys())
+    seen = scratch.write(map_texts(keyed, [*key, "doc_id"], lambda t: describe(t, width), "c bigint, c2 bigint, size bigint, sketch binary"), "sketches")
+    nodes = scratch.write(_nodes(seen), "nodes")
+    clash = nodes.where("clash").select("c")
+    if not clash.isEmpty():  # different contents of one 64-bit key: told apart by the second digest
+        hit = F.when(F.col("n").isNotNull(), F.xxhash64("c", "c2")).otherwise(F.col("c"))
+        seen = scratch.write(seen.join(clash.withColumn("n", F.lit(1)), "c", "left").withColumn("c", hit).drop("n"), "sketches")
+        nodes = scratch.write(_nodes(seen), "nodes")
     edges = candidates(nodes, scratch, threshold, recall, small, depth)
     groups = components(edges, scratch)
-    parts = groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    members = groups.join(scratch.write(parts, "parts"), "root").withColumnRenamed("v", "c").join(nodes.select("c", "k", "copies"), "c")
+    ranked = groups.withColumnRenamed("v", "c").join(nodes.select("c", *key, "copies", "size"), "c")
+    ranked = scratch.write(ranked, "ranked")
+    n, items = F.count("*"), F.sum("size")
+    whole = (n <= BLOCK_NODES) & (items <= BLOCK_ITEMS)
+    dealt = F.greatest(F.ceil(n / PART_NODES), F.ceil(items / PART_ITEMS), F.least(F.ceil(n / BLOCK_NODES), F.lit(8)), F.lit(2))
+    parts = ranked.groupBy("root").agg(F.when(whole, 1).otherwise(dealt).cast("int").alias("parts"))
+    members = ranked.drop("size").join(scratch.write(parts, "parts"), "root")
     members = scratch.write(members.withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")), "members")
     n_members = members.count()
-    blocks = (
-        keyed.select("k", "text")
-        .join(_maybe_broadcast(members, n_members), "k")
-        .dropDuplicates(["c"])
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "c", "copies", "text")
-    )
-    blocks = blocks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "c")
+    mine = keyed.select(*key, "text").join(_maybe_broadcast(members, n_members), key).dropDuplicates(["c"])
+    several = members.where("parts > 1").select("c")
+    blocks = mine.where("parts = 1").select("root", "part", F.lit(0).alias("i"), F.lit(0).alias("j"), "c", "copies", "text", F.lit(None).cast("binary").alias("items"))
+    spread = not several.isEmpty()
+    if spread:
+        hashed = map_texts(mine.where("parts > 1"), ["root", "part", "parts", "c", "copies"], lambda t: _items(t, width), "items binary")
+        hashed = scratch.write(hashed, "items").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        blocks = blocks.union(hashed.select("root", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "c", "copies", F.lit(None).cast("string").alias("text"), "items"))
+    blocks = blocks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "part", "c")
     checked = scratch.write(_verify(blocks, threshold, width), "links")
     links = checked.groupBy("c").agg(F.sum("links").alias("links"), F.min("to").alias("to"))
-    split = checked.join(members.where("parts > 1").select("c"), "c", "left_semi").where("c <> to").select(F.col("c").alias("a"), F.col("to").alias("b"))
-    split = scratch.write(split, "split")
-    if not split.isEmpty():  # groups of several blocks: their classes come from the links of all blocks
+    if spread:  # groups of several parts: their classes come from the links of all blocks
+        split = checked.join(several, "c", "left_semi").where("c <> to").select(F.col("c").alias("a"), F.col("to").alias("b"))
         wide = components(split, scratch)
         links = links.join(wide.withColumnRenamed("v", "c"), "c", "left").select("c", "links", F.coalesce("root", "to").alias("to"))
     links = scratch.write(links, "links")
-    classes = nodes.drop("sketch").join(links, "c", "left").select("c", "copies", "none", "id", "k", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"), F.coalesce("to", "c").alias("class_c"))
+    classes = nodes.drop("sketch", "size", "clash").join(links, "c", "left").select("c", "copies", "none", "id", *key, F.coalesce("links", F.lit(0).cast("bigint")).alias("links"), F.coalesce("to", "c").alias("class_c"))
     classes = scratch.write(classes, "classes")
-    first = scratch.write(classes.groupBy("class_c").agg(F.min(F.struct("none", "id", "k")).alias("first")), "first")
-    classes = scratch.write(classes.join(first, "class_c").select("c", "class_c", "copies", "links", F.col("first.id").alias("class_id"), F.col("first.k").alias("keeper")), "classes")
-    out = seen.select("k", "doc_id", "c").join(classes, "c", "left")
+    first = scratch.write(classes.groupBy("class_c").agg(F.min(F.struct("none", "id", "k", "i")).alias("first")), "first")
+    classes = scratch.write(classes.join(first, "class_c").select("c", "class_c", "copies", "links", F.col("first.id").alias("class_id"), F.col("first.k").alias("first_k"), F.col("first.i").alias("first_i")), "classes")
+    out = seen.select(*key, "doc_id", "c").join(classes, "c", "left")
     alone = F.col("c").isNull()
     return out.select(
-        "k", "doc_id", "c", "class_c",
+        *key, "doc_id", "c", "class_c",
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.lit(1)).otherwise(F.col("copies")).cast("bigint").alias("copies"),
         F.when(alone, F.lit(0)).otherwise(F.col("links") + F.col("copies") - 1).cast("bigint").alias("n_links"),
-        F.when(alone, F.col("k")).otherwise(F.col("keeper")).alias("keeper"),
+        (alone | ((F.col("k") == F.col("first_k")) & (F.col("i") == F.col("first_i")))).alias("keeper"),
     )
 
 
@@ -314,12 +400,16 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
 
 def drop_duplicates(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
     """One document of each class, with all its columns: the one with the least id. Rows alike in id and text become one."""
-    found = scratch.write(link(docs, scratch, **how).select("k", "c", "keeper"), "decisions")
-    lost = scratch.write(found.where("k <> keeper").select(F.col("k").alias("__k")).distinct(), "lost")
-    again = scratch.write(found.where("k = keeper and c is not null").groupBy(F.col("k").alias("__k")).agg(F.count("*").alias("n")).where("n > 1"), "again")
-    keyed = docs.withColumn("__k", F.xxhash64("doc_id", "text"))
-    kept = keyed.join(_maybe_broadcast(lost, lost.count()), "__k", "left_anti")
-    if not again.isEmpty():
-        repeated = kept.join(again, "__k", "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("__k").orderBy("__k"))).where("__n = 1").drop("__n")
-        kept = kept.join(again, "__k", "left_anti").unionByName(repeated)
+    key = ["__k", "__i"]
+    named: list[Column] = [F.col("k").alias("__k"), F.col("i").alias("__i")]
+    found = scratch.write(link(docs, scratch, **how).select("k", "i", "c", "keeper"), "decisions")
+    lost = scratch.write(found.where("not keeper").select(*named).distinct(), "lost")
+    again = scratch.write(found.where("keeper and c is not null").groupBy(*named).agg(F.count("*").alias("n")).where("n > 1"), "again")
+    k, i = row_keys()
+    keyed = docs.select("*", k.alias("__k"), i.alias("__i"))
+    kept = keyed.join(_maybe_broadcast(lost, lost.count()), key, "left_anti")
+    n_again = again.count()
+    if n_again:
+        few = _maybe_broadcast(again.select(*key), n_again)
+        kept = kept.join(few, key, "left_anti").unionByName(kept.join(few, key, "left_semi").dropDuplicates(key))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

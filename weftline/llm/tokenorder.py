@@ -11,12 +11,14 @@ Texts are tokenised twice, first to count, so that only the final shuffle carrie
 documents are kept from the first time, which trades disk for CPU. Shards are written by the engine's own
 writer, on any file system it knows and with its commit protocol.
 
-Defined cases: a null or empty text is one sequence of the end id; rows alike in id and text are separate documents; null ids come first; an
-empty table writes no shard. Special tokens' strings in a text are ordinary text.
+Defined cases: a null or empty text is one sequence of the end id; rows alike in id and text are separate documents, tokenised once; null ids come
+first, documents of one id by a hash of their text; a text of any length has the ids that the vocabulary gives to it as a whole; an empty table writes no
+shard. Special tokens' strings in a text are ordinary text. Only doc_id and text are read, so further columns and their names don't matter.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import sys
 import zlib
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import textvec as tv
-from weftline.llm.common import Scratch, map_arrow
+from weftline.llm.common import Scratch, map_arrow, row_keys
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The vocabulary's splitting pattern, and the record mark (two line feeds).
@@ -68,14 +70,37 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
-def tokens(text: str | None, path: str = VOCABULARY) -> list[int]:
-    """Ids of a text, with the end id (the vocabulary's size) after them. A text is cut every 2**16 characters: runs without a break cost quadratic time."""
-    enc, text = encoder(path), text or ""
-    ids = enc.encode_ordinary(text[:65536])
-    for i in range(65536, len(text), 65536):
-        ids += enc.encode_ordinary(text[i : i + 65536])
-    ids.append(enc.n_vocab)
-    return ids
+_LONG_SPACE = re.compile(r"[ \t\n\r]{20000,}")  # the splitting pattern's engine gives up on much longer runs
+_WORD_END = re.compile(r"(?<=[0-9A-Za-z])(?=[ \n])")
+
+
+def _parts(text: str, most: int = 1 << 20):
+    """(part, whether it is one piece): texts whose ids, one after the other, are those of the whole.
+
+    The splitting pattern never joins a word with the space after it, so a text may be cut there. Of a long run of white space before a word, the pattern
+    makes one piece of all but the last character; at the end of the text, of all.
+    """
+    at = 0
+    alone = [m for m in _LONG_SPACE.finditer(text) if not text[m.start() - 1 : m.start()].isspace() and not text[m.end() : m.end() + 1].isspace()]
+    for run in [*alone, None]:
+        stop = run.start() if run else len(text)
+        while at < stop:
+            cut = _WORD_END.search(text, at + most, stop) if stop - at > most else None
+            to = cut.start() if cut else stop
+            yield text[at:to], False
+            at = to
+        if run:
+            at = run.end() - (run.end() < len(text))
+            yield text[run.start() : at], True
+
+
+def tokens(text: str | None, path: str = VOCABULARY) -> array:
+    """Ids of a text, with the end id (the vocabulary's size) after them."""
+    enc, out = encoder(path), array("H")
+    for part, single in _parts(text or ""):
+        out.extend(enc._encode_single_piece(part) if single else enc.encode_ordinary(part))
+    out.append(enc.n_vocab)
+    return out
 
 
 def feistel(index: np.ndarray, n: int, key: int, invert: bool = False) -> np.ndarray:
@@ -99,7 +124,7 @@ def feistel(index: np.ndarray, n: int, key: int, invert: bool = False) -> np.nda
 
 def _packed(text: str | None, path: str) -> bytes:
     """The ids of a text, 2 bytes each, little-endian."""
-    ids = array("H", tokens(text, path))
+    ids = tokens(text, path)
     if sys.byteorder == "big":
         ids.byteswap()
     return ids.tobytes()
@@ -111,82 +136,105 @@ def _count(layout: Layout):
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)
                 n, kept = [], []
-                for text, keep in zip(b.column(2), b.column(3).to_pylist(), strict=True):
+                for text, keep in zip(b.column(3), b.column(4).to_pylist(), strict=True):
                     if keep:
                         kept.append(_packed(text.as_py(), layout.vocabulary))
                         n.append(-(-len(kept[-1]) // (2 * layout.length)))
                     else:
                         kept.append(None)
                         n.append(-(-len(tokens(text.as_py(), layout.vocabulary)) // layout.length))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(kept, pa.binary())], names=["k", "doc_id", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int64()), pa.array(kept, pa.binary())], names=["k", "i", "doc_id", "n", "ids"])
 
     return run
 
 
 def _offsets(counts: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
-    """counts (doc_id, k, n, copies) with the number of the document's first sequence, over all by id and k; their total."""
+    """counts (doc_id, k, i, n, copies) with the number of the document's first sequence, over all by id and k; their total."""
 
     def run(batches):
         from pyspark import TaskContext
 
         at, part = 0, TaskContext.get().partitionId()
         for b in batches:
-            n = b.column(1).to_numpy()
+            n = b.column(2).to_numpy()
             upto = at + np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(upto - n), b.column(1), b.column(2), pa.array(np.full(len(n), part, np.int32))], names=["k", "local", "total", "copies", "part"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(upto - n), b.column(2), b.column(3), pa.array(np.full(len(n), part, np.int32))], names=["k", "i", "local", "total", "copies", "part"])
             at = int(upto[-1]) if len(n) else at
 
     parts = max(1, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    order = counts.repartitionByRange(parts, "doc_id", "k").sortWithinPartitions("doc_id", "k")
-    local = scratch.write(order.select("k", (F.col("n") * F.col("copies")).alias("total"), "copies").mapInArrow(run, "k bigint, local bigint, total bigint, copies bigint, part int"), "local")
+    order = counts.repartitionByRange(parts, "doc_id", "k").sortWithinPartitions("doc_id", "k", "i")
+    local = scratch.write(order.select("k", "i", (F.col("n") * F.col("copies")).alias("total"), "copies").mapInArrow(run, "k bigint, i bigint, local bigint, total bigint, copies bigint, part int"), "local")
     sums = sorted((r["part"], r["s"]) for r in local.groupBy("part").agg(F.sum("total").alias("s")).collect())  # one row per partition
     starts, at = [], 0
     for part, s in sums:
         starts.append((part, at))
         at += s
     side = F.broadcast(scratch.spark.createDataFrame(starts, "part int, start bigint"))
-    return local.join(side, "part").select("k", (F.col("local") + F.col("start")).alias("first"), "copies"), at
+    first = scratch.write(local.join(side, "part").select("k", "i", (F.col("local") + F.col("start")).alias("first"), "copies"), "first")
+    scratch.drop(local)
+    return first, at
+
+
+COPIES = 4096  # of a row, that one task writes
 
 
 def sequences(docs: DataFrame, layout: Layout, scratch: Scratch) -> tuple[DataFrame, int]:
     """(slot, record without padding) of every sequence, and their number."""
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"))
+    key = ["k", "i"]
+    keyed = docs.select("doc_id", "text", *row_keys())
     keep = F.pmod("k", F.lit(100)) < layout.stored
-    counted = map_arrow(keyed.select("k", F.col("doc_id").cast("bigint"), "text", keep.alias("keep")), _count(layout), "k bigint, doc_id bigint, n bigint, ids binary")
+    counted = map_arrow(keyed.select(*key, F.col("doc_id").cast("bigint"), "text", keep.alias("keep")), _count(layout), "k bigint, i bigint, doc_id bigint, n bigint, ids binary")
     counted = scratch.write(counted, "counts")
-    counts = counted.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("copies"))
+    counts = counted.groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("copies"))
     first, total = _offsets(counts, scratch)
-    first = scratch.write(first, "first")
     several = first.where("copies > 1")
     rows = first.count()
     side = F.broadcast(first) if rows <= BROADCAST_ROWS else first
     none = F.lit(None).cast("binary").alias("ids")
-    alone, zero = F.col("copies") == 1, F.lit(0).alias("copy")
-    known = counted.where("ids is not null").join(side, "k").where(alone).select("doc_id", F.lit(None).cast("string").alias("text"), "ids", "first", zero)
-    single = keyed.where(~keep).join(side, "k").where(alone).select(F.col("doc_id").cast("bigint"), "text", none, "first", zero).union(known)
-    if not several.isEmpty():  # rows alike in id and text: one of them stands for all
-        few = F.broadcast(several.select("k")) if several.count() <= BROADCAST_ROWS else several.select("k")
-        once = keyed.join(few, "k", "left_semi").dropDuplicates(["k"]).join(first, "k").withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
-        single = single.union(once.select(F.col("doc_id").cast("bigint"), "text", none, "first", "copy"))
+    alone = F.col("copies") == 1
+    known = counted.where("ids is not null").join(side, key).where(alone).select("doc_id", F.lit(None).cast("string").alias("text"), "ids", "first")
+    single = keyed.where(~keep).join(side, key).where(alone).select(F.col("doc_id").cast("bigint"), "text", none, "first").union(known)
 
     def cut(batches):
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)
-                ids, start, copy = b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()
+                ids, start = b.column(0).to_pylist(), b.column(3).to_pylist()
                 body, index = [], []
                 for i, (text, stored) in enumerate(zip(b.column(1), b.column(2), strict=True)):
                     raw = stored.as_py() or _packed(text.as_py(), layout.vocabulary)
                     length = len(raw) // 2
-                    n = -(-length // layout.length)
-                    for j in range(n):
+                    for j in range(-(-length // layout.length)):
                         size = min(layout.length, length - j * layout.length)
                         body.append(struct.pack("<qiHH", ids[i] or 0, j, size, ids[i] is None) + raw[2 * j * layout.length : 2 * (j + 1) * layout.length])
-                        index.append(start[i] + copy[i] * n + j)
-                slot = feistel(np.array(index, np.int64), total, layout.key)
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(body, pa.binary())], names=["slot", "record"])
+                        index.append(start[i] + j)
+                yield pa.RecordBatch.from_arrays([pa.array(index, pa.int64()), pa.array(body, pa.binary())], names=["number", "record"])
 
-    return map_arrow(single, cut, "slot bigint, record binary"), total
+    def dealt(batches):
+        for b in batches:
+            slot = feistel(b.column(0).to_numpy(), total, layout.key)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), b.column(1)], names=["slot", "record"])
+
+    out = map_arrow(single, lambda batches: dealt(cut(batches)), "slot bigint, record binary")
+    few = several.count()
+    if few:  # rows alike in id and text: one of them is tokenised, and its sequences are dealt out for all copies by many tasks
+        side = F.broadcast(several) if few <= BROADCAST_ROWS else several
+        once = keyed.join(side, key).dropDuplicates(key).select(F.col("doc_id").cast("bigint"), "text", none, "first", "copies")
+
+        def spread(batches):
+            for b in batches:
+                copies = b.column(4).to_pylist()
+                for i in range(b.num_rows):
+                    for got in cut([b.slice(i, 1)]):
+                        n = pa.array([got.num_rows] * got.num_rows, pa.int64()), pa.array([copies[i]] * got.num_rows, pa.int64())
+                        yield pa.RecordBatch.from_arrays([*got.columns, *n], names=["number", "record", "n", "copies"])
+
+        numbered = map_arrow(once, spread, "number bigint, record binary, n bigint, copies bigint")
+        lots = numbered.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1, F.lit(COPIES).cast("bigint"))))
+        lots = lots.where(F.col("copies") <= COPIES).union(lots.where(F.col("copies") > COPIES).repartition("number", "lot")) if several.where(F.col("copies") > COPIES).count() else lots
+        each = lots.withColumn("copy", F.explode(F.sequence("lot", F.least(F.col("lot") + COPIES, F.col("copies")) - 1)))
+        out = out.union(map_arrow(each.select((F.col("number") + F.col("copy") * F.col("n")).alias("number"), "record"), dealt, "slot bigint, record binary"))
+    return out, total
 
 
 def materialise(docs: DataFrame, path: str, scratch: Scratch, layout: Layout = Layout()) -> DataFrame:
@@ -200,6 +248,11 @@ def materialise(docs: DataFrame, path: str, scratch: Scratch, layout: Layout = L
     return read_index(scratch.spark, path, layout)
 
 
+def shard_number(file: str) -> int:
+    """Of a file that the engine's writer named part-<number>-..., five digits or more."""
+    return int(re.match(r"part-([0-9]+)", file.rsplit("/", 1)[-1])[1])
+
+
 def read_index(spark, path: str, layout: Layout = Layout()) -> DataFrame:
     """slot, shard, byte_offset, doc_id, seq_no, n_tokens and crc32 (of the ids, padding included) of every record of the shards."""
     kind = np.dtype([("id", "<i8"), ("seq", "<i4"), ("n", "<u2"), ("none", "<u2"), ("rest", "V", 2 * layout.length + 2)])
@@ -208,7 +261,7 @@ def read_index(spark, path: str, layout: Layout = Layout()) -> DataFrame:
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 raw = content.as_buffer()  # of a whole shard, not copied
-                shard, n = int(name.rsplit("part-", 1)[1][:5]), raw.size // layout.stride
+                shard, n = shard_number(name), raw.size // layout.stride
                 rows, view = np.frombuffer(raw, kind, n), memoryview(raw)
                 for lo in range(0, n, 8192):
                     part, at = rows[lo : lo + 8192], np.arange(lo, min(n, lo + 8192), dtype=np.int64)
@@ -226,7 +279,7 @@ def read_slots(spark, path: str, first: int, count: int, layout: Layout = Layout
     jvm = spark._jvm
     folder = jvm.org.apache.hadoop.fs.Path(f"{path}/shards")
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    files = {int(s.getPath().getName()[5:10]): s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")}
+    files = {shard_number(s.getPath().getName()): s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")}
     out, slot = [], first
     while slot < first + count and slot // layout.slots in files:
         shard, at = divmod(slot, layout.slots)
