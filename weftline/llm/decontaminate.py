@@ -9,8 +9,10 @@ of simulated copies, edited at the limit, is met at least once. Colliding (windo
 edit distance. For lengths at which MOST repetitions don't reach the target, every passage that shares enough runs with an item (k edits
 destroy at most k * q of its runs of q words) is verified without LSH, so that nothing is lost there.
 
-Defined cases: null and empty texts match nothing; items without text or of fewer than `min_words` words are not searched (they don't
-identify a source); repeated rows get equal results, equal items each match; an empty table of either kind gives no match.
+Defined cases: null and empty texts match nothing; items without words can't match; items of fewer than five words allow no edit, so they match exactly
+(min_words leaves short items out); items with a null id are searched like others; texts of any length are searched whole; of equally near passages of a text the
+first counts; repeated rows get equal results, equal items each match; an empty table of either kind gives no match. Of the documents only doc_id and text are
+read; drop_contaminated keeps all their columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ def _walk(seed: int) -> np.ndarray:
 class Index:
     """The items' runs and LSH tables."""
 
-    def __init__(self, ids: list[int], texts: list[str], edits: float = 0.2, recall: float = 0.99, places: int = 3, min_words: int = 5, seed: int = 11):
+    def __init__(self, ids: list[int | None], texts: list[str], edits: float = 0.2, recall: float = 0.99, places: int = 3, min_words: int = 1, seed: int = 11):
         self.edits, self.places = edits, places
         words, doc, _, _ = tv.word_hashes([t or "" for t in texts])
         parts = np.split(words, np.searchsorted(doc, np.arange(1, len(texts)))) if texts else []
@@ -49,7 +51,7 @@ class Index:
         self.ids, self.items = [ids[i] for i in kept], [parts[i] for i in kept]
         self.seed = seed
         lengths = sorted({len(w) for w in self.items})
-        self.grams = self._gram_table(range(len(self.items)))
+        self.grams = self._run_table(range(len(self.items)))
         self.repeats = self._repeats(lengths, recall)
         self.tables: dict[int, tuple] = {}
         for m in lengths:
@@ -57,7 +59,7 @@ class Index:
             steps = self.steps(m, 0, self.repeats[m] or 0)
             mat = np.stack([self.items[i] for i in which])
             self.tables[m] = (np.array(which), mat, steps, self.signatures(mat, steps))
-        self.grams = self._gram_table([i for i, w in enumerate(self.items) if self.repeats[len(w)]])
+        self.grams = self._run_table([i for i, w in enumerate(self.items) if self.repeats[len(w)]])
         self.exact = self._gram_table([i for i, w in enumerate(self.items) if not self.repeats[len(w)]])
 
     def _gram_table(self, which) -> dict[int, tuple]:
@@ -71,6 +73,17 @@ class Index:
             out[q] = (keys[order], item[order], offset[order])
         return out
 
+    def _run_table(self, which) -> dict[int, tuple]:
+        """By length of run: runs in order, and the distinct lengths of the items with the run and places in them."""
+        out = {}
+        for q, (keys, item, offset) in self._gram_table(which).items():
+            size = np.array([len(w) for w in self.items], np.int64)[item]
+            order = np.lexsort((offset, size, keys))
+            keys, size, offset = keys[order], size[order], offset[order]
+            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (size[1:] != size[:-1]) | (offset[1:] != offset[:-1])])
+            out[q] = (keys[new], size[new], offset[new])
+        return out
+
     def steps(self, m: int, first: int, last: int) -> list[np.ndarray]:
         """Sampled places of the repetitions first to last - 1 for items of m words."""
         return [np.sort(np.random.default_rng([self.seed, m, r]).choice(3 * m, min(self.places, 3 * m), replace=False)) for r in range(first, last)]
@@ -154,7 +167,7 @@ class Index:
         return None
 
     def _shared(self, table: tuple, q: int, words: np.ndarray, last: np.ndarray):
-        """Place, item and place in the item of every run of q words that the words share with the table."""
+        """Place, second and third column of the table's row, of every run of q words that the words share with the table."""
         keys, items, offsets = table
         g = gram(words, q)
         lo = np.searchsorted(keys, g)
@@ -168,12 +181,11 @@ class Index:
     def windows(self, words: np.ndarray, first: np.ndarray, last: np.ndarray, only: int | None = None):
         """Distinct (size, start, text bounds) of windows that can hold a near copy. first, last: bounds of each word's text."""
         got: dict[int, list[np.ndarray]] = {}
-        sizes = np.array([len(w) for w in self.items], np.int64)
         for q, table in self.grams.items():
-            place, item, offset = self._shared(table, q, words, last)
+            place, size, offset = self._shared(table, q, words, last)
             start = np.clip(place - offset, first[place], last[place] - 1)
-            for m in [only] if only else np.unique(sizes[item]).tolist():
-                mine = sizes[item] == m
+            for m in [only] if only else np.unique(size).tolist():
+                mine = size == m
                 if mine.any():
                     got.setdefault(m, []).append(np.unique(np.stack([start[mine], first[place[mine]], last[place[mine]]]), axis=1))
         for m, parts in got.items():
@@ -288,10 +300,10 @@ _HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), (
 
 def index(benchmark: DataFrame, **how) -> Index:
     """From all items; a benchmark of over MAX_ITEMS items must be searched in parts."""
-    rows = benchmark.select("item_id", "text").where("text is not null and item_id is not null").limit(MAX_ITEMS + 1).collect()
+    rows = benchmark.select("item_id", "text").where("text is not null").limit(MAX_ITEMS + 1).collect()
     if len(rows) > MAX_ITEMS:
         raise ValueError(f"over {MAX_ITEMS} benchmark items: search them in parts and union the matches")
-    rows.sort(key=lambda r: (r["item_id"], r["text"]))
+    rows.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
     return Index([r["item_id"] for r in rows], [r["text"] for r in rows], **how)
 
 
