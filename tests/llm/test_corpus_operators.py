@@ -335,6 +335,28 @@ def test_decontamination_finds_edited_passages(spark):
     assert decontaminate.contamination(frame(spark, rows[:2]), bench.limit(0)).count() == 0
 
 
+def test_decontamination_short_items_null_ids_and_ties(spark):
+    bench = spark.createDataFrame([(1, "red fox runs"), (None, "one two three four five six seven"), (3, "Zebra"), (4, None), (5, " "), (6, "red fox runs")], "item_id bigint, text string")
+    texts = ["a red fox  runs home", "red fox walks", "x one two three 4 five six seven y", "ZEBRA zebra", "red fox\nruns and red fox runs", None, ""]
+    got = decontaminate.contamination(frame(spark, texts), bench).toPandas()
+    rows = sorted((int(r.doc_id), None if pd.isna(r.item_id) else int(r.item_id), int(r.distance)) for r in got.itertuples()) if len(got) else []
+    assert sorted(rows, key=str) == sorted([(0, 1, 0), (0, 6, 0), (2, None, 1), (3, 3, 0), (4, 1, 0), (4, 6, 0)], key=str)
+    first = got[(got.doc_id == 4) & (got.item_id == 1)]
+    assert (int(first.start.iloc[0]), int(first.end.iloc[0])) == (0, 12)  # of equally near passages the first
+    kept = decontaminate.drop_contaminated(frame(spark, texts), bench)
+    assert sorted(kept.toPandas().doc_id) == [1, 5, 6] and kept.columns == frame(spark, []).columns
+    assert decontaminate.drop_contaminated(frame(spark, texts + texts[1:2], [*range(7), 1]), bench.limit(0)).count() == 8
+    assert decontaminate.contamination(frame(spark, texts), bench, min_words=5).count() == 1
+
+
+def test_decontamination_of_items_with_a_shared_run():
+    items = [f"the same words {i} then {i * 7} and {i * 13} to end with" for i in range(3000)]
+    index = decontaminate.Index(list(range(len(items))), items)
+    assert len(index.grams[3][0]) < 8 * len(items)
+    hits = index.search(["start the same words 17 then 119 and 221 to end with stop", "the same words"])
+    assert any(h["item_id"] == 17 and h["distance"] == 0 for h in hits[0]) and hits[1] == []
+
+
 @pytest.mark.parametrize(("lengths", "seed"), [((10, 300), 1), ((10, 60, 120), 2)])
 def test_decontamination_of_mixed_lengths(lengths, seed):
     rng = random.Random(seed)

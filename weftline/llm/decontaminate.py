@@ -30,6 +30,7 @@ from weftline.llm.common import map_texts
 
 _U = np.uint64
 _PAD = _U(0x5BD1E995A4F3C2E7)
+_ODD = _U(0x9E3779B97F4A7C15)
 MAX_ITEMS = 50_000
 MOST = 256  # repetitions; beyond, the exact check of all passages costs less
 COPIES = 400  # simulated for each length
@@ -49,6 +50,9 @@ class Index:
         parts = np.split(words, np.searchsorted(doc, np.arange(1, len(texts)))) if texts else []
         kept = [i for i, w in enumerate(parts) if len(w) >= min_words]
         self.ids, self.items = [ids[i] for i in kept], [parts[i] for i in kept]
+        self.flat = np.concatenate(self.items) if self.items else np.zeros(0, _U)
+        self.sizes = np.array([len(w) for w in self.items], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.seed = seed
         lengths = sorted({len(w) for w in self.items})
         self.grams = self._run_table(range(len(self.items)))
@@ -58,7 +62,9 @@ class Index:
             which = [i for i, w in enumerate(self.items) if len(w) == m]
             steps = self.steps(m, 0, self.repeats[m] or 0)
             mat = np.stack([self.items[i] for i in which])
-            self.tables[m] = (np.array(which), mat, steps, self.signatures(mat, steps))
+            keys = self.signatures(mat, steps).ravel()  # all repetitions in one table: the number of the repetition is part of the key
+            order = np.argsort(keys, kind="stable")
+            self.tables[m] = (np.array(which), steps, keys[order], order % len(which))
         self.grams = self._run_table([i for i, w in enumerate(self.items) if self.repeats[len(w)]])
         self.exact = self._gram_table([i for i, w in enumerate(self.items) if not self.repeats[len(w)]])
 
@@ -77,7 +83,7 @@ class Index:
         """By length of run: runs in order, and the distinct lengths of the items with the run and places in them."""
         out = {}
         for q, (keys, item, offset) in self._gram_table(which).items():
-            size = np.array([len(w) for w in self.items], np.int64)[item]
+            size = self.sizes[item]
             order = np.lexsort((offset, size, keys))
             keys, size, offset = keys[order], size[order], offset[order]
             new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (size[1:] != size[:-1]) | (offset[1:] != offset[:-1])])
@@ -98,21 +104,33 @@ class Index:
     def signatures(self, windows: np.ndarray, steps: list[np.ndarray], first: int = 0) -> np.ndarray:
         """LSH keys (repetitions from `first` on x rows) of rows of words: the CGK embedding of each repetition at its sampled steps."""
         n, m = windows.shape
-        wide = np.concatenate([windows, np.full((n, 1), _PAD, _U)], 1)
-        at, rows, out = np.zeros((len(steps), n), np.int64), np.arange(n)[None, :], np.zeros((len(steps), n), _U)
+        ends = np.array([own[-1] for own in steps], np.int64)
+        order = np.argsort(-ends, kind="stable")  # the walks still under way are the first ones
+        span = int(ends.max(initial=-1)) + 1
+        flat = np.full((n, m + span), _PAD, _U)
+        flat[:, :m] = windows
         due: dict[int, list[int]] = {}
-        for r, own in enumerate(steps):
-            for j in own.tolist():
-                due.setdefault(j, []).append(r)
-        last, seeds = max(due, default=-1), _walk(self.seed)[first : first + len(steps)]
-        for j in range(last + 1):
-            sym = wide[rows, at]
-            if j in due:
-                out[due[j]] = tv.mix64(out[due[j]] + sym[due[j]])
-            if j < last:  # words are hashes already: a multiplication makes a fresh bit of them
-                at += ((sym * seeds[:, j % seeds.shape[1], None]) >> _U(63)).astype(np.int64)
-                np.minimum(at, m, out=at)
-        return out
+        for place, r in enumerate(order.tolist()):
+            for j in steps[r].tolist():
+                due.setdefault(j, []).append(place)
+        seeds = _walk(self.seed)[first : first + len(steps)][order]
+        at = np.repeat((np.arange(n) * (m + span))[None, :], len(steps), 0)
+        out = np.repeat(tv.mix64(order.astype(_U) + _U(first))[:, None], n, 1)
+        flat = flat.ravel()
+        lives = np.searchsorted(-ends[order], -np.arange(span), "right").tolist()
+        for j, live in enumerate(lives):
+            sym = flat.take(at[:live])
+            for place in due.get(j, ()):
+                row = out[place]
+                row += sym[place]
+                row *= _ODD
+                row ^= row >> _U(31)
+            sym *= seeds[:live, j % seeds.shape[1], None]  # words are hashes already: a multiplication makes a fresh bit of them
+            sym >>= _U(63)
+            at[:live] += sym.view(np.int64)
+        back = np.empty_like(out)
+        back[order] = out
+        return back
 
     def _repeats(self, lengths: list[int], recall: float) -> dict[int, int | None]:
         """Repetitions by item length; None: verified without LSH.
@@ -196,7 +214,7 @@ class Index:
 
         A copy keeps at least m - q + 1 - k * q of the item's runs, displaced by amounts within k of each other.
         """
-        sizes = np.array([len(w) for w in self.items], np.int64)
+        sizes = self.sizes
         for q, table in self.exact.items():
             place, item, offset = self._shared(table, q, words, last)
             order = np.lexsort((place - offset, first[place], item))
@@ -216,6 +234,26 @@ class Index:
             for size, rows in found.items():
                 yield size, *np.array(rows, np.int64).T
 
+    def _verified(self, words: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+        """(items, starts, ends, distances) of the passages words[lo:hi] that hold the item within its limit; items of near lengths go together."""
+        order = np.lexsort((hi - lo, self.sizes[item]))
+        at = 0
+        while at < len(order):
+            width = int(self.sizes[item[order[at]]] * 1.2) + 8
+            to = at + int(np.searchsorted(self.sizes[item[order[at:]]], width, "right"))
+            rows = order[at : min(to, at + max(16, min(2048, (1 << 18) // width)))]
+            at += len(rows)
+            it, x, y = item[rows], lo[rows], hi[rows]
+            size = self.sizes[it]
+            limit = (self.edits * size).astype(np.int64)
+            mat = view_of(self.flat, self.starts[it], self.starts[it] + size, int(size.max()), ~_PAD)
+            near = view_of(words, x, y, int((y - x).max()))
+            some = np.flatnonzero(present(mat, near) >= size - limit)  # at distance k, all words of the item but k stand in the passage
+            dist, s, e = substring_distance(mat[some], near[some], size[some])
+            ok = np.flatnonzero(dist <= limit[some])
+            some, x, y = some[ok], x[some[ok]], y[some[ok]]
+            yield it[some], x + s[ok], np.minimum(x + e[ok], y), dist[ok]
+
     def search(self, texts: list[str]) -> list[list[dict]]:
         """Of each text: best match of every item found in it."""
         words, doc, at, to = tv.word_hashes(texts)
@@ -225,44 +263,38 @@ class Index:
         bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
         first, last = bounds[doc], bounds[doc + 1]
 
-        def verify(m: int, items: np.ndarray, lo_w: np.ndarray, hi_w: np.ndarray) -> None:
-            which, mat, _, _ = self.tables[m]
-            k, size = self.limit(m), max(16, min(2048, (1 << 18) // m))
-            for p in range(0, len(items), size):
-                it, lo, hi = items[p : p + size], lo_w[p : p + size], hi_w[p : p + size]
-                dist, s, e = substring_distance(mat[it], view_of(words, lo, hi, max(m + 2 * k, int((hi - lo).max()))))
-                for x in np.flatnonzero(dist <= k).tolist():
-                    d, i = doc[lo[x]], int(which[it[x]])
-                    b, f = int(lo[x] + s[x]), int(min(lo[x] + e[x], hi[x]))
-                    new = (int(dist[x]), int(at[b]), int(to[max(b, f - 1)]))
-                    if i not in out[d] or new < out[d][i]:
-                        out[d][i] = new
-
+        found: list[tuple] = []  # items, and the bounds of the passages to check
         for m, w in self.windows(words, first, last):
-            which, mat, steps, sig = self.tables[m]
-            order = np.argsort(sig, axis=1, kind="stable")
-            keys, k = np.take_along_axis(sig, order, 1), self.limit(m)
+            which, steps, keys, item_of = self.tables[m]
+            k = self.limit(m)
             size = max(64, min(1024, (1 << 15) // len(steps)))
             for lo in range(0, w.shape[1], size):
                 start, begin, end = w[:, lo : lo + size]
-                pairs = []
-                for r, s in enumerate(self.signatures(view_of(words, start, end, m), steps)):
-                    a, b = np.searchsorted(keys[r], s), np.searchsorted(keys[r], s, "right")
-                    row = np.repeat(np.arange(len(s)), b - a)
-                    item = order[r][np.repeat(a, b - a) + np.arange(len(row)) - np.repeat(np.cumsum(b - a) - (b - a), b - a)]
-                    pairs.append(row * len(which) + item)
-                pair = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, int)
+                sig = self.signatures(view_of(words, start, end, m), steps).ravel()
+                a = np.searchsorted(keys, sig)
+                hit = np.flatnonzero(keys[np.minimum(a, len(keys) - 1)] == sig)
+                a, count = a[hit], np.searchsorted(keys, sig[hit], "right") - a[hit]
+                row = np.repeat(hit % len(start), count)
+                item = item_of[np.repeat(a, count) + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)]
+                pair = np.unique(row * len(which) + item)
                 row, item = pair // len(which), pair % len(which)
-                verify(m, item, np.maximum(start[row] - k, begin[row]), np.minimum(start[row] + m + k, end[row]))
-        for m, item, lo_w, hi_w in self.passages(words, first, last):
-            verify(m, np.searchsorted(self.tables[m][0], item), lo_w, hi_w)
+                found.append((which[item], np.maximum(start[row] - k, begin[row]), np.minimum(start[row] + m + k, end[row])))
+        found += [(item, lo, hi) for _, item, lo, hi in self.passages(words, first, last)]
+        if not found:
+            return [[] for _ in texts]
+        item, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
+        for it, b, f, dist in self._verified(words, item, lo, hi):
+            for i, x, y, n in zip(it.tolist(), b.tolist(), f.tolist(), dist.tolist(), strict=True):
+                new = (n, int(at[x]), int(to[max(x, y - 1)]))
+                if i not in out[doc[x]] or new < out[doc[x]][i]:
+                    out[doc[x]][i] = new
         return [[{"item_id": self.ids[i], "distance": v[0], "start": v[1], "end": v[2]} for i, v in sorted(o.items())] for o in out]
 
 
-def view_of(words: np.ndarray, start: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
+def view_of(words: np.ndarray, start: np.ndarray, end: np.ndarray, width: int, pad: np.uint64 = _PAD) -> np.ndarray:
     """Row by row `width` words from start on, padded from end on."""
     pos = start[:, None] + np.arange(width)[None, :]
-    return np.where(pos < end[:, None], words[np.minimum(pos, len(words) - 1)], _PAD)
+    return np.where(pos < end[:, None], words[np.minimum(pos, len(words) - 1)], pad)
 
 
 def gram(words: np.ndarray, q: int) -> np.ndarray:
@@ -274,25 +306,38 @@ def gram(words: np.ndarray, q: int) -> np.ndarray:
     return tv.mix64(acc + _U(q)) if len(words) >= q else np.zeros(0, _U)
 
 
-def substring_distance(items: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row by row, the least edit distance of the item to a run of the region's words, and that run's start and end (the first such end)."""
+def present(items: np.ndarray, regions: np.ndarray) -> np.ndarray:
+    """Row by row, how many of the item's words, repeats counted, stand anywhere in the region."""
+    out = np.zeros(len(items), np.int64)
+    step = max(1, (1 << 22) // max(1, items.shape[1] * regions.shape[1]))
+    for lo in range(0, len(items), step):
+        out[lo : lo + step] = (items[lo : lo + step, :, None] == regions[lo : lo + step, None, :]).any(2).sum(1)
+    return out
+
+
+def substring_distance(items: np.ndarray, regions: np.ndarray, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row by row, the least edit distance of the item (its first `sizes` words) to a run of the region's words, and that run's start and end (the first such end)."""
     n, m = items.shape
-    d = np.tile(np.arange(m + 1), (n, 1)).astype(np.int64)
-    s = np.zeros((n, m + 1), np.int64)  # start of the run behind each value
-    best, bs, be = d[:, m].copy(), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    scale = 1 << 20
-    for j in range(regions.shape[1]):
-        diff = (items != regions[:, j : j + 1]).astype(np.int64)
-        new = np.empty_like(d)
-        new[:, 0] = (j + 1)  # cost 0, start j + 1
-        cand = np.minimum((d[:, :-1] + diff) * scale + s[:, :-1], (d[:, 1:] + 1) * scale + s[:, 1:])
-        new[:, 1:] = cand
-        ramp = np.arange(m + 1) * scale
-        new = np.minimum.accumulate(new - ramp, 1) + ramp
-        d, s = new // scale, new % scale
-        better = d[:, m] < best
-        best[better], bs[better], be[better] = d[better, m], s[better, m], j + 1
-    return best, bs, be
+    width = regions.shape[1]
+    bits = max(4, int(width + 1).bit_length())
+    kind = np.int32 if (m + width + 2) << bits < 1 << 31 else np.int64
+    one = kind(1 << bits)
+    ramp = np.arange(m + 1, dtype=kind) << bits
+    v = np.tile(ramp, (n, 1))  # distance in the upper bits, start of the run behind it in the lower
+    rows, sizes = np.arange(n), np.full(n, m) if sizes is None else sizes
+    best, be = v[rows, sizes], np.zeros(n, np.int64)
+    for j in range(width):
+        new = np.empty_like(v)
+        new[:, 0] = j + 1  # distance 0, start j + 1
+        np.minimum(v[:, :-1] + (items != regions[:, j : j + 1]) * one, v[:, 1:] + one, out=new[:, 1:])
+        new -= ramp
+        np.minimum.accumulate(new, 1, out=new)
+        new += ramp
+        v = new
+        last = v[rows, sizes]
+        better = (last >> bits) < (best >> bits)
+        best[better], be[better] = last[better], j + 1
+    return (best >> bits).astype(np.int64), (best & (one - kind(1))).astype(np.int64), be
 
 
 _HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -312,7 +357,7 @@ def search(docs: DataFrame, found: Index, keep: list[str]) -> DataFrame:
 
     def run(texts):
         hits = []
-        for _, part in tv.chunks(texts, 1 << 20):
+        for _, part in tv.chunks(texts, 1 << 21):
             hits += found.search(part)
         return {"__hits": pa.array(hits, _HITS)}
 
