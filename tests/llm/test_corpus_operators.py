@@ -266,6 +266,49 @@ def test_forward_sums_all_segmentations():
     assert (got[:-1] * np.array([len(x) for x in pieces.texts])).sum() == pytest.approx(4)  # every segmentation covers the word
 
 
+def test_forward_of_long_words():
+    rng = np.random.default_rng(1)
+    pieces = langid.Pieces(["a", "ab", "b", "▁", "▁a", "ba", "bab", "c"])
+    prob = np.concatenate([rng.random((8, 3)) * 0.2, np.full((1, 3), 1e-8)])
+    for n in (1, 2, 3, 9, 60, 300):
+        word = np.array([langid.MARK] + [ord(c) for c in rng.choice(list("abcd"), n)], np.uint32)
+        assert np.allclose(langid.forward_long(word, pieces, prob), langid.forward(word[None, :], pieces, prob)[0])
+    word = np.array([langid.MARK] + [ord(c) for c in rng.choice(list("abc"), 40_000)], np.uint32)
+    half = langid.forward_long(word[:20_001], pieces, prob)
+    assert np.isfinite(langid.forward_long(word, pieces, prob)).all() and (langid.forward_long(word, pieces, prob) < half).all()
+
+
+def test_training_counts_all_segmentations():
+    """Expected counts against a sum over every segmentation."""
+    pieces = langid.Pieces(["a", "ab", "b", "▁", "▁a", "ba"])
+    p = np.array([0.1, 0.2, 0.3, 0.15, 0.05, 0.2, 1e-8])
+    at = {t: i for i, t in enumerate(pieces.texts)}
+
+    def cuts(s):
+        return [[]] if not s else [[s[:k], *rest] for k in range(1, len(s) + 1) if s[:k] in at for rest in cuts(s[k:])]
+
+    want, words = np.zeros(7), [("▁aba", 2.0), ("▁abb", 1.0)]
+    for w, n in words:
+        weights = [np.prod([p[at[x]] for x in c]) for c in cuts(w)]
+        for c, v in zip(cuts(w), weights, strict=True):
+            for x in c:
+                want[at[x]] += n * v / sum(weights)
+    mat = np.array([[ord(c) for c in w] for w, _ in words], np.uint32)
+    assert np.allclose(langid.expected(mat, np.array([n for _, n in words]), pieces, p), want)
+
+
+def test_language_id_learns_rare_languages_and_scores_long_words(spark):
+    rng = random.Random(3)
+    en, fr = "the of and with house water people never under".split(), "le de avec maison jamais sous peuple nous vous".split()
+    texts = [" ".join(rng.choice(en) for _ in range(60)) for _ in range(400)] + [" ".join(rng.choice(fr) for _ in range(60)) for _ in range(8)]
+    docs = frame(spark, ["z" * 250_000, *texts, "q" * 30_000, "the house and the water"]).withColumn("lang", F.when((F.col("doc_id") > 400) & (F.col("doc_id") < 409), "fr").otherwise("en"))
+    got = langid.language_id(docs, max_chars=300_000).toPandas().set_index("doc_id")
+    assert (got.lang_pred[401:408] == "fr").all() and (got.lang_pred[1:400] == "en").all() and got.score.between(0, 1).all()
+    same = frame(spark, ["xyz zyx"] * 4).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "b").otherwise("a"))
+    tie = langid.predict(same, langid.train(["xyz"] * 2, ["b", "a"])).toPandas()
+    assert set(tie.lang_pred) == {"a"} and np.allclose(tie.score, 0.5)  # equal posteriors: the first by code point
+
+
 def test_language_id(spark):
     got = langid.language_id(read(spark, "documents")).toPandas()
     y = read(spark, "documents").toPandas().merge(got, on="doc_id")

@@ -147,12 +147,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, take: Column
     rows = scratch.write(rows, "sample")
     sizes = sorted((r["__h"], r["__id"], r["__n"]) for r in rows.select("__h", "__id", "__n").collect())  # max_docs rows at most
     chosen = within((((h, i), n) for h, i, n in sizes), max_chars)
-    got = _fetch(rows, chosen, ["__h", "__id"], ["__t", "__y"])
+    got = fetch(rows, chosen, ["__h", "__id"], ["__t", "__y"])
     scratch.drop(rows)
     return [r["__t"] for r in got], [r["__y"] for r in got]
 
 
-def _fetch(rows: DataFrame, chosen: set, key: list[str], cols: list[str]) -> list:
+def fetch(rows: DataFrame, chosen: set, key: list[str], cols: list[str]) -> list:
     """The chosen rows in the order of their keys; their number and size are bounded by the caller."""
     if not chosen:
         return []
@@ -161,4 +161,4 @@ def _fetch(rows: DataFrame, chosen: set, key: list[str], cols: list[str]) -> lis
     return sorted(got, key=lambda r: tuple(r[k] for k in key))
 
 
-__all__ = ["Scratch", "crc_mod", "labelled_sample", "map_arrow", "map_texts", "row_keys", "shared_dir", "table", "tidy", "tv", "within"]
+__all__ = ["Scratch", "crc_mod", "fetch", "labelled_sample", "map_arrow", "map_texts", "row_keys", "shared_dir", "table", "tidy", "tv", "within"]

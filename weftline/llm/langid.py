@@ -5,11 +5,13 @@ unigram distribution over pieces is learned by expectation-maximisation over all
 sample. A text's likelihood under a language is the product over its words of the sum, by the forward algorithm, over all ways
 to cut the word into pieces; the prediction has the largest posterior.
 
-A word is a run of letters of the lower-cased text with the vocabulary's word mark before it; of a run of over 64 letters each 64 are a
-word (pieces don't cross them). A letter outside the vocabulary has the same small probability in every language.
+A word is a run of letters of the lower-cased text, of any length, with the vocabulary's word mark before it. A letter outside the vocabulary has the
+same small probability in every language. The sample is drawn for each language by itself, so that rare languages are learned too; the
+prior counts all training rows.
 
-Defined cases: a null text, or one without letters, is `und` with score 0; equal posteriors go to the first language by code point;
-repeated rows are scored row by row; without training rows everything is `und`; an empty table gives an empty result.
+Defined cases: a null text, or one without letters, is `und` with score 0; equal posteriors go to the first language by code point; texts and words of any
+length are scored whole (training leaves out words of over LONGEST letters); repeated rows are scored row by row; without training rows everything
+is `und`; an empty table gives an empty result. Only doc_id, text and lang are read, so further columns and their names don't matter.
 """
 
 from __future__ import annotations
@@ -17,15 +19,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import textvec as tv
-from weftline.llm.common import crc_mod, map_texts
+from weftline.llm.common import Scratch, crc_mod, fetch, map_texts, within
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581
-LONGEST = 64
+LONGEST = 64  # letters of a word that is learned from, or scored together with others of its length
 _U = np.uint64
 _B = _U(0x9E3779B97F4A7C15)
 _M = _U(0xD6E8FEB86659FD93)
@@ -122,6 +124,43 @@ def forward(words: np.ndarray, pieces: Pieces, prob: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(alpha[width], 1e-300)) + scale[:, None]
 
 
+def forward_long(word: np.ndarray, pieces: Pieces, prob: np.ndarray) -> np.ndarray:
+    """Log likelihood of one long word (its code points) under each language; the same sum, place by place, in bounded memory."""
+    width, top = len(word), pieces.longest
+    table = np.concatenate([prob, np.zeros((1, prob.shape[1]))])  # the last row for no piece
+    none = len(prob)
+    ring = np.zeros((top, prob.shape[1]))  # values of the last places, the nearest first
+    ring[0] = 1
+    scale = 0.0
+    for lo in range(0, width, 1 << 14):
+        hi = min(width, lo + (1 << 14))
+        first = max(0, lo - top)
+        prefix = np.zeros(hi - first + 1, _U)
+        run = _U(0)
+        with np.errstate(over="ignore"):
+            for j, c in enumerate((word[first:hi].astype(_U) * _M).tolist()):
+                run = _U((int(run) * int(_B) + c) & 0xFFFFFFFFFFFFFFFF)
+                prefix[j + 1] = run
+        ids = np.full((hi - lo, top), none, np.int64)
+        power = 1
+        for k in range(1, top + 1):
+            power = power * int(_B) & 0xFFFFFFFFFFFFFFFF
+            end = np.arange(max(lo + 1, k), hi + 1) - first  # places where a piece of k letters may end
+            if len(end):
+                found = pieces.find(prefix[end] - prefix[end - k] * _U(power)).astype(np.int64)
+                ids[end + first - lo - 1, k - 1] = np.where(found >= 0, found, none - 1 if k == 1 else none)
+        for row in ids:
+            value = (ring * table[row]).sum(0)
+            most = value.max()
+            if most > 0:
+                value /= most
+                scale += np.log(most)
+            ring[1:] = ring[:-1]
+            ring[0] = value
+            ring[1:] /= most if most > 0 else 1
+    return np.log(np.maximum(ring[0], 1e-300)) + scale
+
+
 def expected(words: np.ndarray, weight: np.ndarray, pieces: Pieces, prob: np.ndarray) -> np.ndarray:
     """Expected count of each piece, over all segmentations, of one language's words. prob: pieces (and unknown)."""
     n, width = words.shape
@@ -153,13 +192,6 @@ def word_table(texts: list[str]):
     """Distinct words of a chunk and where they occur: hash of each, its letters as (codes, start, length), text and word of each occurrence."""
     codes, offs = tv.pack([t.lower() for t in texts])
     starts, ends, doc = tv.runs(_letters(codes), offs)
-    if len(starts) and (ends - starts).max() > LONGEST:
-        parts = -(-(ends - starts) // LONGEST)
-        doc = np.repeat(doc, parts)
-        nth = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
-        stop = np.repeat(ends, parts)
-        starts = np.repeat(starts, parts) + nth * LONGEST
-        ends = np.minimum(starts + LONGEST, stop)
     h = tv.hash_runs(codes, starts, ends)
     distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
     return distinct, codes, starts[first], (ends - starts)[first], doc, which
@@ -184,8 +216,10 @@ class Model:
     vocabulary: str
 
 
-def train(texts: list[str], langs: list[str], path: str = VOCABULARY, rounds: int = 4, smooth: float = 0.05) -> Model:
+def train(texts: list[str], langs: list[str], path: str = VOCABULARY, rounds: int = 4, smooth: float = 0.05, counts: dict[str, int] | None = None) -> Model:
+    """counts: training rows of each language, for the prior; those of the sample by default."""
     names = sorted(set(langs))
+    counts = counts or {n: langs.count(n) for n in names}
     pieces = Pieces(vocabulary(path))
     prob = np.zeros((len(pieces.texts) + 1, len(names)))
     for col, name in enumerate(names):
@@ -194,6 +228,8 @@ def train(texts: list[str], langs: list[str], path: str = VOCABULARY, rounds: in
         for _, run in tv.chunks([t for t, g in zip(texts, langs, strict=True) if g == name]):
             h, codes, starts, lengths, _, which = word_table(run)
             for key, n, s, ln in zip(h.tolist(), np.bincount(which, minlength=len(h)).tolist(), starts.tolist(), lengths.tolist(), strict=True):
+                if ln > LONGEST:
+                    continue
                 count[key] = count.get(key, 0) + n
                 if key not in words:
                     words[key] = codes[s : s + ln].copy()
@@ -212,7 +248,7 @@ def train(texts: list[str], langs: list[str], path: str = VOCABULARY, rounds: in
             p /= p[:-1].sum()
             p[-1] = 1e-8
         prob[:, col] = p
-    prior = np.log(np.array([langs.count(n) + 1.0 for n in names]) / (len(langs) + len(names))) if names else np.zeros(0)
+    prior = np.log(np.array([counts[n] + 1.0 for n in names]) / (sum(counts[n] for n in names) + len(names))) if names else np.zeros(0)
     return Model(names, prob, prior, path)
 
 
@@ -231,8 +267,12 @@ class Scorer:
         met = self.known[at] == h if len(self.known) else np.zeros(len(h), bool)
         out[met] = self.value[at[met]]
         new = np.flatnonzero(~met)
-        for part, mat in by_length(codes, starts[new], lengths[new]):
-            out[new[part]] = forward(mat, self.pieces, self.model.prob)
+        for i in new[lengths[new] > LONGEST].tolist():
+            word = np.concatenate([np.array([MARK], np.uint32), codes[starts[i] : starts[i] + lengths[i]]])
+            out[i] = forward_long(word, self.pieces, self.model.prob)
+        short = new[lengths[new] <= LONGEST]
+        for part, mat in by_length(codes, starts[short], lengths[short]):
+            out[short[part]] = forward(mat, self.pieces, self.model.prob)
         if len(new) and len(self.known) + len(new) <= self.ROOM:
             keys = np.concatenate([self.known, h[new]])
             order = np.argsort(keys)
@@ -258,21 +298,36 @@ class Scorer:
         return {"lang_pred": pred, "score": score}
 
 
-def fit(docs: DataFrame, path: str = VOCABULARY, max_docs: int = 2000, max_chars: int = 3_000_000, test_fold: tuple[int, int] | None = (5, 0)) -> Model:
-    """Model from at most max_docs rows with text and lang outside the test fold, chosen by a hash of id and text, and at most max_chars characters."""
+def fit(docs: DataFrame, path: str = VOCABULARY, max_docs: int = 2000, max_chars: int = 3_000_000, least_docs: int = 50, least_chars: int = 100_000, test_fold: tuple[int, int] | None = (5, 0)) -> Model:
+    """Model from rows with text, lang and id outside the test fold.
+
+    max_docs documents and max_chars characters are shared evenly by the languages, but each gets least_docs and least_chars; what one has too few rows for
+    is not given to others. The documents of a language come in the order of a hash of their ids; one that doesn't fit the characters left is skipped.
+    """
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     if test_fold:
         rows = rows.where(crc_mod("doc_id", test_fold[0]) != test_fold[1])
-    ids = rows.select(F.xxhash64("doc_id", F.lit(29)).alias("__h"), "doc_id").distinct().orderBy("__h", "doc_id").limit(max_docs)
-    picked = rows.join(F.broadcast(ids), "doc_id").groupBy("__h", "doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).orderBy("__h", "doc_id").limit(max_docs)
-    texts, langs, size = [], [], 0
-    for r in picked.toLocalIterator():
-        size += len(r["r"]["text"])
-        if texts and size > max_chars:
-            break
-        texts.append(r["r"]["text"])
-        langs.append(r["r"]["lang"])
-    return train(texts, langs, path)
+    told = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id").alias("ids")).collect()  # one row a language
+    if not told:
+        return train([], [], path)
+    docs_each, chars_each = max(least_docs, max_docs // len(told)), max(least_chars, max_chars // len(told))
+    scratch = Scratch(docs.sparkSession)
+    h = F.xxhash64("doc_id", F.lit(29))
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (2.0 * docs_each + 200) / max(1, r["ids"]))) for r in told], "lang string, share double")
+    near = F.shiftrightunsigned(h, 11).cast("double") / float(1 << 53) < F.col("share")  # about twice as many as needed, of each language
+    some = rows.join(F.broadcast(share), "lang").where(near).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")  # some hundreds or thousands of rows a language
+    some = some.withColumn("h", h).withColumn("r", F.row_number().over(order)).where(F.col("r") <= docs_each).drop("r").withColumn("size", F.char_length("text"))
+    some = scratch.write(some, "sample")
+    sizes: dict[str, list] = {}
+    for r in some.select("lang", "h", "doc_id", "size").collect():
+        sizes.setdefault(r["lang"], []).append((r["h"], r["doc_id"], r["size"]))
+    chosen = set()
+    for lang, found in sizes.items():
+        chosen |= {(lang, *key) for key in within((((x, i), n) for x, i, n in sorted(found)), chars_each)}
+    got = fetch(some, chosen, ["lang", "h", "doc_id"], ["text"])
+    scratch.drop(some)
+    return train([r["text"] for r in got], [r["lang"] for r in got], path, counts={r["lang"]: r["n"] for r in told})
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
