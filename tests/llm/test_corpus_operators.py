@@ -162,6 +162,66 @@ def test_pii_edge_cases(spark, scratch):
     assert pii.find(frame(spark, []), scratch).count() == 0
 
 
+def test_pii_overlaps():
+    spans = [(0, 100)] + [(i, i + 1) for i in range(101, 120)] + [(5, 6), (7, 8), (9, 10), (11, 12), (13, 14)]
+    assert pii._inside(pii._merged(spans), 50, 60) and not pii._inside(pii._merged(spans), 100, 101)
+    rng = random.Random(6)
+    for _ in range(300):
+        some = [(s, s + rng.randint(1, 9)) for s in (rng.randrange(60) for _ in range(12))]
+        s, e = sorted(rng.sample(range(80), 2))
+        assert pii._inside(pii._merged(some), s, e) == any(a < e and b > s for a, b in some)
+    found = pii.candidates("jane [At] mail [Dot] com", pii.base_spans("jane [At] mail [Dot] com"))
+    assert [pii.KINDS[k] for k, *_ in found] == ["spelled_email"]
+    text = "token=4111111111111112222333 x"  # an account number inside a credential value: the one that starts first, the longer one
+    assert len(pii.candidates(text, pii.base_spans(text))) == 1
+
+
+def test_pii_posteriors_against_plain_em():
+    """The same expectation-maximisation over single spans, without counts."""
+    rng = random.Random(4)
+    rows = []
+    for _ in range(400):
+        kind, true = rng.randrange(8), rng.random() < 0.6
+        rows.append((kind, tuple(rng.choice([1, 1, 1, 0, -1]) if true else rng.choice([-1, -1, 0, 1]) for _ in range(5))))
+    distinct = sorted(set(rows))
+    got = pii.posteriors(np.array([k for k, _ in distinct]), np.array([v for _, v in distinct]), np.array([rows.count(r) for r in distinct], float), 12)
+    import math
+
+    q = [1 / (1 + math.exp(-sum(v))) for _, v in rows]
+    for _ in range(12):
+        prior = {k: (sum(x for x, (a, _) in zip(q, rows, strict=True) if a == k) + 1) / (sum(a == k for a, _ in rows) + 2) for k in range(8)}
+        rate = {}
+        for j in range(5):
+            for c in (0, 1):
+                w = [x if c else 1 - x for x in q]
+                yes = sum(x for x, (_, v) in zip(w, rows, strict=True) if v[j] == 1) + 2 + 6 * c
+                no = sum(x for x, (_, v) in zip(w, rows, strict=True) if v[j] == -1) + 8 - 6 * c
+                rate[j, c] = yes / (yes + no)
+        new = []
+        for k, v in rows:
+            z = math.log(prior[k] / (1 - prior[k]))
+            for j in range(5):
+                if v[j]:
+                    z += math.log(rate[j, 1] / rate[j, 0]) if v[j] == 1 else math.log((1 - rate[j, 1]) / (1 - rate[j, 0]))
+            new.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+        q = new
+    assert np.allclose([got[distinct.index(r)] for r in rows], q, atol=1e-9)
+
+
+def test_pii_classifier_tells_spans_of_one_kind_apart():
+    texts = [f"password = 'Zx9{i}kLmQw7pRt2vB4'" for i in range(60)] + [f"sha: {i:040d}" for i in range(60)]
+    counts: dict[int, int] = {}
+    of = []
+    for t in texts:
+        for k, s, e, b in pii.candidates(t, pii.base_spans(t)):
+            code = pii.pattern(t, k, s, e, b)
+            counts[code] = counts.get(code, 0) + 1
+            of.append((t[:3], pii.KINDS[k], code))
+    p = pii.aggregate(counts)
+    secret = {head: [p[c] for h, k, c in of if h == head and k == "secret"] for head in ("pas", "sha")}
+    assert min(secret["pas"]) > 0.9 and all(v < 0.5 for v in secret["sha"])
+
+
 def test_targets_and_flow():
     t = mixing.targets({"a": 100, "b": 10, None: 90}, {"a": 1, "b": 2, None: 3})
     assert t["b"] == 30 and t["a"] == pytest.approx(170 / 4) and t[None] == pytest.approx(170 * 3 / 4)
@@ -198,6 +258,8 @@ def test_mixing_edge_cases(spark, scratch):
     assert mixing.mixing(frame(spark, [None, ""]), scratch).toPandas().taken.tolist() == [0, 0]
     overlap = mixing.mix(frame(spark, ["a b c"] * 40), scratch, F.array(F.lit("p"), F.when(F.col("doc_id") % 2 == 0, "q").otherwise("p"))).toPandas()
     assert overlap.taken.sum() == pytest.approx(120, abs=6)
+    same = mixing.mixing(frame(spark, ["a b c"] * 6 + ["d e f g"], [5] * 6 + [None]), scratch).toPandas()
+    assert len(same) == 7 and (same.taken <= 3 * same["size"]).all()
     taken = mixing.take(frame(spark, ODD), scratch).toPandas()
     assert list(taken.columns) == ["doc_id", "text", "lang", "source", "n_chars", "score", "c"]
 
@@ -439,16 +501,28 @@ def test_ann_recall_and_scores(spark, scratch):
 def test_ann_edge_cases(spark, scratch):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [float("inf"), 1.0]), (20, []), (40, [-1.0, 0.0]), (None, [1.0, 1.0])]
     got = ann.neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), scratch).orderBy("query_id", "rank").toPandas()
+    assert sorted(got.itertuples(index=False, name=None)) == brute_neighbours([r for r in rows if r[0] not in (5, 6, 7)])
     assert [tuple(r) for r in got.itertuples(index=False)] == [(0, 1, 1, 0.5), (0, 2, 2, 0.5), (0, 3, 40, -1.0), (40, 1, 1, -0.5), (40, 2, 2, -0.5), (40, 3, 0, -1.0)]
     assert ann.neighbours(spark.createDataFrame([], "vec_id bigint, embedding array<float>"), scratch).count() == 0
 
 
-def test_ann_repeated_query_ids(spark, scratch):
-    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [0.0, 1.0])] + [(i, [float(i), 100.0 - i]) for i in range(61, 80)] + [(i, [float(i), 100.0 - i]) for i in range(81, 100)]
-    got = ann.neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), scratch).toPandas()
-    first = [(20, r + 1, 99 - r, 99.0 - r) for r in range(19)] + [(20, 20, 79, 79.0)]
-    second = [(20, r + 1, 61 + r, 39.0 - r) for r in range(19)] + [(20, 20, 81, 19.0)]
-    assert sorted(got.itertuples(index=False, name=None)) == sorted(first + second)
+def brute_neighbours(rows, k=20, every=20):
+    out = []
+    for i, (q, v) in enumerate(rows):
+        if q is not None and q % every == 0 and v is not None and any(v):
+            score = [(-float(np.dot(np.float64(v), np.float64(w))), r) for j, (r, w) in enumerate(rows) if j != i and r is not None and w is not None and len(w) == len(v) and any(w)]
+            out += [(q, n + 1, r, -s) for n, (s, r) in enumerate(sorted(score)[:k])]
+    return sorted(out)
+
+
+def test_ann_by_row_against_brute_force(spark, scratch):
+    """Repeated ids, equal rows, equal vectors, two lengths."""
+    rng = random.Random(8)
+    rows = [(i, [float(rng.randrange(-4, 5)) for _ in range(4)]) for i in range(70)]
+    rows += rows[20:23] * 2 + [(20, [1.0, 2.0, 3.0, 4.0]), (0, rows[0][1]), (40, [5.0, 1.0]), (41, [1.0, 1.0]), (42, [2.0, -1.0]), (60, [7.0]), (43, None)]
+    rows += [(100 + i, rows[7][1]) for i in range(30)]
+    got = ann.neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("score", F.lit("x")), scratch).toPandas()
+    assert sorted(got.itertuples(index=False, name=None)) == brute_neighbours(rows)
 
 
 def test_feistel_is_a_permutation():

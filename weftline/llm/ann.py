@@ -6,10 +6,10 @@ its nearest centre's cell; a query reads the cells whose centres score highest.
 a crowded cell is many tasks; a block's codes are scanned with the query's tables, two 4-bit codes at a time, and the best, with all that lie
 within three typical errors of the k-th, are ranked anew by the exact inner product in double precision.
 
-Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those of another length than
-the most frequent one in the sample; a candidate with the query's own id is never returned; repeated ids are separate candidates; query rows alike in id and vector
-are one query, and different vectors under one id are separate queries, each with its own ranks from 1; with fewer candidates all are returned; an
-empty table gives an empty result.
+Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of different lengths have no inner
+product, so each length is searched by itself; every row is a query or candidate of its own: of rows alike in id and vector each has its list, in which the
+others stand (they are coded and scanned once); different vectors under one id are separate queries, each with its own ranks from 1, and candidates of each other;
+equal scores go to the smaller id; with fewer candidates all are returned; an empty table gives an empty result. Only the id and the vector are read, so further columns and their names don't matter.
 """
 
 from __future__ import annotations
@@ -131,23 +131,28 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def search(base: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 20, key: str = "vec_id", vec: str = "embedding", recall: float = 0.98, block: int = 4096, rerank: int = 8) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best rows of base for each row of queries (both: key, vec), but the query's own.
+def search(base: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 20, key: str = "vec_id", vec: str = "embedding", **how) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best rows of base for each row of queries (both: key, vec), but the query's own. how: see _search."""
+    side = lambda df: usable(df.select(F.col(key).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("embedding")).where("id is not null"))
+    src, asked = side(base), side(queries)
+    sizes = {r["n"]: r["count"] for r in src.groupBy(F.size("embedding").alias("n")).count().collect()}  # one row for each length
+    out = scratch.spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    for dim in sorted(sizes):
+        mine = asked.where(F.size("embedding") == dim)
+        if len(sizes) == 1 or not mine.isEmpty():
+            out = out.union(_search(src.where(F.size("embedding") == dim), mine, scratch, k, dim, sizes[dim], **how))
+    return out
+
+
+def _search(src: DataFrame, asked: DataFrame, scratch: Scratch, k: int, dim: int, n: int, recall: float = 0.98, block: int = 4096, rerank: int = 8) -> DataFrame:
+    """Search among the n vectors of one length.
 
     recall: of the sample's own exact neighbours, the part that must lie in the cells a query reads; sets the number of cells.
     rerank: so many times k of a block, at least, are ranked by the exact product.
     """
-    src = usable(base.select(F.col(key).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("embedding")).where("id is not null"))
-    sample = src.select("embedding").orderBy(F.xxhash64("id", F.lit(5)), "id").limit(SAMPLE).collect()
-    none = "query_id bigint, rank int, vec_id bigint, score double"
-    if not sample:
-        return scratch.spark.createDataFrame([], none)
-    lengths = [len(r[0]) for r in sample]
-    dim = max(set(lengths), key=lambda n: (lengths.count(n), n))
-    src = src.where(F.size("embedding") == dim)
-    n = src.count()
+    sample = src.select("embedding").orderBy(F.xxhash64("id", F.lit(5)), "id", "embedding").limit(SAMPLE).collect()
     cells = max(1, round(n**0.5 / 4)) if n > 2000 else 1
-    known = np.array([r[0] for r in sample if len(r[0]) == dim])
+    known = np.array([r[0] for r in sample])
     index = train(known, cells)
     share = needed_share(index, known, k, recall)
 
@@ -158,9 +163,11 @@ def search(base: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 20, k
                 cell = index.cell(x)
                 c = index.encode(x, cell)
                 packed = (c[:, 0::2] * 16 + c[:, 1::2]).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cell, pa.int32()), pa.array([p.tobytes() for p in packed], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())], names=["id", "cell", "code", "vec"])
+                raw = pa.array([p.tobytes() for p in packed], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cell, pa.int32()), *raw, b.column(2)], names=["id", "cell", "code", "vec", "copies"])
 
-    coded = scratch.write(map_arrow(src.select("id", "embedding"), code, "id bigint, cell int, code binary, vec binary"), "codes")
+    alike = src.groupBy("id", "embedding").agg(F.count("*").alias("copies"))
+    coded = scratch.write(map_arrow(alike, code, "id bigint, cell int, code binary, vec binary, copies bigint"), "codes")
     sizes = {r["cell"]: r["count"] for r in coded.groupBy("cell").count().collect()}  # one row per cell
     full = np.array([sizes.get(c, 0) for c in range(len(index.centres))])
     probes = min(len(full), max(8, int(np.ceil(share * len(full)))))
@@ -178,53 +185,65 @@ def search(base: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 20, k
             blocks = -(-full[cell] // block)
             row, cell, which = np.repeat(row, blocks), np.repeat(cell, blocks), np.concatenate([np.arange(x) for x in blocks]) if len(blocks) else np.zeros(0, int)
             raw = [v.tobytes() for v in q]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(cell, pa.int32()), pa.array(which, pa.int32()), pa.array([raw[i] for i in row], pa.binary())], names=["id", "cell", "block", "vec"])
-
-    asked = usable(queries.select(F.col(key).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("embedding")).where("id is not null"))
-    asked = asked.where(F.size("embedding") == dim).dropDuplicates(["id", "embedding"]).mapInArrow(probe, "id bigint, cell int, block int, vec binary")
-    turns = F.create_map(*[F.lit(int(x)) for c, s in sorted(sizes.items()) for x in (c, -(-s // block))]) if sizes else None
-    dealt = coded.withColumn("block", F.pmod(F.xxhash64("id", "vec"), turns[F.col("cell")]).cast("int"))
-    both = dealt.select("cell", "block", F.lit(0).alias("asks"), "id", F.lit(0).cast("bigint").alias("own"), "code", "vec")
-    both = both.unionByName(asked.select("cell", "block", F.lit(1).alias("asks"), "id", F.xxhash64("vec").alias("own"), F.lit(None).cast("binary").alias("code"), "vec"))
+            cols = [pa.array(cell, pa.int32()), pa.array(which, pa.int32()), pa.array([raw[i] for i in row], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), *cols, b.column(2).take(pa.array(row))], names=["id", "cell", "block", "vec", "copies"])
+
+    asked = asked.groupBy("id", "embedding").agg(F.count("*").alias("copies")).mapInArrow(probe, "id bigint, cell int, block int, vec binary, copies bigint")
+    turns = F.broadcast(scratch.spark.createDataFrame([(int(c), -(-x // block)) for c, x in sorted(sizes.items())], "cell int, blocks int"))  # one row per cell
+    dealt = coded.join(turns, "cell").withColumn("block", F.pmod(F.xxhash64("id", "vec"), F.col("blocks")).cast("int"))
+    both = dealt.select("cell", "block", F.lit(0).alias("asks"), "id", F.xxhash64("vec").alias("own"), "code", "vec", "copies")
+    both = both.unionByName(asked.select("cell", "block", F.lit(1).alias("asks"), "id", F.xxhash64("vec").alias("own"), F.lit(None).cast("binary").alias("code"), "vec", "copies"))
     both = both.repartition("cell", "block").sortWithinPartitions("cell", "block", "asks", "id")
 
     def scan(batches):
         for t in _whole_groups(batches, ["cell", "block"]):
-            cell, blk, asks, ids, own = (t.column(c).to_numpy() for c in ("cell", "block", "asks", "id", "own"))
+            cell, blk, asks = (t.column(c).to_numpy() for c in ("cell", "block", "asks"))
             cuts = np.flatnonzero((cell[1:] != cell[:-1]) | (blk[1:] != blk[:-1])) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(cell)], strict=True):
                 mid = lo + int(np.searchsorted(asks[lo:hi], 1))
                 if mid in (lo, hi):
                     continue
                 codes = np.frombuffer(b"".join(t.column("code").slice(lo, mid - lo).to_pylist()), np.uint8).reshape(mid - lo, -1)
-                x = np.frombuffer(b"".join(t.column("vec").slice(lo, mid - lo).to_pylist()), np.float64).reshape(-1, dim)
+                rows = _Side(t, lo, mid, dim)
                 for at in range(mid, hi, 128):
-                    to = min(hi, at + 128)
-                    q = np.frombuffer(b"".join(t.column("vec").slice(at, to - at).to_pylist()), np.float64).reshape(-1, dim)
-                    yield _best(index, q, ids[at:to], own[at:to], codes, x, ids[lo:mid], int(cell[lo]), k, rerank)
+                    yield _best(index, _Side(t, at, min(hi, at + 128), dim), rows, codes, int(cell[lo]), k, rerank)
 
-    found = map_arrow(both, scan, "query_id bigint, own bigint, vec_id bigint, score double")
+    found = map_arrow(both, scan, "query_id bigint, own bigint, times bigint, vec_id bigint, score double, copies bigint")
     order = Window.partitionBy("query_id", "own").orderBy(F.desc("score"), "vec_id")  # k rows for each block read
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _best(index: Index, q, qid, own, codes, x, ids, cell: int, k: int, rerank: int) -> pa.RecordBatch:
-    rough = index.scan(q, codes, cell)
-    rough[qid[:, None] == ids[None, :]] = -np.inf
-    keep = min(len(ids), k * rerank)
-    least = np.partition(rough, len(ids) - keep, 1)[:, len(ids) - keep]
-    kth = np.partition(rough, max(0, len(ids) - k), 1)[:, max(0, len(ids) - k)]
-    bar = np.minimum(least, kth - 3 * index.spread * np.linalg.norm(q, axis=1))  # all that the table scan can't tell from the k best are ranked exactly
-    out = [[], [], [], []]
-    for i in range(len(q)):
-        near = np.flatnonzero((rough[i] >= bar[i]) & (ids != qid[i]))
-        score = (x[near] * q[i]).sum(1)
-        best = np.lexsort((ids[near], -score))[:k]
-        out[0].append(np.full(len(best), qid[i]))
-        out[1].append(np.full(len(best), own[i]))
-        out[2].append(ids[near][best])
-        out[3].append(score[best])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["query_id", "own", "vec_id", "score"])
+    found = found.withColumn("upto", F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    found = found.withColumn("before", F.col("upto") - F.col("copies")).where(F.col("before") < k)
+    each = found.withColumn("rank", F.explode(F.sequence(F.col("before") + 1, F.least(F.col("upto"), F.lit(k)))))
+    several = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))  # rows alike in id and vector have equal lists
+    return each.withColumn("copy", several).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+class _Side:
+    """Rows lo to hi - 1 of a table of queries or candidates: ids, hashes of the vectors, copies and vectors."""
+
+    def __init__(self, t: pa.Table, lo: int, hi: int, dim: int):
+        self.ids, self.own, self.copies = (t.column(c).slice(lo, hi - lo).to_numpy() for c in ("id", "own", "copies"))
+        self.vectors = np.frombuffer(b"".join(t.column("vec").slice(lo, hi - lo).to_pylist()), np.float64).reshape(-1, dim)
+
+
+def _best(index: Index, q: _Side, rows: _Side, codes: np.ndarray, cell: int, k: int, rerank: int) -> pa.RecordBatch:
+    """The k best rows of the cell's block for each query. Of a query's own row, its copies but one are candidates."""
+    rough = index.scan(q.vectors, codes, cell)
+    own = (q.ids[:, None] == rows.ids[None, :]) & (q.own[:, None] == rows.own[None, :])
+    rough[own & (rows.copies == 1)[None, :]] = -np.inf
+    n = len(rows.ids)
+    keep = min(n, k * rerank)
+    least = np.partition(rough, n - keep, 1)[:, n - keep]
+    kth = np.partition(rough, max(0, n - k), 1)[:, max(0, n - k)]
+    bar = np.minimum(least, kth - 3 * index.spread * np.linalg.norm(q.vectors, axis=1))  # all that the table scan can't tell from the k best are ranked exactly
+    out = [[], [], [], [], [], []]
+    for i in range(len(q.ids)):
+        left = rows.copies - own[i]
+        near = np.flatnonzero((rough[i] >= bar[i]) & (left > 0))
+        score = (rows.vectors[near] * q.vectors[i]).sum(1)
+        best = np.lexsort((rows.ids[near], -score))[:k]
+        for o, x in zip(out, (np.full(len(best), q.ids[i]), np.full(len(best), q.own[i]), np.full(len(best), q.copies[i]), rows.ids[near][best], score[best], left[near][best]), strict=True):
+            o.append(x)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["query_id", "own", "times", "vec_id", "score", "copies"])
 
 
 def neighbours(embeddings: DataFrame, scratch: Scratch, k: int = 20, every: int = 20) -> DataFrame:

@@ -8,7 +8,8 @@ refining a histogram, and of the last few units those that still fit. What is to
 fill on in the same way until none fits. A document's share is thus a function of its own values: no join by id, and reruns agree.
 
 Defined cases: null and empty texts have size 0 and are taken 0 words; the null source is a source like any other; rows alike in id, text and
-sources are taken or left together; an empty table gives an empty result; over MAX_PATTERNS patterns raise an error.
+sources are taken or left together; texts of any length are counted whole, and one longer than the room left in a target is skipped; an empty table gives
+an empty result; over MAX_PATTERNS patterns raise an error. Only doc_id, text and the sources are read; `take` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -148,9 +149,8 @@ def plan(meta: DataFrame, wanted: dict, sizes: dict[tuple, tuple[int, int]], mos
                 parts = min(1024, max(2, o["n"] // (few // 2)), o["hi"] - o["lo"])
                 o["step"] = -(-(o["hi"] - o["lo"]) // parts)
             hist = fits(wide).groupBy("pattern", "lo", "step", "hi", "rest", F.expr("(unit - lo) div step").alias("b")).agg(F.sum("size").alias("s"), F.count("*").alias("n"))
-            run = F.sum("s").over(_by("pattern", "b"))
-            cut = hist.withColumn("upto", run).where("upto >= rest").groupBy("pattern").agg(F.min_by(F.struct("b", "s", "n", "upto"), "b").alias("x"))
-            found = {tuple(r["pattern"]): r["x"] for r in cut.collect()}
+            bins = hist.groupBy("pattern", "rest").agg(F.array_sort(F.collect_list(F.struct("b", "s", "n"))).alias("bins"))  # at most 1024 each
+            found = {tuple(r["pattern"]): r["x"] for r in bins.select("pattern", _crossing(F.col("bins"), F.col("rest")).alias("x")).collect() if r["x"]["b"] is not None}
             for p, o in wide.items():
                 x = found.get(p)
                 if x is None:  # rounding: everything in the range is taken
@@ -209,10 +209,16 @@ def exchange(taken: dict[int, int], rest: dict[int, int], left: float, swaps: in
     return sorted(taken)
 
 
-def _by(*cols: str):
-    from pyspark.sql import Window
+def _crossing(bins: Column, rest: Column) -> Column:
+    """The first bin (b, s, n) at which the running sum of s reaches `rest`, with the sum up to it; b is null if it never does."""
+    start = F.struct(F.lit(None).cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("upto"))
 
-    return Window.partitionBy(cols[0]).orderBy(*cols[1:])  # at most 1024 rows each
+    def step(acc: Column, x: Column) -> Column:
+        upto = acc["upto"] + x["s"]
+        here = upto >= rest
+        return F.when(acc["b"].isNotNull(), acc).otherwise(F.struct(F.when(here, x["b"]).cast("bigint").alias("b"), x["s"].cast("bigint").alias("s"), x["n"].cast("bigint").alias("n"), upto.cast("bigint").alias("upto")))
+
+    return F.aggregate(bins, start, step)
 
 
 def repeats(df: DataFrame, plan_rows: list[tuple]) -> DataFrame:

@@ -19,7 +19,7 @@ def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"), Scratch(spark))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
