@@ -598,6 +598,34 @@ def test_url_filters_edge_cases(spark, scratch):
     assert {r["verdict"] for r in urlfilter.evaluate(caps, entries.limit(0), scratch).collect()} == {"allow", "unparsed"}
 
 
+def test_url_hosts_and_domains(spark):
+    cases = {
+        "http://a.gov.co.uk/x": ("a.gov.co.uk", "gov.co.uk"), "https://www.x.example.com:8080/": ("x.example.com", "example.com"), "http://co.uk/": ("co.uk", None), "http://bbc.co.uk": ("bbc.co.uk", "bbc.co.uk"),
+        "http://10.1.2.3:80/a": ("10.1.2.3", None), "https://u:p@[2001:db8::1]:443/x": ("[2001:db8::1]", None), "http://localhost/": ("localhost", None), "http://me.github.io/p": ("me.github.io", "me.github.io"),
+        "ftp://x.y.co/": ("x.y.co", "y.co"), "http://shop.example.com.au?q": ("shop.example.com.au", "example.com.au"), "mailto:x@y.z": (None, None), "http://x.de": ("x.de", "x.de"),
+    }
+    rows = spark.createDataFrame([(u,) for u in cases], "url string")
+    got = rows.select("url", urlfilter.host(F.col("url")).alias("h")).select("url", "h", urlfilter.domain(F.col("h")).alias("d")).collect()
+    assert {r["url"]: (r["h"], r["d"]) for r in got} == cases
+    more = spark.createDataFrame([("a.b.corp.example",)], "h string").select(urlfilter.domain(F.col("h"), ["corp.example"]).alias("d")).collect()
+    assert more[0]["d"] == "b.corp.example"
+    caps = spark.createDataFrame([(1, "http://" + "a" * 5000 + ".example.com/" + "p" * 50_000, "2024-02-01", "own")], "page_id int, url string, fetched_at string, scope string")
+    entries = spark.createDataFrame([("domain", "example.com", "block", "2024-01-01")], "scope string, key string, verdict string, day string")
+    row = urlfilter.evaluate(caps, entries, Scratch(spark)).collect()[0]
+    assert (row["verdict"], row["scope"], row["matched"]) == ("block", "domain", "example.com") and len(row["url"]) > 55_000
+
+
+def test_url_oracle(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{SF}/pages.parquet'")
+    want = con.execute(urlfilter.ORACLE).df()
+    got = urlfilter.url_filters(read(spark, "pages"), Scratch(spark)).toPandas()
+    key = ["page_id", "verdict", "scope", "matched", "host"]
+    assert sorted(map(tuple, got[key].astype(str).replace("nan", "None").values)) == sorted(map(tuple, want[key].astype(object).where(want[key].notna(), None).astype(str).values))
+
+
 def test_oracle_and_pipeline(spark):
     import corpus_pipeline
 

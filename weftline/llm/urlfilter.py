@@ -7,8 +7,12 @@ Of several entries of one key and day, the least verdict by code point holds (`a
 no join multiplies captures. The intervals are broadcast only where they are few (counted); else captures are shuffled by key, and
 the engine splits hot keys.
 
+The registered domain is the public suffix of a host and one label more. A suffix is the last label, or the last two where the last is a country's (two letters)
+and the one before is one of SECOND, or where both are in SUFFIXES (a parameter takes more). Numeric addresses, single labels and bare suffixes have no domain.
+
 Defined cases: an address that is null or has no host gets the verdict `unparsed`; a null fetch day meets no entry; entries with a null key,
-scope, verdict or day don't count, and an entry of the verdict `none` only ends the one before; repeated captures each get their row; an empty list allows everything.
+scope, verdict or day don't count, and an entry of the verdict `none` only ends the one before; repeated captures each get their row; an empty list allows everything;
+addresses of any length are compared whole; a capture keeps all its columns but host, verdict, scope, matched and since, which the result's own replace.
 """
 
 from __future__ import annotations
@@ -20,7 +24,10 @@ from weftline.llm.common import Scratch
 
 SCOPES = ["url", "host", "domain"]  # most specific first
 BROADCAST_ROWS = 50_000
-_HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+_HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9a-f:.]+\]|[^/?#:\[\]]+)"
+# Labels that registries keep before a country's, and further public suffixes of two labels.
+SECOND = ["ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "govt", "gv", "id", "info", "ltd", "me", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "police", "sch", "web"]
+SUFFIXES = ["github.io", "gitlab.io", "blogspot.com", "herokuapp.com", "netlify.app", "vercel.app", "pages.dev", "workers.dev", "web.app", "firebaseapp.com", "cloudfront.net", "azurewebsites.net", "readthedocs.io", "uk.com", "us.com", "eu.org"]
 
 
 def host(url: Column) -> Column:
@@ -29,9 +36,15 @@ def host(url: Column) -> Column:
     return F.when(found != "", found)
 
 
-def domain(host_name: Column) -> Column:
-    """The last two labels of a host."""
-    return F.substring_index(host_name, ".", -2)
+def domain(host_name: Column, more: list[str] | None = None) -> Column:
+    """The registered domain of a host; null for numeric addresses, single labels and public suffixes. more: further suffixes of two labels."""
+    parts = F.split(host_name, r"\.")
+    last, second = F.element_at(parts, -1), F.try_element_at(parts, F.lit(-2))
+    two = F.substring_index(host_name, ".", -2)
+    long = (F.char_length(last) == 2) & second.isin(SECOND) | two.isin([*SUFFIXES, *(more or [])])
+    size = F.when(long, 3).otherwise(2)
+    numeric = host_name.rlike(r"^(\[.*|[0-9.]+)$")
+    return F.when(~numeric & (F.size(parts) >= size), F.when(long, F.substring_index(host_name, ".", -3)).otherwise(two))
 
 
 def address(url: Column) -> Column:
@@ -99,14 +112,19 @@ def url_filters(pages: DataFrame, scratch: Scratch) -> DataFrame:
     return evaluate(pages_captures(pages), pages_list(pages), scratch)
 
 
-_SQL_HOST = r"regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\.', '')"
+_SQL_HOST = r"regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9a-f:.]+\]|[^/?#:\[\]]+)', 1), '^www\.', '')"
+_SQL_SECOND = ", ".join(f"'{x}'" for x in SECOND)
+_SQL_SUFFIXES = ", ".join(f"'{x}'" for x in SUFFIXES)
 ORACLE = rf"""
 WITH c AS (
   SELECT page_id, url, (DATE '2024-01-01' + CAST((page_id * 7919) % 366 AS INTEGER)) AS fetched_at,
          CASE WHEN {_SQL_HOST} <> '' THEN {_SQL_HOST} END AS host,
          regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS path
   FROM pages),
-k AS (SELECT *, host || path AS address, list_aggregate(string_split(host, '.')[-2:], 'string_agg', '.') AS domain FROM c),
+s AS (SELECT *, host || path AS address, string_split(host, '.') AS labels FROM c),
+w AS (SELECT *, CASE WHEN length(labels[-1]) = 2 AND labels[-2] IN ({_SQL_SECOND}) OR array_to_string(labels[-2:], '.') IN ({_SQL_SUFFIXES}) THEN 3 ELSE 2 END AS need FROM s),
+k AS (SELECT page_id, url, fetched_at, host, address,
+         CASE WHEN len(labels) >= need AND NOT regexp_matches(host, '^(\[.*|[0-9.]+)$') THEN array_to_string(labels[-need:], '.') END AS domain FROM w),
 keys AS (SELECT DISTINCT 'host' AS scope, host AS key FROM k WHERE host IS NOT NULL
   UNION SELECT DISTINCT 'domain', domain FROM k WHERE domain IS NOT NULL
   UNION SELECT DISTINCT 'url', address FROM k WHERE address IS NOT NULL),
