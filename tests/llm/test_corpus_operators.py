@@ -626,6 +626,160 @@ def test_url_oracle(spark):
     assert sorted(map(tuple, got[key].astype(str).replace("nan", "None").values)) == sorted(map(tuple, want[key].astype(object).where(want[key].notna(), None).astype(str).values))
 
 
+def grams(text):
+    s = f" {' '.join(text.lower().split())} "
+    return {s[i : i + n] for n in toxicity.SIZES for i in range(len(s) - n + 1)}
+
+
+def plain_toxicity(texts, y, steps=120, ridge=1e-4):
+    """The classifier over the n-grams themselves: counts, ratios, selection, full-batch training, as plain loops."""
+    sets = [grams(t) for t in texts]
+    pos, neg = sum(y), len(y) - sum(y)
+    counts: dict = {}
+    for s, v in zip(sets, y, strict=True):
+        for g in s:
+            a = counts.setdefault(g, [0, 0])
+            a[0] += 1
+            a[1] += v
+    share = pos / len(y)
+    chosen = [g for g, (a, p) in counts.items() if a >= 4 and abs(p - share * a) / np.sqrt(a * share + 1e-9) >= 5]
+    ratio = {g: np.log((counts[g][1] + 1) / (pos + 2)) - np.log((counts[g][0] - counts[g][1] + 1) / (neg + 2)) for g in chosen}
+    x = np.array([[ratio[g] if g in s else 0.0 for g in chosen] for s in sets])
+    y = np.array(y, float)
+    w, b, m1, m2, c1, c2 = np.zeros(len(chosen)), float(np.log(pos / neg)), np.zeros(len(chosen)), np.zeros(len(chosen)), 0.0, 0.0
+    for i in range(1, steps + 1):
+        err = 1 / (1 + np.exp(-(b + x @ w))) - y
+        g, gb = x.T @ err / len(y) + ridge * w, err.mean()
+        m1, m2, c1, c2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g, 0.9 * c1 + 0.1 * gb, 0.99 * c2 + 0.01 * gb * gb
+        w = w - 0.05 * (m1 / (1 - 0.9**i)) / (np.sqrt(m2 / (1 - 0.99**i)) + 1e-8)
+        b -= 0.05 * (c1 / (1 - 0.9**i)) / (np.sqrt(c2 / (1 - 0.99**i)) + 1e-8)
+    return lambda t: b + sum(ratio[g] * v for g, v in zip(chosen, w, strict=True) if g in grams(t))
+
+
+def test_toxicity_against_plain_version():
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    texts, y = [], []
+    for i in range(160):
+        bad = i % 4 == 0
+        texts.append(" ".join([rng.choice(words) for _ in range(12)] + (["vile", "rot"] if bad else ["fine"]) + [str(i)]))
+        y.append(int(bad))
+    model, plain = toxicity.train(texts, y), plain_toxicity(texts, y)
+    probe = [*texts[:30], "vile words", "", "a", "VILE   rot w3", "fine " * 3000]
+    assert len(model.buckets) and np.allclose(toxicity.logits(probe, model), [plain(t) for t in probe], atol=1e-6)
+    again = toxicity.logits(probe + probe, model)
+    assert again[: len(probe)].tolist() == again[len(probe) :].tolist()  # repeated rows get equal scores
+
+
+def plain_quality_features(t):
+    """Shape features of one text by plain loops."""
+    ws = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
+    kind = lambda c: 1 if c.isupper() else 2 if c.isalpha() else 3 if c.isdigit() else 4 if c.isspace() else 5 if c in ".,;:'\"-?()" else 6
+    k = [kind(c) for c in t]
+    upper, lower, n, chars = k.count(1), k.count(2), max(1, len(ws)), max(1, len(t))
+    letters = max(1, upper + lower)
+    top = max((ws.count(w) for w in set(ws)), default=0)
+    return [np.log1p(len(ws)), sum(map(len, ws)) / n, upper / letters, lower / chars, k.count(3) / chars, k.count(5) / chars, k.count(6) / chars, t.count("!") / n,
+            sum(len(w) == 1 and kind(w) >= 5 for w in ws) / n, sum(kind(w[-1]) == 6 for w in ws) / n, sum(a == b for a, b in zip(ws, ws[1:], strict=False)) / n, len(set(ws)) / n, top / n, np.log1p(len(ws) / (t.count("\n") + 1))]
+
+
+def test_quality_against_plain_version():
+    rng = random.Random(12)
+    texts, y = [], []
+    for i in range(120):
+        good = i % 3 > 0
+        texts.append(" ".join(rng.choice(["Tree", "house,", "water.", "stone"]) if good else rng.choice(["###", "WIN!!!", "99", "x"]) for _ in range(rng.randint(5, 40))) + ("\n" * (i % 3)))
+        y.append(int(good))
+    odd = [*texts, "", "a\nb b", "Ünï 漢字 99!"]
+    assert np.allclose(quality.features(odd), [plain_quality_features(t) for t in odd])
+    # Bradley-Terry by single pairs and bins
+    model = quality.train(texts, y, bins=6, pairs=500, steps=40)
+    x = np.array([plain_quality_features(t) for t in texts])
+    good, bad = [i for i in range(120) if y[i]], [i for i in range(120) if not y[i]]
+    cuts = [sorted({*np.quantile(x[:, k], np.arange(1, 6) / 6), *np.quantile(x[bad, k], np.arange(1, 6) / 6)}) for k in range(x.shape[1])]
+    bins = [[(k, sum(c <= v for c in cuts[k])) for k, v in enumerate(row)] for row in x]
+    draw = np.random.default_rng(7)
+    pairs = list(zip(draw.choice(good, 500).tolist(), draw.choice(bad, 500).tolist(), strict=True))
+    names = [(k, j) for k in range(len(cuts)) for j in range(len(cuts[k]) + 1)]
+    w, m1, m2 = (dict.fromkeys(names, 0.0) for _ in range(3))
+    for t in range(1, 41):
+        s = [sum(w[b] for b in row) for row in bins]
+        g = dict.fromkeys(names, 0.0)
+        for a, b in pairs:
+            e = -1 / (1 + np.exp(s[a] - s[b]))
+            for k in range(len(cuts)):
+                g[bins[a][k]] += e / 500
+                g[bins[b][k]] -= e / 500
+        for n in names:
+            d = g[n] + 1e-4 * w[n]
+            m1[n], m2[n] = 0.9 * m1[n] + 0.1 * d, 0.99 * m2[n] + 0.01 * d * d
+            w[n] -= 0.05 * (m1[n] / (1 - 0.9**t)) / (np.sqrt(m2[n] / (1 - 0.99**t)) + 1e-8)
+    want = np.array([sum(w[b] for b in row) for row in bins])
+    got = model.scores(quality.features(texts)) - model.shift  # the level of the scores is free, what counts is the distance to the cut
+    assert np.allclose(got, want - np.quantile(want, len(bad) / 120), atol=1e-5)
+
+
+def test_sample_skips_what_does_not_fit(spark):
+    from weftline.llm.common import labelled_sample
+
+    docs = frame(spark, ["x" * 900, "a" * 300, "b" * 300, "c" * 300, None])
+    lab = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id bigint, toxic int")
+    texts, ys = labelled_sample(docs, lab, "toxic", F.lit(True), 10, 700)
+    assert len(texts) == len(ys) == 3 and sorted(map(len, texts)) == [0, 300, 300]
+    assert labelled_sample(docs, lab, "toxic", F.lit(True), 10, 0) == ([""], [0])
+
+
+def pipeline_tables(spark, folder, docs, labels, benchmark):
+    docs.write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    labels.write.mode("overwrite").parquet(f"{folder}/labels.parquet")
+    benchmark.write.mode("overwrite").parquet(f"{folder}/benchmark.parquet")
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Documents of two sources with copies, a benchmark passage, toxic words, null and repeated ids: what stays, by plain loops."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    plain = [f"word{i}" for i in range(3000)]
+    texts = [" ".join(rng.choice(plain) for _ in range(80)) + (" vile rot filth" if i % 4 == 0 else " fine") for i in range(120)]
+    passage = " ".join(f"item{i}" for i in range(30))
+    texts += [texts[1], texts[2] + " more", f"{texts[3]} {passage} tail", None, "", texts[5]]
+    ids = [*range(123), 123, 124, 5]
+    ids[7] = None
+    rows = [(ids[i], t, "en", f"s{i % 2}", len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    lab = spark.createDataFrame([(i, int(i % 4 == 0), 1) for i in range(120) if i != 7], "doc_id bigint, toxic int, quality int")
+    pipeline_tables(spark, str(tmp_path), docs, lab, spark.createDataFrame([(1, passage)], "item_id bigint, text string"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    model = toxicity.fit(docs, lab)
+    left = [(i, t) for i, t in zip(ids, texts, strict=True) if toxicity.logits([t], model)[0] < 0]
+    assert 85 < len(left) < 100
+    left = sorted(set(left), key=lambda r: (r[0] is None, r[0] or 0))
+    classes, _ = brute_classes([t for _, t in left])
+    left = [r for n, r in enumerate(left) if classes[n] == n or not shingles(r[1])]
+    left = [(i, t) for i, t in left if substring_edits(words(passage), words(t)) > 6]
+    kept = {(-1 if np.isnan(x) else int(x)) for x in got.doc_id.astype(float)}
+    assert {-1 if i is None else i for i, _ in left} >= kept and 122 not in kept and 120 not in kept and 121 not in kept
+    size = {i: len(words(t)) for i, t in left}
+    mixed = docs.where("doc_id is not null").toPandas()
+    source = dict(zip(mixed.doc_id, mixed.source, strict=True)) | {None: "s1"}
+    total = sum(size.values())
+    want = mixing.targets({s: sum(n for i, n in size.items() if source[i] == s) for s in ("s0", "s1")}, {"s0": 1, "s1": 2}, 3.0, total)
+    starts = got[got.seq_no == 0].doc_id.astype(float)
+    times = {i: int((starts.isna() if i is None else starts == i).sum()) for i in size}
+    for s in ("s0", "s1"):
+        assert abs(sum(size[i] * n for i, n in times.items() if source[i] == s) - want[s]) <= 90
+    assert sorted(got.slot) == list(range(len(got)))
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    empty = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    pipeline_tables(spark, str(tmp_path), empty, spark.createDataFrame([], "doc_id bigint, toxic int, quality int"), spark.createDataFrame([], "item_id bigint, text string"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_oracle_and_pipeline(spark):
     import corpus_pipeline
 

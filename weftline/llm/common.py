@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
@@ -34,8 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Intermediate tables as Parquet under the shared folder: lineage ends there and lost executors cost no recomputation."""
 
+    made: list[weakref.ref] = []
+
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/weftline-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.n, self.tables = spark, f"{shared_dir(spark)}/weftline-{uuid.uuid4().hex}", 0, {}
+        Scratch.made.append(weakref.ref(self))
 
     def path(self, name: str = "t") -> str:
         self.n += 1
@@ -44,15 +48,36 @@ class Scratch:
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         at = self.path(name)
         df.write.option("compression", "zstd").parquet(at)
+        self.tables[at] = self.n
         out = self.spark.read.schema(df.schema).parquet(at)
         out._weftline_path = at
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
-        for t in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(t._weftline_path)
+        self._delete(t._weftline_path for t in tables)
+
+    def sweep(self, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+        """Deletes the tables written after number `since`, but those to keep."""
+        kept = {t._weftline_path for t in keep}
+        self._delete([at for at, n in self.tables.items() if n > since and at not in kept])
+
+    def _delete(self, paths: Iterable[str]) -> None:
+        for at in paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.tables.pop(at, None)
+
+
+@contextlib.contextmanager
+def swept():
+    """Deletes, at the end, the tables of every Scratch that was made in between; shards and other files written to a path of its own stay."""
+    before = len(Scratch.made)
+    yield
+    for ref in Scratch.made[before:]:
+        if scratch := ref():
+            scratch.sweep()
+    del Scratch.made[before:]
 
 
 def tidy() -> None:
@@ -161,4 +186,4 @@ def fetch(rows: DataFrame, chosen: set, key: list[str], cols: list[str]) -> list
     return sorted(got, key=lambda r: tuple(r[k] for k in key))
 
 
-__all__ = ["Scratch", "crc_mod", "fetch", "labelled_sample", "map_arrow", "map_texts", "row_keys", "shared_dir", "table", "tidy", "tv", "within"]
+__all__ = ["Scratch", "crc_mod", "fetch", "labelled_sample", "map_arrow", "map_texts", "row_keys", "shared_dir", "swept", "table", "tidy", "tv", "within"]

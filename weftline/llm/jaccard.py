@@ -161,6 +161,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Every vertex is hooked to its least neighbour, or itself, and the hooks are followed twice; the edges are then contracted to the
     new roots. A star is one vertex after the first round, so its edges are read once; vertices left over at least halve each round.
     """
+    since = scratch.n
     left = scratch.write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     levels = []
     while True:
@@ -179,6 +180,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     while levels:  # from the last contraction back to the vertices
         down = levels.pop()
         out = scratch.write(down.join(out.select(F.col("v").alias("root"), F.col("root").alias("to")), "root", "left").select("v", F.coalesce("to", "root").alias("root")), "roots")
+    scratch.sweep(since, (out,))
     return out
 
 
@@ -342,7 +344,7 @@ def _nodes(seen: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, scratch: Scratch, threshold: float = 0.8, width: int = 5, recall: float = 0.99, small: int = 64, depth: int = 3) -> DataFrame:
     """One row per document: k and i (hashes of id and text), doc_id, c (content), class_c (least content key of its class), copies, links (to other documents), keeper (whether its row stands for its class)."""
-    key = ["k", "i"]
+    key, since = ["k", "i"], scratch.n
     keyed = docs.select("doc_id", "text", *row_keys())
     seen = scratch.write(map_texts(keyed, [*key, "doc_id"], lambda t: describe(t, width), "c bigint, c2 bigint, size bigint, sketch binary"), "sketches")
     nodes = scratch.write(_nodes(seen), "nodes")
@@ -382,6 +384,7 @@ def link(docs: DataFrame, scratch: Scratch, threshold: float = 0.8, width: int =
     classes = scratch.write(classes, "classes")
     first = scratch.write(classes.groupBy("class_c").agg(F.min(F.struct("none", "id", "k", "i")).alias("first")), "first")
     classes = scratch.write(classes.join(first, "class_c").select("c", "class_c", "copies", "links", F.col("first.id").alias("class_id"), F.col("first.k").alias("first_k"), F.col("first.i").alias("first_i")), "classes")
+    scratch.sweep(since, (seen, classes))
     out = seen.select(*key, "doc_id", "c").join(classes, "c", "left")
     alone = F.col("c").isNull()
     return out.select(

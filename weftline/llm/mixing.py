@@ -281,6 +281,7 @@ def take(docs: DataFrame, scratch: Scratch, seed: int = 1, most: int = 3) -> Dat
     """The mix itself: each document as often as it is taken, with all its columns; those of no words are kept once."""
     meta = scratch.write(describe(docs, F.array("source"), seed, []), "sizes")
     rows, _ = _planned(meta, scratch, None, most)
+    scratch.drop(meta)
     names = docs.columns
     whole = [F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row")]
     out = repeats(describe(docs, F.array("source"), seed, whole), rows)

@@ -72,7 +72,12 @@ def hash_runs(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """64-bit hash of each run of code points, the same wherever the run stands."""
     up, down = _power(len(codes) + 1)
     sums = np.zeros(len(codes) + 1, _U)
-    np.cumsum(mix64(codes) * up[:-1], dtype=_U, out=sums[1:])
+    for lo in range(0, len(codes), 1 << 17):  # in steps, for the sake of memory
+        hi = min(len(codes), lo + (1 << 17))
+        part = mix64(codes[lo:hi])
+        part *= up[lo:hi]
+        np.cumsum(part, dtype=_U, out=sums[lo + 1 : hi + 1])
+        sums[lo + 1 : hi + 1] += sums[lo]
     return mix64((sums[ends] - sums[starts]) * down[starts])
 
 

@@ -239,12 +239,14 @@ def sequences(docs: DataFrame, layout: Layout, scratch: Scratch) -> tuple[DataFr
 
 def materialise(docs: DataFrame, path: str, scratch: Scratch, layout: Layout = Layout()) -> DataFrame:
     """Writes the shards to `path`/shards; returns their index, read from them."""
+    since = scratch.n
     records, total = sequences(docs, layout, scratch)
     shards = max(1, -(-total // layout.slots))
     dealt = records.repartitionById(shards, F.expr(f"cast(slot div {layout.slots} as int)")).sortWithinPartitions("slot")
     end = bytearray(int(encoder(layout.vocabulary).n_vocab).to_bytes(2, "little"))
     body = F.rpad("record", HEADER + 2 * layout.length, F.lit(end))
     dealt.select(body.cast("string").alias("value")).write.option("lineSep", MARK).option("compression", "none").text(f"{path}/shards")
+    scratch.sweep(since)
     return read_index(scratch.spark, path, layout)
 
 
