@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import decontaminate, jaccard, mixing, tokenorder, toxicity
-from weftline.llm.common import Scratch, table
+from weftline.llm.common import Scratch, swept, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,13 +36,18 @@ STAGES = [
     ("mixing sources to target weights", mix_sources),
     ("token-ID / binary output", training_order),
 ]
-# No stage but the last two's counting is expressible in SQL; tests/llm compares run() with a brute-force version.
+# Only the last two stages' counting is expressible in SQL; tests/llm compares the filtering stages with brute-force versions of them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again by the next."""
-    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
+    """All stages over documents, each written as Parquet and read again by the next; what a stage wrote besides, and its input, is deleted after it."""
+    scratch = Scratch(spark)
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = scratch.write(stage(spark, docs, sf_dir), name.split()[0].replace("/", "-"))
+        with swept():
+            docs = scratch.write(stage(spark, docs, sf_dir), name.split()[0].replace("/", "-"))
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return docs
