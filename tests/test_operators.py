@@ -128,6 +128,8 @@ def test_graph_clusters_and_cycles(spark):
     assert len(set(got[:4])) == 1 and len(set(got[4:])) == 1 and got[0] != got[4]
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 5), (6, 7), (7, 6)], "src int, dst int")
     assert sorted(map(tuple, graph.cycles(e).collect())) == [(1, 1), (2, 1), (3, 1), (6, 6), (7, 6)]
+    names = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (6, "Same"), (7, "same")], "node int, name string")
+    assert sorted(r["node"] for r in graph.cycles(e, names).collect()) == [1, 2, 3]  # overloads of one name are no cycle
     assert sorted(map(tuple, graph.reach(e, spark.createDataFrame([(4,)], "node int"), None, reverse=True).collect())) == [(1, 3), (2, 2), (3, 1), (4, 0)]
 
 
@@ -255,10 +257,9 @@ def test_destinations(spark):
 
 def test_retrieve_windows(spark):
     df = spark.createDataFrame([(1, "a\nB\nc\nd\ne"), (2, ""), (3, None)], "id int, text string")
-    li = lines.explode_lines(df, "id")
 
     def got(**how):
-        return [r["line"] for r in lines.retrieve(li, **how).orderBy("id", "pos").collect()]
+        return [r["line"] for r in lines.apply(df, "id", lines.retrieve(**how)).orderBy("id", "pos").collect()]
 
     assert got() == ["a", "B", "c", "d", "e"]
     assert got(first=2, last=3) == ["2:B", "3:c"] and got(last=1) == ["1:a"] and got(first=9) == []
@@ -266,7 +267,20 @@ def test_retrieve_windows(spark):
     assert got(head=1, tail=1) == ["a", "[... 3 lines omitted ...]", "e"] and got(head=3, tail=2) == ["a", "B", "c", "d", "e"]
     assert got(head=2) == ["a", "B"] and got(tail=2) == ["d", "e"] and got(head=0, tail=1) == ["[... 4 lines omitted ...]", "e"]
     with pytest.raises(ValueError):
-        lines.retrieve(li, first=3, last=2)
+        lines.retrieve(first=3, last=2)
+
+
+def test_lines_stay_in_their_row(spark):
+    """Repeated and null ids: every text is treated by itself; no exchange but the caller's."""
+    df = spark.createDataFrame([(1, "a\nb\nc"), (1, "a\nb\nc"), (None, "x\ny"), (None, "x"), (2, ""), (3, None)], "id int, text string")
+    for run in (lines.head_tail(1, 1), lines.failure_first(2), lines.category_caps([("^[ab]", 1)]), lines.block_caps("^a", "^c", 1), lines.runs(), lines.token_budget(100), lines.density(0.5), lines.similar_blocks(), lines.prefix_runs()):
+        out = lines.apply(df, "id", run)
+        rows = [tuple(r) for r in out.collect()]
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        assert {r[0] for r in rows} == {1, None} and sorted(r[1:] for r in rows if r[0] == 1) == sorted(2 * [tuple(r)[1:] for r in lines.apply(df.limit(1), "id", run).collect()])
+    assert [r["line"] for r in lines.apply(df.limit(1), "id", lines.head_tail(1, 1)).collect()] == ["a", "[... 1 lines omitted ...]", "c"]
+    alike = spark.createDataFrame([(1, "\n".join(["compiling the crate number one", "compiling the crate number two", "compiling the crate number six", "done", "done", "compiling the crate"]))], "id int, text string")
+    assert [(r["pos"], r["n"]) for r in lines.apply(alike, "id", lines.prefix_runs()).collect()] == [(1, 3), (4, 1), (5, 1), (6, 1)]
 
 
 def test_reports(spark):

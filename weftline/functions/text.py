@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -171,16 +173,19 @@ def file_of(location: Column | str) -> Column:
     return F.regexp_replace(text(location), r":[0-9]+$", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once however often the body, or a function in it, refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def entropy(c: Column | str) -> Column:
     """Bits per character of the text; 0 for none."""
-    chars = F.filter(F.split(text(c), ""), lambda x: x != "")
-    n = F.size(chars)
-    bits = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, x: acc - _share(chars, x, n) * F.log2(_share(chars, x, n)))
-    return F.when(n == 0, F.lit(0.0)).otherwise(bits)
 
+    def bits(chars: Column) -> Column:
+        share = lambda x: F.size(F.filter(chars, lambda y: y == x)) / F.size(chars)
+        return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, x: let(share(x), lambda p: acc - p * F.log2(p)))
 
-def _share(chars: Column, x: Column, n: Column) -> Column:
-    return F.size(F.filter(chars, lambda y: y == x)) / n
+    return let(F.filter(F.split(text(c), ""), lambda x: x != ""), bits)
 
 
 def holdout(subject: Column | str, rate: float, seed: int = 0) -> Column:

@@ -85,7 +85,9 @@ def repository(edges: DataFrame, top: int) -> DataFrame:
 
     The last two lists rank the same candidates, the 3 * top nodes of highest degree. Ties go to the smaller node.
     """
-    spots = graph.hotspots(edges, 3 * top).join(graph.dependents(edges).withColumnRenamed("n", "dependents"), "node", "left").fillna(0, ["dependents"])
+    edges = graph.cut(edges.select("src", "dst"))
+    spots = graph.cut(graph.hotspots(edges, 3 * top))  # 3 * top rows
+    spots = spots.join(graph.dependents(edges, spots).withColumnRenamed("n", "dependents"), "node", "left").fillna(0, ["dependents"])
     lists = F.array(
         F.struct(F.lit("god nodes").alias("heading"), F.col("degree").alias("by")),
         F.struct(F.lit("bottlenecks").alias("heading"), (F.col("in_degree") - F.col("out_degree")).alias("by")),

@@ -97,7 +97,7 @@ SECRET_RULES = [
 ]
 # The shortest match of all but the key block has 15 characters without white space in a row; two may hold white space before these.
 SPACED = ("aws-secret-access-key", "generic-secret-assignment")
-SECRET_RULES = [r if r.id == "private-key-block" else replace(r, run=15, spaced=r.id in SPACED) for r in SECRET_RULES]
+SECRET_RULES = [r if r.id == "private-key-block" else replace(r, run=12 if r.id == "slack-app-token" else 15, spaced=r.id in SPACED) for r in SECRET_RULES]
 # Network destinations.
 EGRESS_RULES = [
     Rule("https-url", r"https://(?:[^/@\s\"<>]+@)?([A-Za-z0-9.-]+)(?::\d+)?(?:/[^\s\"<>|;#]*)?", 1, needles=("https://",)),

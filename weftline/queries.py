@@ -73,7 +73,7 @@ def _(spark, d):
     SELECT id, pos, CASE WHEN n > 5 AND pos = 4 AND pos <= n - 2 THEN '[... ' || (n - 5) || ' lines omitted ...]' ELSE line END AS line FROM n WHERE n <= 5 OR pos <= 4 OR pos > n - 2""",
 )
 def _(spark, d):
-    return lines.head_tail(lines.explode_lines(docs(spark, d), "doc_id"), 3, 2)
+    return lines.apply(docs(spark, d), "doc_id", lines.head_tail(3, 2))
 
 
 @query(
@@ -81,7 +81,7 @@ def _(spark, d):
     f"""{LN} SELECT id, pos, line FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN regexp_matches(line, '(?i)error|fail|fatal|panic|exception|denied|traceback|cannot|unable') THEN 0 ELSE 1 END, pos) AS r FROM l) WHERE r <= 10""",
 )
 def _(spark, d):
-    return lines.failure_first(lines.explode_lines(docs(spark, d), "doc_id"), 10)
+    return lines.apply(docs(spark, d), "doc_id", lines.failure_first(10))
 
 
 @query(
@@ -90,7 +90,7 @@ def _(spark, d):
     k AS (SELECT *, row_number() OVER (PARTITION BY id, c ORDER BY pos) AS k FROM c) SELECT id, pos, line FROM k WHERE c IS NULL OR k <= CASE c WHEN 0 THEN 3 ELSE 2 END""",
 )
 def _(spark, d):
-    return lines.category_caps(lines.explode_lines(docs(spark, d), "doc_id"), [("^[A-Z]", 3), (r"\.", 2)])
+    return lines.apply(docs(spark, d), "doc_id", lines.category_caps([("^[A-Z]", 3), (r"\.", 2)]))
 
 
 @query(
@@ -100,7 +100,7 @@ def _(spark, d):
     k AS (SELECT *, row_number() OVER (PARTITION BY id, b, op ORDER BY pos) AS k FROM o) SELECT id, pos, line FROM k WHERE coalesce(op, 0) = 0 OR k <= 2""",
 )
 def _(spark, d):
-    return lines.block_caps(lines.explode_lines(docs(spark, d), "doc_id"), "^(The|And|Of|Is)", r"^\s*$", 2)
+    return lines.apply(docs(spark, d), "doc_id", lines.block_caps("^(The|And|Of|Is)", r"^\s*$", 2))
 
 
 @query(
@@ -110,7 +110,7 @@ def _(spark, d):
     SELECT id, pos, line, CAST(CASE WHEN n < 3 THEN 1 ELSE n END AS BIGINT) AS n FROM s WHERE n < 3 OR k = 1""",
 )
 def _(spark, d):
-    return lines.runs(lines.explode_lines(docs(spark, d), "doc_id"))
+    return lines.apply(docs(spark, d), "doc_id", lines.runs())
 
 
 @query(
@@ -122,17 +122,30 @@ def _(spark, d):
     SELECT id, pos, line FROM s WHERE CASE WHEN high THEN own <= 200 ELSE own + spent <= 200 END""",
 )
 def _(spark, d):
-    return lines.token_budget(lines.explode_lines(docs(spark, d), "doc_id"), 200)
+    return lines.apply(docs(spark, d), "doc_id", lines.token_budget(200))
 
 
-@query("repeated_block_agreement")
+@query(
+    "repeated_block_agreement",
+    f"""{LN}, o AS (SELECT *, trim(line) <> '' AND coalesce(trim(lag(line) OVER w) = '', true) AS opens FROM l WINDOW w AS (PARTITION BY id ORDER BY pos)),
+    b AS (SELECT id, CAST(sum(opens::INT) OVER (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1 AS INTEGER) AS block, pos, line FROM o),
+    g AS (SELECT id, block, list(line ORDER BY pos) AS body FROM b WHERE trim(line) <> '' GROUP BY id, block), p AS (SELECT *, lag(body) OVER (PARTITION BY id ORDER BY block) AS prior FROM g),
+    a AS (SELECT id, block, CAST(len(body) AS INTEGER) AS n_lines, CASE WHEN len(body) = len(prior) THEN len(list_filter(list_zip(body, prior), lambda x: x[1] = x[2]))::DOUBLE / len(body) ELSE 0.0 END AS agreement FROM p)
+    SELECT id, block, n_lines, round(agreement, 9) AS agreement, agreement >= 0.8 AND n_lines >= 2 AS similar FROM a""",
+)
 def _(spark, d):
-    return lines.similar_blocks(lines.explode_lines(docs(spark, d), "doc_id"))
+    return lines.apply(docs(spark, d), "doc_id", lines.similar_blocks()).withColumn("agreement", F.round("agreement", 9))
 
 
-@query("density_filter")
+@query(
+    "density_filter",
+    f"""{LN}, e AS (SELECT id, pos, round(-sum(q / n * log2(q / n)), 9) AS bits FROM (SELECT id, pos, ch, count(*)::DOUBLE AS q, max(n) AS n FROM (SELECT id, pos, unnest(string_split(line, '')) AS ch, length(line)::DOUBLE AS n FROM l WHERE line <> '') GROUP BY id, pos, ch) GROUP BY id, pos),
+    t AS (SELECT l.id, l.pos, line, CAST(ceil(length(line) / 4.0) AS BIGINT) AS tok, strlen(line) AS b, coalesce(bits, 0) + 0.0 AS bits FROM l LEFT JOIN e ON l.id = e.id AND l.pos = e.pos),
+    w AS (SELECT *, sum(tok) OVER (PARTITION BY id) AS al, coalesce(sum(tok) OVER (PARTITION BY id ORDER BY bits DESC, b DESC, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t)
+    SELECT id, pos, line FROM w WHERE before < floor(al * 0.3)""",
+)
 def _(spark, d):
-    return lines.density(lines.explode_lines(docs(spark, d), "doc_id"), 0.3)
+    return lines.apply(docs(spark, d), "doc_id", lines.density(0.3))
 
 
 @query(
@@ -155,6 +168,15 @@ def _(spark, d):
     return docs(spark, d).groupBy("lang").agg(F.count_if(T.is_failure_line("text")).alias("n"))
 
 
+@query(
+    "failure_signal_documents",
+    r"""SELECT doc_id, regexp_matches(coalesce(text, ''), '(?m)^\s*(?:(?i:error|fatal|panic|panicked|exception|stderr|err)\b|FAILED\b|FAIL\b|---\s*FAIL\b|Traceback \(most recent call last\)|Unhandled exception|Exception in thread\b)|^\S*:\s*(?i:error|fatal|panic):|\b(?i:failed with exit code|exited with status|exited with code|exit status|exit code|exit)\b\s*[:=]?\s*[1-9]\d*|\b(?:SIGSEGV|SIGABRT|SIGILL|SIGBUS|AssertionError|NullPointerException|Segmentation fault|(?i:Command failed|command not found|failed to compile))\b|\[(?i:error|fatal|panic|failed|fail)\]|level=(?i:error|fatal|panic)|\b(?i:err)(?:!|:)') AS failed,
+    regexp_matches(coalesce(text, ''), '(?i)error|fail|fatal|panic|exception|denied|traceback|cannot|unable') AS told FROM documents""",
+)
+def _(spark, d):
+    return docs(spark, d).select("doc_id", T.has_failure_signal("text").alias("failed"), T.is_failure_line("text").alias("told"))
+
+
 @query(
     "token_tree",
     """WITH t AS (SELECT lang || '/' || source AS path, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tok, lang FROM documents WHERE text IS NOT NULL)
@@ -484,7 +506,7 @@ def _(spark, d):
     SELECT id, pos, CASE WHEN n > 5 AND k = 4 AND k <= n - 2 THEN '[... ' || (n - 5) || ' lines omitted ...]' ELSE pos || ':' || line END AS line FROM k WHERE k <= 3 OR k > n - 2 OR (n > 5 AND k = 4)""",
 )
 def _(spark, d):
-    return lines.retrieve(lines.explode_lines(docs(spark, d), "doc_id"), 2, 40, "the|an", 3, 2)
+    return lines.apply(docs(spark, d), "doc_id", lines.retrieve(2, 40, "the|an", 3, 2))
 
 
 @query(
