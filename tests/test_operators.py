@@ -113,7 +113,9 @@ def test_chunks():
 def test_references_and_imports(spark):
     src = spark.createDataFrame([(1, "fn a() { b(); store::open(); if (x) {} }")], "caller int, content string")
     refs = src.select("caller", F.explode(chunks.references("content")).alias("ref"))
-    assert sorted(r["ref"] for r in refs.collect()) == ["a", "b", "open", "store::open"]
+    assert sorted(r["ref"] for r in refs.collect()) == ["b", "open", "store::open"]
+    quiet = spark.createDataFrame([(1, "// x()\n/* y(\n) */ z('w()', \"v()\")\n# u()\ndef t(): s()\nfn g<'a>(x: &'a str) { h(x) }")], "caller int, content string")
+    assert sorted(r["ref"] for r in quiet.select(F.explode(chunks.references("content")).alias("ref")).collect()) == ["h", "s", "z"]
     defs = spark.createDataFrame([(1, "a", "src/a.rs"), (2, "b", "src/b.rs"), (3, "open", "src/store.rs"), (4, "open", "src/other.rs")], "callee int, name string, path string")
     assert sorted(map(tuple, chunks.resolve(refs.where("ref <> 'open'"), defs).collect())) == [(1, 2), (1, 3)]
     lines = spark.createDataFrame([("src/a.rs", "rust", 1, "use crate::store::open_db;"), ("p/x.py", "python", 1, "import p.y"), ("w/a.ts", "typescript", 1, "import z from './b'"), ("w/a.ts", "typescript", 2, "import q from 'react'")], "path string, lang string, pos int, line string")

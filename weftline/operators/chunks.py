@@ -136,8 +136,9 @@ def outline(df: DataFrame, id_col: str, text_col: str = "text", lang: Column | N
 
 
 def references(content: Column | str) -> Column:
-    """Names that a text calls: path calls, methods and plain calls, but for keywords."""
-    c = T.text(content)
+    """Names that a text calls: path calls, methods and plain calls, but for keywords and definitions. Comments and strings don't count."""
+    noise = r"""(?s)/\*.*?\*/|//[^\n]*|#[^\n]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n>]|\\.)*'"""
+    c = F.regexp_replace(F.regexp_replace(T.text(content), noise, " "), r"\b(?:fn|def|func|function|sub|procedure)\s+[A-Za-z_][A-Za-z0-9_]*", " ")
     name = r"[A-Za-z_][A-Za-z0-9_]*"
     paths = F.regexp_extract_all(c, F.lit(rf"\b({name}(?:::{name})+)\s*\("), F.lit(1))
     calls = F.regexp_extract_all(c, F.lit(rf"\b({name})\s*\("), F.lit(1))

@@ -99,12 +99,34 @@ def session_stats(log: DataFrame, key: str = "project") -> DataFrame:
     return one.groupBy(key).agg(F.count("*").alias("sessions"), F.round(F.avg("calls"), 6).alias("calls_per_session"), F.max("calls").alias("calls_max"), F.sum("again").alias("re_requests"))
 
 
-def repeated_outputs(log: DataFrame, ttl: int = 3600, least_tokens: int = 200) -> DataFrame:
-    """Runs whose output equals an earlier one of the same project and command within ttl seconds: (event_id, earlier, age)."""
+def repeated_outputs(log: DataFrame, ttl: int = 3600, least_tokens: int = 200, entries: int | None = None) -> DataFrame:
+    """Runs whose output equals an earlier one of the same project and command within ttl seconds: (event_id, earlier, age). entries: and among so many last ones of the project."""
     w = Window.partitionBy("project", "command", "digest").orderBy("ts", "event_id")
     big = log.where((F.col("command") != "") & (F.col("actual_tokens") >= least_tokens))
+    if entries is not None:
+        big = big.withColumn("no", F.row_number().over(Window.partitionBy("project").orderBy("ts", "event_id")))
     rows = big.withColumn("earlier", F.lag("event_id").over(w)).withColumn("age", F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(w)))
-    return rows.where(F.col("age") <= ttl).select("event_id", "earlier", "age")
+    near = F.col("age") <= ttl if entries is None else (F.col("age") <= ttl) & (F.col("no") - F.col("before") <= entries)
+    if entries is not None:
+        rows = rows.withColumn("before", F.lag("no").over(w))
+    return rows.where(near).select("event_id", "earlier", "age")
+
+
+def groups(rows: DataFrame, key: Column, seq: Column, size: Column | None = None) -> DataFrame:
+    """(key, n, size, place, by_size): groups in the order in which they are first seen, and by size."""
+    by = rows.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.sum(size if size is not None else F.lit(1)).alias("size"), F.min(seq).alias("first"))
+    return by.select("key", "n", "size", F.row_number().over(Window.orderBy("first", "key")).alias("place"), F.row_number().over(Window.orderBy(F.desc("size"), "key")).alias("by_size"))
+
+
+def audit(index: DataFrame, hooks: DataFrame, prompt: DataFrame, stale: Column) -> DataFrame:
+    """One row of health: files, chunks, tokens, hook_events, prompt_tokens, stale and the recommendations. index (path, chunks, tokens), hooks: the log, prompt (tokens)."""
+    i = index.agg(F.count("*").alias("files"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+    one = i.join(hooks.agg(F.count("*").alias("hook_events"))).join(prompt.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("prompt_tokens"))).withColumn("stale", stale)  # one row each
+    told = F.array_compact(F.array(
+        F.when(F.col("files") == 0, "index missing"), F.when(F.col("stale"), "index stale"), F.when(F.col("hook_events") == 0, "no hook events"),
+        F.when(F.col("prompt_tokens") > 10_000, "prompt weight high"), F.when(F.col("prompt_tokens") > 6_000, "keep the server list stable"),
+    ))
+    return one.withColumn("recommendations", F.when(F.size(told) == 0, F.array(F.lit("healthy"))).otherwise(told))
 
 
 def failure_streaks(runs: DataFrame, threshold: int = 3, ttl: int = 1800) -> DataFrame:

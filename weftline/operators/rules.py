@@ -179,3 +179,11 @@ def verdicts(findings: DataFrame, hosts: DataFrame) -> DataFrame:
     names = findings.select("host").distinct().withColumn("parent", F.explode(parents))
     known = names.join(hosts.select(F.col("host").alias("parent"), "verdict"), "parent").groupBy("host").agg(F.min("verdict").alias("verdict"))  # dangerous < safe
     return findings.join(known, "host", "left").withColumn("verdict", F.coalesce("verdict", F.lit("unknown")))
+
+
+def search(findings: DataFrame, query: str, fields: list[str]) -> DataFrame:
+    """Findings one of whose fields holds the query, in any case."""
+    hit = F.lit(False)
+    for f in fields:
+        hit = hit | F.lower(F.col(f).cast("string")).contains(query.lower())
+    return findings.where(hit)

@@ -30,6 +30,16 @@ def with_cost(records: DataFrame, mode: str = "auto") -> DataFrame:
     return rows.withColumn("tokens", F.col("input") + F.col("output") + F.col("cache_read") + F.col("cache_write"))
 
 
+def scoped(records: DataFrame, since: str | None = None, until: str | None = None, project: str | None = None) -> DataFrame:
+    """Records from since to until, both days included, of a project."""
+    out = records
+    if since:
+        out = out.where(F.to_date("ts") >= F.lit(since).cast("date"))
+    if until:
+        out = out.where(F.to_date("ts") <= F.lit(until).cast("date"))
+    return out.where(F.col("project") == project) if project else out
+
+
 def group_key(by: str) -> Column:
     """Day, ISO week, month, session, model or project of a record."""
     week = F.concat(F.extract(F.lit("YEAROFWEEK"), F.col("ts")).cast("string"), F.lit("-W"), F.lpad(F.weekofyear("ts").cast("string"), 2, "0"))
@@ -82,6 +92,30 @@ def blocks(records: DataFrame, key: str = "project", hours: int = 5) -> DataFram
     return hourly.groupBy(key).applyInPandas(fold, f"{key} {kind}, start timestamp, tokens bigint, cost_usd double, records bigint").withColumn("cost_usd", F.round(F.col("cost_usd") + 1e-9, 6))
 
 
+def ranked(rows: DataFrame, by: str) -> DataFrame:
+    """rollup rows with place: time groups by key, others by cost, highest first; the total is left out."""
+    order = ["key"] if by in ("day", "week", "month") else [F.desc("cost_usd"), "key"]
+    return rows.where("key <> 'TOTAL'").withColumn("place", F.row_number().over(Window.orderBy(*order)))  # one row a group
+
+
+def trailing_burn(records: DataFrame, now: Column, key: str = "project", hours: int = 5) -> DataFrame:
+    """By key: tokens of the last `hours` before now, the minutes since the first record in them (one at least), and tokens a minute."""
+    rows = with_cost(records).where((F.col("ts") >= now - F.expr(f"INTERVAL {hours} HOURS")) & (F.col("ts") <= now))
+    by = rows.groupBy(key).agg(F.sum("tokens").alias("tokens"), F.min("ts").alias("first"))
+    minutes = F.greatest(F.floor((F.unix_timestamp(now) - F.unix_timestamp("first")) / 60), F.lit(1)).cast("bigint")
+    return by.select(key, "tokens", minutes.alias("minutes"), F.round(F.col("tokens") / minutes, 6).alias("per_minute"))
+
+
+def economics(mix: DataFrame, tokens_saved: Column) -> DataFrame:
+    """What saved tokens are worth at the mean cost of an input-equivalent unit; at most the whole spend. mix: one row of sums and cost_usd; no row where nothing was spent."""
+    units = F.col("input") + 5.0 * F.col("output") + 1.25 * F.col("cache_write") + 0.1 * F.col("cache_read")
+    saved = F.greatest(tokens_saved, F.lit(0)).cast("bigint")
+    worth = saved * F.col("cost_usd") / units
+    told = mix.where((units > 0) & (F.col("cost_usd") > 0))
+    total = F.col("input") + F.col("output") + F.col("cache_read") + F.col("cache_write")
+    return told.select(F.round("cost_usd", 4).alias("spend_usd"), F.round(worth, 6).alias("saved_usd"), F.round(F.least(worth / F.col("cost_usd") * 100, F.lit(100.0)), 6).alias("pct_of_spend"), total.cast("bigint").alias("total_tokens"), saved.alias("saved_tokens"))
+
+
 def burn(blocks_df: DataFrame, now: Column, hours: int = 5) -> DataFrame:
     """Blocks open at `now`: tokens a minute, and the projected cost once 15 minutes are seen."""
     gone = F.greatest(F.floor((F.unix_timestamp(now) - F.unix_timestamp("start")) / 60), F.lit(1))

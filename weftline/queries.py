@@ -570,3 +570,9 @@ def _(spark, d):
     servers = table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("k")).select("agent", F.col("s_name").alias("server"), (F.col("s_suppkey") % 30).alias("tools"), (F.col("s_suppkey") * 37 % 4000).alias("tokens"))
     context = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("k")).select("agent", T.tokens("c_name").alias("tokens"))
     return prompts.audit(servers, context, 300, 3, 60).withColumn("reasons", F.array_join("reasons", "; ")).drop("advice")
+
+
+from weftline import queries_sources, queries_symbols  # noqa: E402
+
+queries_symbols.register_usage(US, EV)
+QUERIES |= queries_symbols.QUERIES | queries_sources.QUERIES
