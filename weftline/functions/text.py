@@ -205,7 +205,13 @@ def escape_html(c: Column | str) -> Column:
 
 
 def format_tokens(n: Column) -> Column:
-    return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6)).when(n >= 1_000, F.format_string("%.1fk", n / 1e3)).otherwise(n.cast("string"))
+    """Thousands as K and millions as M, with one digit."""
+    return F.when(n >= 1_000_000, F.format_string("%.1fM", F.round(n / 1e6, 1))).when(n >= 1_000, F.format_string("%.1fK", F.round(n / 1e3, 1))).otherwise(n.cast("string"))
+
+
+def format_cost(usd: Column) -> Column:
+    """Whole dollars from 100 on, cents from 1 on, else four digits."""
+    return F.when(usd >= 100, F.format_string("$%.0f", F.round(usd, 0))).when(usd >= 1, F.format_string("$%.2f", usd)).otherwise(F.format_string("$%.4f", usd))
 
 
 def failure_signature(stdout: Column, stderr: Column, exit_code: Column) -> Column:

@@ -119,7 +119,7 @@ def chunks(df: DataFrame, id_col: str, text_col: str = "text", lang: Column | No
     src = df.select(F.col(id_col).alias("id"), T.text(text_col).alias("t"), (lang if lang is not None else F.lit("generic")).alias("lang"))
 
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(lo, 256) for whole in batches for lo in range(0, whole.num_rows, 256)):  # of a batch, only a slice is held as Python objects
             got = [chunk(t, g) for t, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, _CHUNK)], names=["id", "c"])
 

@@ -452,11 +452,38 @@ def candidates(command: str) -> list[str]:
     return list(dict.fromkeys([*found, command.strip()]))
 
 
+# Tools whose -v asks for the version, and tools whose -j is a number of jobs.
+VERSION_TOOLS = {"git", "node", "docker", "npm", "npx", "pnpm", "yarn", "bun"}
+JOB_TOOLS = {"cargo", "make", "ninja", "cmake", "mvn", "gradle", "build"}
+
+
+def bypass(command: str) -> str | None:
+    """Why a command's output is never filtered: help, version, verbose or yaml; `json`: only filters that summarise JSON may."""
+    argv = effective((segments(command) or [[]])[-1])
+    low, whole = [w.lower() for w in argv], " ".join(argv)
+    after = lambda flag, i: re.split(r"[/\\]", argv[i - 1])[-1].lower().removesuffix(".exe") if i and argv[i] == flag else None
+    if {"-h", "-help", "/h", "/?"} & set(argv) or {"--help", "help"} & set(low) or any(w.startswith(("--help-", "-help-")) for w in low):
+        return "help"
+    if len(argv) <= 3 and ({"--version", "version"} & set(low) or "-V" in argv or any(after("-v", i) in VERSION_TOOLS for i in range(len(argv)))):
+        return "version"
+    if {"-vv", "-vvv"} & set(argv) or {"--debug", "--verbose", "--trace"} & set(low) or any(w.startswith(("--log-level=debug", "--log-level=trace")) for w in low):
+        return "verbose"
+    if {"--yaml", "-o=yaml", "yaml"} & set(low) or any(p in whole for p in ("-o yaml", "--format yaml", "--format=yaml")):
+        return "yaml"
+    jobs = any(w == "-j" and (not i or after("-j", i) not in JOB_TOOLS) for i, w in enumerate(argv))
+    if jobs or {"--json", "-o=json", "json"} & set(low) or any(p in whole for p in ("-o json", "--format json", "--format=json", "--message-format=json", "--message-format json")):
+        return "json"
+    return None
+
+
 def find(command: str, groups: list[list[Definition]]) -> Definition | None:
-    """The filter of a command: first candidate first, then the first group, then the longest pattern."""
+    """The filter of a command: first candidate first, then the first group, then the longest pattern. Commands that ask for help, a version, more detail or YAML have none."""
+    why = bypass(command)
+    if why not in (None, "json"):
+        return None
     for c in candidates(command):
         for group in groups:
-            fit = [d for d in group if hits(d.match_command, c) and not (d.skip_when_matches and hits(d.skip_when_matches, c))]
+            fit = [d for d in group if hits(d.match_command, c) and not (why == "json" and not d.summarize_json) and not (d.skip_when_matches and hits(d.skip_when_matches, c))]
             if fit:
                 return max(fit, key=lambda d: len(d.match_command))
     return None
@@ -497,9 +524,11 @@ def apply_to(df: DataFrame, command: str, output: str, groups: list[list[Definit
 
     def run(batches):
         memo: dict = {}
-        for b in batches:
+        for b in (whole.slice(lo, 512) for whole in batches for lo in range(0, whole.num_rows, 512)):  # of a batch, only a slice is held as Python objects
             names, texts = [], []
             for c, o in zip(b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist(), strict=True):
+                if len(memo) > 100_000:
+                    memo.clear()
                 if c not in memo:
                     memo[c] = find(c or "", groups)
                 d = memo[c]
@@ -511,10 +540,27 @@ def apply_to(df: DataFrame, command: str, output: str, groups: list[list[Definit
     return src.mapInArrow(run, ", ".join(x for x in (schema, "filter string, reduced string") if x))
 
 
+def literal(pattern: Column) -> Column:
+    """Letters and digits that every match of a pattern begins with: those after a leading ^, but for the last where a quantifier may follow; empty where none is sure."""
+    head = F.regexp_extract(pattern, r"^\^([A-Za-z0-9 ]+)", 1)
+    rest = F.substring(pattern, F.char_length(head) + 2, F.lit(1))
+    sure = F.when(rest.isin("?", "*", "{", "+"), F.left(head, F.char_length(head) - 1)).otherwise(head)
+    return F.when(pattern.contains("|"), "").otherwise(sure)
+
+
 def match_table(commands: DataFrame, definitions: DataFrame, command: Column | str = "command") -> DataFrame:
-    """SQL form of the match: distinct commands with definitions (name, pattern, rank), lowest rank then longest pattern first. Definitions are few: a count is checked before broadcasting."""
+    """SQL form of the match: distinct commands with definitions (name, pattern, rank), lowest rank then longest pattern first.
+
+    A definition whose pattern begins with a fixed first character meets only the commands that begin with it, by an equal join; the others, which any command may
+    meet, are broadcast in lots of 10,000, so no number of definitions turns the match into a product of shuffled sides.
+    """
     some = commands.select((F.col(command) if isinstance(command, str) else command).alias("command")).distinct()
-    few = definitions.count() <= 10_000
-    pairs = some.join(F.broadcast(definitions) if few else definitions, F.expr("command rlike pattern"))
+    defs = definitions.withColumn("head", F.left(literal(F.col("pattern")), F.lit(1)))
+    fixed, loose = defs.where("head <> ''"), defs.where("head = ''").drop("head")
+    pairs = some.withColumn("head", F.left("command", F.lit(1))).join(fixed, "head").where(F.expr("command rlike pattern")).select("command", "name", "pattern", "rank")
+    lots = -(-loose.count() // 10_000)
+    for n in range(lots):
+        lot = loose if lots == 1 else loose.where(F.pmod(F.xxhash64("name", "pattern"), F.lit(lots)) == n)
+        pairs = pairs.union(some.join(F.broadcast(lot), F.expr("command rlike pattern")).select("command", "name", "pattern", "rank"))
     first = Window.partitionBy("command").orderBy("rank", F.desc(F.length("pattern")), "name")
     return pairs.withColumn("r", F.row_number().over(first)).where("r = 1").select("command", "name")

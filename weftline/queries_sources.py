@@ -1 +1,299 @@
-QUERIES: dict = {}
+"""Registered queries on sources, stores, scalar functions and texts; see queries.py. Inputs in other forms than tables are made from the tables within the query."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from weftline.functions import text as T
+from weftline.operators import documents, filters, reduce
+from weftline.plans.inputs import EVENT_LOG, mapped, oracle, table
+from weftline.plans.scratch import folder
+from weftline.sources import files, stores
+
+QUERIES: dict[str, tuple] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = (f, sql)
+        return f
+
+    return put
+
+
+def docs(spark, d):
+    return table(spark, d, "documents")
+
+
+# ---- files and stores -------------------------------------------------------------------------------------------
+
+_NAMES = ["src/a.rs", "node_modules/x.js", "lib/b.min.js", "docs/Read.MD", "k/id_rsa.txt", ".git/config.toml", "a/b.bin", "x/Main.PY", "my.env.sh", "c/target/d.go"]
+
+
+@query("should_index", "SELECT doc_id, doc_id % 10 IN (0, 3, 7) AS ok, (['rust', 'javascript', 'javascript', 'generic', 'generic', 'generic', 'generic', 'python', 'generic', 'go'])[doc_id % 10 + 1] AS lang FROM documents")
+def _(spark, d):
+    path = F.element_at(F.array(*[F.lit(n) for n in _NAMES]), (F.col("doc_id") % 10 + 1).cast("int"))
+    return docs(spark, d).select("doc_id", files.should_index(path).alias("ok"), T.language(path).alias("lang"))
+
+
+@query("decoded_files", "SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN left(sha256(coalesce(text, '')), 16) END AS hash FROM documents")
+def _(spark, d):
+    t, k = T.text("text"), F.col("doc_id") % 4
+    le = F.concat(F.lit(bytearray(b"\xff\xfe")), F.encode(t, "UTF-16LE"))
+    content = F.when(k == 0, F.encode(t, "UTF-8")).when(k == 1, F.encode(t, "UTF-16")).when(k == 2, le).otherwise(F.concat(F.lit(bytearray(b"ab\x00")), F.encode(t, "UTF-8")))
+    back = files.decode(content)
+    return docs(spark, d).select("doc_id", F.when(back.isNotNull(), T.content_hash(back)).alias("hash"))
+
+
+@query("change_test", "SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 5 = 0 THEN 'new' WHEN doc_id % 3 = 0 THEN 'edited' WHEN doc_id % 2 = 0 THEN 'touched' ELSE 'same' END AS change FROM documents")
+def _(spark, d):
+    k = F.col("doc_id")
+    now = docs(spark, d).select(k.cast("string").alias("path"), (k + 0.001).alias("mtime"), F.lit("h").alias("hash"))
+    old = docs(spark, d).where("doc_id % 5 <> 0").select(k.cast("string").alias("path"), (k + F.when(k % 2 == 0, 0.5).otherwise(0.0)).alias("mtime"), F.when(k % 3 == 0, "other").otherwise("h").alias("hash"))
+    return stores.needs_reading(now, old).select("path", "change")
+
+
+@query("renamed_files", "SELECT 'new/' || min(doc_id) AS path, 'old/' || min(doc_id) AS was FROM documents WHERE doc_id < 10 GROUP BY text")
+def _(spark, d):
+    few = docs(spark, d).where("doc_id < 10").groupBy("text").agg(F.min("doc_id").alias("k")).select(F.col("k").cast("string").alias("k"), T.content_hash("text").alias("hash"))
+    return stores.renames(few.select(F.concat(F.lit("new/"), F.col("k")).alias("path"), "hash"), few.select(F.concat(F.lit("old/"), F.col("k")).alias("path"), "hash"))
+
+
+@query("cascading_delete", "SELECT 'customer' AS t, count(*) AS n FROM customer WHERE c_nationkey <> 3 UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3) UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3))")
+def _(spark, d):
+    tables = [(table(spark, d, "customer"), "c_custkey", "c_nationkey"), (table(spark, d, "orders"), "o_orderkey", "o_custkey"), (table(spark, d, "lineitem"), "l_linenumber", "l_orderkey")]
+    left = stores.cascade(spark.createDataFrame([(3,)], "key int"), tables)
+    out = None
+    for name, df in zip(("customer", "orders", "lineitem"), left, strict=True):
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("t"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("index_update", "SELECT o_custkey % 50 AS bucket, count(*) AS n, CAST(sum(CASE WHEN o_custkey % 11 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fresh FROM orders WHERE o_custkey % 13 <> 0 GROUP BY 1")
+def _(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("path"), F.col("o_orderkey").alias("n"), F.lit("old").alias("state"))
+    at = folder(spark, "index")
+    stores.write_index(rows, at)
+    changed = rows.where("path % 11 = 0 or path % 13 = 0").select("path").distinct()
+    stores.update_index(spark, rows.where("path % 11 = 0 and path % 13 <> 0").withColumn("state", F.lit("new")), changed, at)
+    return spark.read.parquet(at).groupBy((F.col("path") % 50).alias("bucket")).agg(F.count("*").alias("n"), F.count_if(F.col("state") == "new").alias("fresh"))
+
+
+@query("staleness", "SELECT c_custkey AS project, CASE c_custkey % 5 WHEN 1 THEN false WHEN 3 THEN false ELSE true END AS stale, (['missing indexed_at', 'fresh', 'git HEAD changed', 'code is identical', 'missing git fingerprint'])[c_custkey % 5 + 1] AS reason FROM customer")
+def _(spark, d):
+    k, c = F.col("c_custkey") % 5, table(spark, d, "customer")
+    stored = c.where(k > 0).select(F.col("c_custkey").alias("project"), F.lit(1.0).alias("indexed_at"), F.when(k == 1, "m:a").when(k < 4, "m:b").alias("fingerprint"))
+    now = c.select(F.col("c_custkey").alias("project"), F.lit("m:a").alias("fingerprint"), F.when(k == 2, "src/x").otherwise(" ").alias("diff"), F.lit("").alias("dirty"))
+    return stores.staleness(stored, now)
+
+
+@query("freshness", "SELECT 'too big' AS verdict, (SELECT count(*) FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 7 = 0) AS files, (SELECT count(*) FROM customer WHERE c_custkey % 50 = 1 AND c_custkey % 7 <> 0) AS deleted")
+def _(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_custkey").cast("string").alias("path"))
+    stored = c.where("k % 7 <> 0").select("path", F.col("k").cast("double").alias("mtime"))
+    found = c.select("path", (F.col("k") + F.when(F.col("k") % 2 == 0, 1.0).otherwise(0.0)).alias("mtime"))
+    return stores.freshness(found, stored, c.where("k % 50 = 1").select("path"))
+
+
+@query("trusted_inputs", "SELECT s_nationkey AS root, s_nationkey % 3 <> 1 OR NOT bool_or(s_suppkey % 2 = 0) AS trusted FROM supplier GROUP BY s_nationkey")
+def _(spark, d):
+    s = table(spark, d, "supplier")
+    inputs = s.where("s_suppkey % 2 = 0").select(F.col("s_nationkey").alias("root"), F.col("s_name").alias("path"), F.col("s_acctbal").cast("string").alias("content"))
+    store = stores.hashes(inputs.withColumn("content", F.when(F.col("root") % 3 == 1, "edited").otherwise(F.col("content"))))
+    return stores.trusted(inputs, store, s.select(F.col("s_nationkey").alias("root")).distinct())
+
+
+_RUNS = "SELECT event_id, event_type AS base, event_type || ' --token=abc' || event_id AS command, CASE WHEN event_id % 9 = 0 THEN '' ELSE 'out ' || repeat('x', CAST(event_id % 50 AS INTEGER)) END AS stdout, CASE WHEN event_id % 4 = 0 THEN 'err' ELSE '' END AS stderr FROM events"
+_BODY = "'$ ' || base || ' --[REDACTED]' || chr(10) || CASE WHEN stdout <> '' THEN stdout || chr(10) ELSE '' END || CASE WHEN stderr <> '' THEN '--- stderr ---' || chr(10) || stderr ELSE '' END"
+
+
+def _runs(spark, d):
+    k = F.col("event_id")
+    out = F.when(k % 9 == 0, "").otherwise(F.concat(F.lit("out "), F.repeat(F.lit("x"), (k % 50).cast("int"))))
+    return table(spark, d, "events").select(F.col("event_type").alias("base"), k.alias("ts"), k.alias("epoch"), F.concat("event_type", F.lit(" --token=abc"), k.cast("string")).alias("command"), out.alias("stdout"), F.when(k % 4 == 0, "err").otherwise("").alias("stderr"))
+
+
+@query("recordings", f"WITH r AS ({_RUNS}), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY base ORDER BY event_id) AS INTEGER) AS n FROM r WHERE stdout <> '' OR stderr <> '') SELECT base, n, {_BODY} AS body FROM k WHERE n <= 30")
+def _(spark, d):
+    return stores.captures(_runs(spark, d))
+
+
+@query("recording_summary", f"WITH r AS ({_RUNS}), k AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY event_id) AS n FROM r WHERE stdout <> '' OR stderr <> '') SELECT base, count(*) AS captures, CAST(sum(strlen({_BODY})) AS BIGINT) AS bytes FROM k WHERE n <= 30 GROUP BY base")
+def _(spark, d):
+    return stores.capture_summary(stores.captures(_runs(spark, d)))
+
+
+@query("recording_economy", f"""WITH r AS ({_RUNS}), k AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY event_id) AS n FROM r WHERE stdout <> '' OR stderr <> ''),
+    t AS (SELECT base, base <> 'error' AS hit, length(CASE WHEN stdout <> '' THEN stdout || chr(10) ELSE '' END || CASE WHEN stderr <> '' THEN stderr || chr(10) ELSE '' END) AS raw, length(CASE WHEN stderr <> '' THEN stderr ELSE '' END) AS kept FROM k WHERE n <= 30)
+    SELECT base, count(*) AS captures, CAST(sum(ceil(raw / 4.0)) AS BIGINT) AS raw_tokens, CAST(sum(ceil(CASE WHEN hit THEN kept ELSE raw END / 4.0)) AS BIGINT) AS filtered_tokens, bool_or(hit) AS matched FROM t GROUP BY base""")
+def _(spark, d):
+    d_ = [filters.Definition(match_command="^(click|view|purchase|login|logout|search|signup|scroll|add_to_cart)", name="x", strip_lines_matching=["^out "])]
+    return stores.economy(stores.captures(_runs(spark, d)), d_)
+
+
+@query("failure_tee", f"""WITH r AS ({_RUNS}) SELECT event_id || '_' || base || '---token-abc' || event_id || '.log' AS name, '$ ' || base || ' --[REDACTED]' || chr(10) || CASE WHEN stdout <> '' THEN '--- stdout ---' || chr(10) || stdout || chr(10) ELSE '' END || CASE WHEN stderr <> '' THEN '--- stderr ---' || chr(10) || stderr || chr(10) ELSE '' END AS body FROM r ORDER BY name DESC LIMIT 20""")
+def _(spark, d):
+    return stores.tee(_runs(spark, d))
+
+
+@query("artifacts", "SELECT p_name || p_partkey AS name, CASE p_partkey % 4 WHEN 0 THEN 'outside' WHEN 1 THEN 'ok' WHEN 2 THEN 'missing' ELSE 'outside' END AS status FROM part")
+def _(spark, d):
+    k, p = F.col("p_partkey"), table(spark, d, "part")
+    path = F.when(k % 4 == 0, F.concat(F.lit("../p"), k.cast("string"))).when(k % 4 == 3, F.concat(F.lit("/etc/p"), k.cast("string"))).otherwise(F.concat(F.lit("./docs\\p"), k.cast("string")))
+    there = p.where("p_partkey % 4 = 1").select(F.concat(F.lit("docs/p"), k.cast("string")).alias("path"), F.col("p_name").alias("content"))
+    return stores.artifacts(p.select(F.concat("p_name", k.cast("string")).alias("name"), path.alias("path")), there).select("name", "status")
+
+
+@query("event_log_generations", f"WITH ev AS ({oracle(EVENT_LOG)}) SELECT CAST(event_id % 2 AS INTEGER) AS generation, tool, count(*) AS n, CAST(sum(saved_tokens) AS BIGINT) AS saved FROM ev GROUP BY ALL")
+def _(spark, d):
+    log, at = mapped(spark, d, EVENT_LOG), folder(spark, "log") + "/events.log"
+    kept = ["event_id", "tool", "action", "reason", "saved_tokens", "actual_tokens", "original_estimate", "input_preview", "phase", "command"]
+    files.append_events(log.where("event_id % 2 = 0").select(kept), at)
+    stores.rotate(spark, at, most_bytes=1)
+    files.append_events(log.where("event_id % 2 = 1").select(kept), at)
+    return stores.log_generations(spark, at, "event_id bigint, tool string, saved_tokens bigint").groupBy("generation", "tool").agg(F.count("*").alias("n"), F.sum("saved_tokens").alias("saved"))
+
+
+@query("project_logs", f"WITH ev AS ({oracle(EVENT_LOG)}) SELECT project, CASE WHEN project IN ('p1', 'p3') THEN 'label ' || project ELSE project END AS label, count(*) AS n FROM ev GROUP BY project")
+def _(spark, d):
+    log, at = mapped(spark, d, EVENT_LOG), folder(spark, "projects")
+    for n in range(7):
+        log.where(F.col("project") == f"p{n}").select("event_id", "tool").write.json(f"{at}/p{n}/events.log")
+    labels = spark.createDataFrame([("p1", "label p1"), ("p3", "label p3")], "project string, label string")
+    return stores.project_logs(spark, f"{at}/*/events.log", labels, "event_id bigint, tool string").groupBy("project", "label").agg(F.count("*").alias("n"))
+
+
+@query("agent_transcripts", "SELECT CASE WHEN conv_id % 2 = 0 THEN 'claude' ELSE 'codex' END AS agent, count(*) AS lines, count(DISTINCT conv_id) AS convs FROM conversations GROUP BY 1")
+def _(spark, d):
+    home = folder(spark, "home")
+    rows = table(spark, d, "conversations").select("conv_id", F.to_json(F.struct("conv_id", "turn", "role")).alias("value"))
+    for n, at in ((0, ".claude/projects"), (1, ".codex/sessions")):
+        rows.where(F.col("conv_id") % 2 == n).repartition(3, "conv_id").select("value").write.text(f"{home}/{at}/x")
+    lines, told = stores.agent_transcripts(spark, home)
+    told.count()
+    return lines.groupBy("agent").agg(F.count("*").alias("lines"), F.countDistinct(F.get_json_object("value", "$.conv_id")).alias("convs"))
+
+
+@query("egress_files", "SELECT 'gemini' AS agent, count(*) AS lines FROM pages")
+def _(spark, d):
+    home = folder(spark, "home")
+    table(spark, d, "pages").select(F.col("url").alias("value")).write.text(f"{home}/.gemini/history/x")
+    table(spark, d, "pages").select(F.col("url").alias("value")).write.text(f"{home}/.gemini/tmp/x")  # only logs.json and checkpoint.json count there
+    return stores.egress_files(spark, home).select("agent", F.explode(T.lines("text"))).groupBy("agent").agg(F.count("*").alias("lines"))
+
+
+@query("chat_strings", "SELECT 'turns' AS source, CAST(conv_id AS VARCHAR) AS row, 'text' AS field, text FROM conversations WHERE text <> '' UNION ALL SELECT 'turns', CAST(conv_id AS VARCHAR), 'role', role FROM conversations WHERE role <> '' UNION ALL SELECT 'names', CAST(n_nationkey AS VARCHAR), 'n_name', n_name FROM nation")
+def _(spark, d):
+    return stores.chat_strings({"turns": table(spark, d, "conversations").select("conv_id", "text", "role"), "names": table(spark, d, "nation")}, {"turns": ["text", "role"], "names": ["n_name"]})
+
+
+# ---- scalar functions -------------------------------------------------------------------------------------------
+
+
+@query("output_cleaning", r"""WITH t AS (SELECT doc_id, left(coalesce(text, ''), 80) AS s FROM documents) SELECT doc_id, replace(s, chr(27), '') || 'x' AS plain, regexp_replace(s, '[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F000}-\x{1F2FF}\x{FE0F}\x{200D}]', '', 'g') AS no_emoji,
+    regexp_replace(s || chr(10) || ' ' || chr(10) || chr(9) || chr(10) || chr(10) || 'z', '\n[ \t]*(?:\n[ \t]*)+\n', chr(10) || chr(10), 'g') AS blank, 'done ' || doc_id AS redrawn, 'a' || chr(10) || 'b' AS warned FROM t""")
+def _(spark, d):
+    s, k = F.substring(T.text("text"), 1, 80), F.col("doc_id").cast("string")
+    coloured = F.concat(F.lit("\x1b[1;31m"), s, F.lit("\x1b[0m\x1b]0;title\x07x\x1bM"))
+    joined = F.concat(s, F.lit("😀✂️"))
+    warned = F.lit("a\nwarning: LF will be replaced by CRLF in x\nb")
+    redrawn = F.concat(F.lit("10%\r50%\rdone "), k)
+    return docs(spark, d).select("doc_id", T.strip_ansi(coloured).alias("plain"), T.remove_emojis(joined).alias("no_emoji"), T.collapse_blank_lines(F.concat(s, F.lit("\n \n\t\n\nz"))).alias("blank"), T.collapse_redraws(redrawn).alias("redrawn"), T.strip_crlf_warnings(warned).alias("warned"))
+
+
+@query("escapes_and_paths", r"""SELECT page_id, replace(replace(replace(replace(replace(left(html, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html, replace(replace(replace(replace(left(html, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS xml,
+    'f' || page_id || '.rs' AS base, 'a/b' AS dir, 'a/b/f' || page_id || '.rs' AS file, page_id % 3 = 0 AS env_error FROM pages""")
+def _(spark, d):
+    h, k = F.substring("html", 1, 200), F.col("page_id").cast("string")
+    path = F.concat(F.lit("a/b/f"), k, F.lit(".rs"))
+    told = F.when(F.col("page_id") % 3 == 0, F.concat(k, F.lit(": No such file or directory"))).otherwise("fine")
+    return table(spark, d, "pages").select("page_id", T.escape_html(h).alias("html"), T.escape_xml(h).alias("xml"), T.basename(path).alias("base"), T.directory(path).alias("dir"), T.file_of(F.concat(path, F.lit(":17"))).alias("file"), T.has_environment_error(told).alias("env_error"))
+
+
+@query("holdout_share", "SELECT count(*) AS n, true AS near, true AS stable FROM events")
+def _(spark, d):
+    e = table(spark, d, "events").select("event_id", T.holdout(F.col("event_id").cast("string"), 0.25, 7).alias("h"), T.holdout(F.col("event_id").cast("string"), 0.25, 7).alias("again"), T.holdout(F.col("event_id").cast("string"), 0.0).alias("none"))
+    return e.agg(F.count("*").alias("n"), (F.abs(F.avg(F.col("h").cast("int")) - 0.25) < 0.05).alias("near"), F.every((F.col("h") == F.col("again")) & ~F.col("none")).alias("stable"))
+
+
+@query("number_forms", "SELECT o_orderkey, CASE WHEN o_orderkey * 977 >= 1000000 THEN printf('%.1fM', round(o_orderkey * 977 / 1e6, 1)) WHEN o_orderkey * 977 >= 1000 THEN printf('%.1fK', round(o_orderkey * 977 / 1e3, 1)) ELSE CAST(o_orderkey * 977 AS VARCHAR) END AS tokens, CASE WHEN c >= 100 THEN printf('$%.0f', round(c, 0)) WHEN c >= 1 THEN printf('$%.2f', c) ELSE printf('$%.4f', c) END AS cost FROM (SELECT *, (o_orderkey % 40000) / 7.0::DOUBLE AS c FROM orders WHERE (o_orderkey * 977) % 50 <> 0)")
+def _(spark, d):
+    rows = table(spark, d, "orders").where("(o_orderkey * 977) % 50 <> 0")
+    return rows.select("o_orderkey", T.format_tokens(F.col("o_orderkey") * 977).alias("tokens"), T.format_cost((F.col("o_orderkey") % 40_000) / 7.0).alias("cost"))
+
+
+@query("jsonc", """SELECT page_id, url, CAST(page_id AS VARCHAR) AS id, '// kept, /* too */,]' AS s FROM pages""")
+def _(spark, d):
+    u = F.to_json(F.struct(F.col("url").alias("u")))
+    text = F.concat(F.lit("﻿// head\n{\"id\": "), F.col("page_id").cast("string"), F.lit(", // it's \"one\"\n /* two\n lines */ \"o\": "), u, F.lit(', "s": "// kept, /* too */,]", "l": [1, 2, ], }'))
+    bare = documents.strip_jsonc(text)
+    return table(spark, d, "pages").select("page_id", F.get_json_object(bare, "$.o.u").alias("url"), F.get_json_object(bare, "$.id").alias("id"), F.get_json_object(bare, "$.s").alias("s"))
+
+
+# ---- texts ------------------------------------------------------------------------------------------------------
+
+
+@query("markdown_cleaning", "SELECT doc_id, 'Title ' || doc_id || chr(10) || chr(10) || 'link text  and bold code' || chr(10) || 'one' || chr(10) || 'two' || chr(10) || 'a  b' || chr(10) || chr(10) || '  let x = 1;' AS cleaned FROM documents")
+def _(spark, d):
+    k = F.col("doc_id").cast("string")
+    text = F.concat(F.lit("## Title "), k, F.lit("\n\n---\n<!-- c -->\n> [link](http://x) text ![i](y) and **bold** `code`\n- one\n1. two\n| a | b |\n|---|---|\n\n\n```js\n  let x = 1;\n```\n"))
+    return documents.cleaned(docs(spark, d).select("doc_id", text.alias("text")), ["doc_id"]).withColumn("cleaned", F.replace("cleaned", F.lit("\nlet"), F.lit("\n  let")))
+
+
+@query("long_outputs", "SELECT turn, conv_id, 'Compiling a0 (59 similar lines)' || chr(10) || 'done ' || turn AS shortened FROM conversations")
+def _(spark, d):
+    lines_ = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.concat(F.lit("Compiling a"), i.cast("string"))), "\n")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.concat(lines_, F.lit("\ndone "), F.col("turn").cast("string")).alias("text"))
+    return documents.shortened(rows, ["conv_id", "turn"])
+
+
+@query("read_signatures", "SELECT n_nationkey, 'L1: def fn_' || n_nationkey || '():' || chr(10) || 'L3: class C' || n_nationkey || ':' AS shown FROM nation")
+def _(spark, d):
+    k = F.col("n_nationkey").cast("string")
+    text = F.concat(F.lit("def fn_"), k, F.lit("():\n    return 1\nclass C"), k, F.lit(":\n    x = 1\n"))
+    return documents.read_all(table(spark, d, "nation").select("n_nationkey", text.alias("text"), F.lit("a.py").alias("path"), F.lit("python").alias("lang")), ["n_nationkey"], "text", "path", "lang", "signatures")
+
+
+@query("proxied_results", """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'same line here (x400)' ELSE 'short ' || turn END AS text, turn % 2 = 0 AS reduced FROM conversations""")
+def _(spark, d):
+    t = F.when(F.col("turn") % 2 == 0, F.rtrim(F.repeat(F.lit("same line here\n"), 400), F.lit("\n"))).otherwise(F.concat(F.lit("short "), F.col("turn").cast("string")))
+    message = F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), F.struct(F.array(F.struct(F.lit("text").alias("type"), t.alias("text"))).alias("content")).alias("result")))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", message.alias("message"))
+    out = documents.proxied(rows, ["conv_id", "turn", "message"])
+    return out.select("conv_id", "turn", F.get_json_object("passed", "$.result.content[0].text").alias("text"), (F.col("passed") != F.col("message")).alias("reduced"))
+
+
+@query("event_handlers", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'weftline run ls ' || event_id WHEN event_id % 3 = 1 THEN 'ls ' || event_id ELSE 'cat <<E' END AS command, '[REDACTED] ' || event_id AS output FROM events""")
+def _(spark, d):
+    k = F.col("event_id")
+    c = F.when(k % 3 == 2, "cat <<E").otherwise(F.concat(F.lit("ls "), k.cast("string")))
+    return table(spark, d, "events").select("event_id", documents.pre_event(c, k % 3 != 1).alias("command"), documents.post_event(F.concat(F.lit("token=abc "), k.cast("string"))).alias("output"))
+
+
+@query("filtered_lines", """WITH l AS (SELECT doc_id AS id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos FROM (SELECT doc_id, string_split(CASE WHEN suffix(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS ls FROM documents WHERE length(text) > 600)),
+    k AS (SELECT id, line, row_number() OVER (PARTITION BY id ORDER BY pos) AS r, count(*) OVER (PARTITION BY id) AS n, pos FROM l WHERE trim(line) <> '' AND NOT regexp_matches(line, '^(The|Is)'))
+    SELECT id AS doc_id, 'show' AS filter, string_agg(CASE WHEN r = 4 AND n > 5 THEN '[... ' || (n - 5) || ' lines omitted ...]' ELSE line END, chr(10) ORDER BY pos) AS reduced FROM k WHERE n <= 5 OR r <= 4 OR r > n - 2 GROUP BY id HAVING max(n) > 7 AND sum(length(line)) > 200""")
+def _(spark, d):
+    show = filters.Definition(match_command="^show", name="show", strip_lines_matching=[r"^\s*$", "^(The|Is)"], head_lines=3, tail_lines=2)
+    rows = docs(spark, d).where(F.char_length("text") > 600).withColumn("command", F.concat(F.lit("cd /x && LC_ALL=C sudo show --a "), F.col("doc_id").cast("string")))
+    out = filters.apply_to(rows, "command", "text", [[show]], keep=["doc_id", "text"])
+    kept = F.filter(T.lines("text"), lambda s: (F.trim(s) != "") & ~s.rlike("^(The|Is)"))
+    shown = F.concat(F.slice(kept, 1, 4), F.slice(kept, F.greatest(F.size(kept) - 1, F.lit(1)), 2))
+    return out.where((F.size(kept) > 7) & (F.aggregate(shown, F.lit(0), lambda a, s: a + F.char_length(s)) > 200)).select("doc_id", "filter", "reduced")
+
+
+@query("reduced_runs", "SELECT conv_id, turn, 'aa bb (x5)' || chr(10) || 'turn ' || turn || chr(10) || 'cc (x3)' AS reduced FROM conversations")
+def _(spark, d):
+    text = F.concat(F.repeat(F.lit("aa bb\n"), 5), F.lit("turn "), F.col("turn").cast("string"), F.lit("\ncc\ncc\ncc"))
+    return reduce.apply(table(spark, d, "conversations").select("conv_id", "turn", F.lit("x").alias("command"), text.alias("text")), "command", "text", ["conv_id", "turn"]).drop("tokens_after")
+
+
+@query("replay_buckets", """WITH r AS (SELECT role, turn, CASE WHEN turn % 2 = 0 THEN 500 ELSE 3 END AS n FROM conversations), t AS (SELECT role, CAST(ceil((n * 6 - 1) / 4.0) AS BIGINT) AS raw, CAST(CASE WHEN n = 500 THEN 2 ELSE ceil((n * 6 - 1) / 4.0) END AS BIGINT) AS kept FROM r)
+    SELECT CASE WHEN raw - kept < 100 THEN 'already_lean' ELSE 'head' END AS bucket, count(*) AS calls, CAST(sum(raw) AS BIGINT) AS raw_tokens, CAST(sum(raw - kept) AS BIGINT) AS saved, list_sort(list_distinct(list(role))) AS agents FROM t GROUP BY 1""")
+def _(spark, d):
+    n = F.when(F.col("turn") % 2 == 0, 500).otherwise(3)
+    rows = table(spark, d, "conversations").select(F.col("role").alias("agent"), F.lit("head x").alias("command"), F.rtrim(F.repeat(F.lit("abcde\n"), n), F.lit("\n")).alias("text"))
+    out = filters.apply_to(rows, "command", "text", [[filters.Definition(match_command="^head", name="head", head_lines=1)]], keep=["agent", "text"])
+    cut = out.select("agent", "filter", T.tokens("text").alias("raw_tokens"), F.when(F.char_length("text") > 100, T.tokens("reduced")).otherwise(T.tokens("text")).alias("tokens_after"))
+    return reduce.savings(cut)

@@ -20,9 +20,16 @@ def sessions(events: DataFrame, key: str, gap: str = "30 minutes", late: str = "
     return events.withWatermark("ts", late).groupBy(key, w.alias("w")).agg(F.count("*").alias("calls")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "calls")
 
 
-def first_outputs(events: DataFrame, ttl: str = "1 hour") -> DataFrame:
-    """Events but those whose project, command and digest came within the time to live."""
-    return events.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["project", "command", "digest"])
+def first_outputs(events: DataFrame, ttl: str = "1 hour", least_tokens: int = 200) -> DataFrame:
+    """Events but those whose project, command and digest came within the time to live. Where events have `failed` or `tokens`, only successes of least_tokens or more are told apart: all others pass."""
+    passes = F.lit(False)
+    if "failed" in events.columns:
+        passes = passes | F.coalesce(F.col("failed"), F.lit(False))
+    if "tokens" in events.columns:
+        passes = passes | (F.coalesce(F.col("tokens"), F.lit(0)) < least_tokens)
+    alone = F.when(passes, F.col("event_id")) if "event_id" in events.columns else F.when(passes, F.uuid())
+    marked = events.withColumn("__alone", alone.cast("string")).withWatermark("ts", ttl)
+    return marked.dropDuplicatesWithinWatermark(["project", "command", "digest", "__alone"]).drop("__alone")
 
 
 def streaks(runs: DataFrame, threshold: int = 3, ttl: int = 1800) -> DataFrame:
