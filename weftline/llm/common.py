@@ -82,6 +82,7 @@ def swept():
 
 def tidy() -> None:
     """Gives memory that a finished task has freed back to the machine: Python workers live on, and executors' memory is limited."""
+    tv.forget()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -68,6 +68,11 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def forget() -> None:
+    """Frees the tables of powers, which are as long as the longest chunk so far."""
+    _powers[:] = [np.ones(1, _U), np.ones(1, _U)]
+
+
 def hash_runs(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each run of code points, the same wherever the run stands."""
     up, down = _power(len(codes) + 1)

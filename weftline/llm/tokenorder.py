@@ -175,7 +175,7 @@ def _offsets(counts: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     return first, at
 
 
-COPIES = 4096  # of a row, that one task writes
+COPIES = 4096  # of a row, that one task writes; it tokenises the text once
 
 
 def sequences(docs: DataFrame, layout: Layout, scratch: Scratch) -> tuple[DataFrame, int]:
@@ -196,45 +196,52 @@ def sequences(docs: DataFrame, layout: Layout, scratch: Scratch) -> tuple[DataFr
     single = keyed.where(~keep).join(side, key).where(alone).select(F.col("doc_id").cast("bigint"), "text", none, "first").union(known)
 
     def cut(batches):
+        """Numbered sequences of each row, and those of its copies after them; some ten thousand at a time."""
+        body, index = [], []
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)
-                ids, start = b.column(0).to_pylist(), b.column(3).to_pylist()
-                body, index = [], []
+                ids, start, copies = (b.column(i).to_pylist() for i in (0, 3, 4))
                 for i, (text, stored) in enumerate(zip(b.column(1), b.column(2), strict=True)):
                     raw = stored.as_py() or _packed(text.as_py(), layout.vocabulary)
                     length = len(raw) // 2
-                    for j in range(-(-length // layout.length)):
+                    n = -(-length // layout.length)
+                    for j in range(n):
                         size = min(layout.length, length - j * layout.length)
-                        body.append(struct.pack("<qiHH", ids[i] or 0, j, size, ids[i] is None) + raw[2 * j * layout.length : 2 * (j + 1) * layout.length])
-                        index.append(start[i] + j)
-                yield pa.RecordBatch.from_arrays([pa.array(index, pa.int64()), pa.array(body, pa.binary())], names=["number", "record"])
+                        record = struct.pack("<qiHH", ids[i] or 0, j, size, ids[i] is None) + raw[2 * j * layout.length : 2 * (j + 1) * layout.length]
+                        for copy in range(copies[i]):
+                            body.append(record)
+                            index.append(start[i] + copy * n + j)
+                        if len(body) > 16_384:
+                            yield _numbered(index, body)
+                            body, index = [], []
+                if body:
+                    yield _numbered(index, body)
+                    body, index = [], []
 
     def dealt(batches):
         for b in batches:
             slot = feistel(b.column(0).to_numpy(), total, layout.key)
             yield pa.RecordBatch.from_arrays([pa.array(slot), b.column(1)], names=["slot", "record"])
 
-    out = map_arrow(single, lambda batches: dealt(cut(batches)), "slot bigint, record binary")
     few = several.count()
-    if few:  # rows alike in id and text: one of them is tokenised, and its sequences are dealt out for all copies by many tasks
-        side = F.broadcast(several) if few <= BROADCAST_ROWS else several
-        once = keyed.join(side, key).dropDuplicates(key).select(F.col("doc_id").cast("bigint"), "text", none, "first", "copies")
-
-        def spread(batches):
-            for b in batches:
-                copies = b.column(4).to_pylist()
-                for i in range(b.num_rows):
-                    for got in cut([b.slice(i, 1)]):
-                        n = pa.array([got.num_rows] * got.num_rows, pa.int64()), pa.array([copies[i]] * got.num_rows, pa.int64())
-                        yield pa.RecordBatch.from_arrays([*got.columns, *n], names=["number", "record", "n", "copies"])
-
-        numbered = map_arrow(once, spread, "number bigint, record binary, n bigint, copies bigint")
-        lots = numbered.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1, F.lit(COPIES).cast("bigint"))))
-        lots = lots.where(F.col("copies") <= COPIES).union(lots.where(F.col("copies") > COPIES).repartition("number", "lot")) if several.where(F.col("copies") > COPIES).count() else lots
-        each = lots.withColumn("copy", F.explode(F.sequence("lot", F.least(F.col("lot") + COPIES, F.col("copies")) - 1)))
-        out = out.union(map_arrow(each.select((F.col("number") + F.col("copy") * F.col("n")).alias("number"), "record"), dealt, "slot bigint, record binary"))
-    return out, total
+    if not few:
+        return map_arrow(single.withColumn("copies", F.lit(1)), lambda batches: dealt(cut(batches)), "slot bigint, record binary"), total
+    # rows alike in id and text: one of them is tokenised, and its sequences are dealt out for all copies
+    side = F.broadcast(several) if few <= BROADCAST_ROWS else several
+    once = keyed.join(side, key).dropDuplicates(key).select(F.col("doc_id").cast("bigint"), "text", none, "first", "copies")
+    rows = single.withColumn("copies", F.lit(1).cast("bigint")).union(once.where(F.col("copies") <= COPIES))
+    out = map_arrow(rows, lambda batches: dealt(cut(batches)), "slot bigint, record binary")
+    if several.where(F.col("copies") > COPIES).isEmpty():
+        return out, total
+    lots = once.where(F.col("copies") > COPIES).withColumn("lot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1, F.lit(COPIES).cast("bigint"))))  # by many tasks, each a lot of copies
+    n = scratch.write(counted.join(several.where(F.col("copies") > COPIES).select(*key, "first"), key).groupBy("first").agg(F.min("n").alias("n")), "lengths")
+    each = lots.join(n, "first").select("doc_id", "text", "ids", (F.col("first") + F.col("lot") * F.col("n")).alias("first"), F.least(F.lit(COPIES), F.col("copies") - F.col("lot")).alias("copies"))
+    return out.union(map_arrow(each.repartition("first"), lambda batches: dealt(cut(batches)), "slot bigint, record binary")), total
+
+
+def _numbered(index: list[int], body: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(index, pa.int64()), pa.array(body, pa.binary())], names=["number", "record"])
 
 
 def materialise(docs: DataFrame, path: str, scratch: Scratch, layout: Layout = Layout()) -> DataFrame:
