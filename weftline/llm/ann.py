@@ -210,6 +210,7 @@ def _search(src: DataFrame, asked: DataFrame, scratch: Scratch, k: int, dim: int
 
     found = map_arrow(both, scan, "query_id bigint, own bigint, times bigint, vec_id bigint, score double, copies bigint")
     order = Window.partitionBy("query_id", "own").orderBy(F.desc("score"), "vec_id")  # k rows for each block read
+    found = found.withColumn("row", F.row_number().over(order)).where(F.col("row") <= k)  # a row is a copy at least: each task keeps k rows before the shuffle
     found = found.withColumn("upto", F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     found = found.withColumn("before", F.col("upto") - F.col("copies")).where(F.col("before") < k)
     each = found.withColumn("rank", F.explode(F.sequence(F.col("before") + 1, F.least(F.col("upto"), F.lit(k)))))
