@@ -719,6 +719,45 @@ def test_quality_against_plain_version():
     assert np.allclose(got, want - np.quantile(want, len(bad) / 120), atol=1e-5)
 
 
+def test_quality_learns_from_all_pairs():
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice(["Tree", "house,", "###", "99", "x!"][i % 2 :]) for _ in range(rng.randint(1, 30))) for i in range(150)]
+    y = [int(rng.random() < (0.9 if i % 2 else 0.4)) for i in range(150)]
+    model = quality.train(texts, y, bins=5, steps=30)
+    x, q = quality.features(texts), np.arange(1, 5) / 5
+    good, bad = np.flatnonzero(np.array(y) == 1), np.flatnonzero(np.array(y) == 0)
+    cuts = [np.unique([*np.quantile(c, q), *np.quantile(c[bad], q)]) for c in x.T]
+    assert all(np.array_equal(a, b) for a, b in zip(model.cuts, cuts, strict=True))
+    hot = np.concatenate([np.eye(len(c) + 1)[np.searchsorted(c, v, "right")] for c, v in zip(cuts, x.T, strict=True)], 1)
+    w, m1, m2 = np.zeros((3, hot.shape[1]))
+    for t in range(1, 31):
+        s = hot @ w
+        e = -1 / (1 + np.exp(s[good][:, None] - s[bad]))
+        g = (e.sum(1) @ hot[good] - e.sum(0) @ hot[bad]) / e.size + 1e-4 * w
+        m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
+        w = w - 0.05 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
+    assert np.allclose(model.scores(x) - model.shift, hot @ w - np.quantile(hot @ w, len(bad) / 150), atol=1e-5)
+
+
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    """More rows than any bound of a sample, one of them very long, an id twice, labels of neither kind; as a block and as Spark jobs."""
+    rng = random.Random(14)
+    texts = [" ".join(rng.choice(["Tree", "house,", "###", "99", "x!"][i % 3 :]) for _ in range(rng.randint(1, 12))) for i in range(6500)]
+    texts[17], ids = "word 9 " * 3_600_000, [*range(6499), 5]
+    y = [None if i == 4 else 2 if i % 50 == 7 else int(i % 3 == 0 or i % 7 == 0) for i in range(6499)]
+    lab = spark.createDataFrame([*enumerate(y), (None, 1), (9, 0)], "doc_id bigint, quality int")
+    docs = frame(spark, texts, ids).repartition(3)
+    rows = [(t, y[i]) for t, i in zip(texts, ids, strict=True) if y[i] is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    want, x = quality.train([t for t, _ in rows], [v for _, v in rows], bins=8, steps=4), quality.features(texts[:500])
+    for most in (quality.LOCAL_ROWS, 0):
+        monkeypatch.setattr(quality, "LOCAL_ROWS", most)
+        got = quality.fit(docs, lab, bins=8, steps=4)
+        assert all(np.array_equal(a, b) for a, b in zip(got.cuts, want.cuts, strict=True))
+        assert np.allclose(got.scores(x) - got.shift, want.scores(x) - want.shift, atol=1e-5)
+    one = quality.fit(docs, lab.where("quality = 1"), bins=8)
+    assert not one.cuts and one.shift < -10
+
+
 def test_sample_skips_what_does_not_fit(spark):
     from weftline.llm.common import labelled_sample
 
