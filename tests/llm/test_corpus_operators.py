@@ -567,6 +567,23 @@ def test_token_ids_are_those_of_the_whole_text():
         assert [i for part, _ in tokenorder._parts(t, 7) for i in enc.encode_ordinary(part)] == enc.encode_ordinary(t)
 
 
+def test_token_ids_around_white_space():
+    """The simple pattern, on texts cut at their runs of white space, against the vocabulary's own; no part has a run left that would need the look-ahead."""
+    enc = tokenorder.encoder(tokenorder.VOCABULARY)
+    rng = random.Random(5)
+    spaces = [c for c in map(chr, range(0x3001)) if len(re.sub(r"\s", "", c)) == 0]
+    some = ["a", "Zé", "9", "\u0660", "!", ".", "'s", "'ll", "'", "漢", "e\u0301", "😀", "\0none\0", "\x1c", "\u180e", "\u200b", "\ufeff"]
+    texts = ["".join(rng.choice(spaces if rng.random() < 0.5 else some) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts += [f"x{a}{b}y{a}" for a in spaces for b in spaces] + ["\0none\0", " \0none\0 "]
+    runs = tokenorder._with_runs(pa.array([*texts, None]))
+    assert runs.pop() is None and 500 < sum(runs) < len(texts)
+    for t, run in zip(texts, runs, strict=True):
+        want = [*enc.encode_ordinary(t), enc.n_vocab]
+        assert tokenorder.tokens(t).tolist() == want and tokenorder.n_tokens(t, runs=run) == len(want)
+        assert np.frombuffer(tokenorder._packed(t, tokenorder.VOCABULARY, run), "<u2").tolist() == want
+        assert all(single or not tokenorder._RUN.search(part) for part, single in tokenorder._parts(t, runs=run))
+
+
 def test_shard_numbers_of_any_width():
     assert [tokenorder.shard_number(f"file:/x/part-{n}-7a.txt") for n in ("00012", "123456", "1234567")] == [12, 123_456, 1_234_567]
 

@@ -20,13 +20,13 @@ from __future__ import annotations
 
 import re
 import struct
-import sys
 import zlib
 from array import array
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,34 +55,48 @@ class Layout:
         return HEADER + 2 * self.length + 2
 
 
-_ENCODERS: dict[str, object] = {}
+_ENCODERS: dict[object, object] = {}
+
+
+def _ranks(path: str) -> dict[bytes, int]:
+    import base64
+
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
 def encoder(path: str):
     if path not in _ENCODERS:
-        import base64
-
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODERS[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _ENCODERS[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=_ranks(path), special_tokens={})
     return _ENCODERS[path]
 
 
-_LONG_SPACE = re.compile(r"[ \t\n\r]{20000,}")  # the splitting pattern's engine gives up on much longer runs
+# The pattern for texts without two white-space characters in a row: without the look-ahead, which then decides nothing, the engine needs no backtracking.
+_SIMPLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
+_SPACES = ("\t\n\v\f\r \x85\xa0\u1680", "\u2000-\u200a", "\u2028\u2029\u202f\u205f\u3000")  # the pattern's \s
+_RUN = re.compile(f"[{''.join(_SPACES)}]{{2,}}")
 _WORD_END = re.compile(r"(?<=[0-9A-Za-z])(?=[ \n])")
 
 
-def _parts(text: str, most: int = 1 << 20):
-    """(part, whether it is one piece): texts whose ids, one after the other, are those of the whole.
+def _splitter(path: str):
+    """The vocabulary with the simple pattern. Its one special token is never allowed, so it is ordinary text; without any, ids can't be had as a buffer."""
+    if ("simple", path) not in _ENCODERS:
+        import tiktoken
+
+        _ENCODERS["simple", path] = tiktoken.Encoding("simple", pat_str=_SIMPLE, mergeable_ranks=_ranks(path), special_tokens={"\0none\0": 0})
+    return _ENCODERS["simple", path]
+
+
+def _parts(text: str, most: int = 1 << 20, runs: bool = True):
+    """(part, whether it is one piece): texts whose ids, one after the other, are those of the whole; none but the single pieces has two white-space characters in a row.
 
-    The splitting pattern never joins a word with the space after it, so a text may be cut there. Of a long run of white space before a word, the pattern
-    makes one piece of all but the last character; at the end of the text, of all.
+    The splitting pattern never joins a word with the space after it, so a text may be cut there. Of a run of white space before a word, the pattern
+    makes one piece of all but the last character; at the end of the text, of all. runs: False where it is known that there are none.
     """
     at = 0
-    alone = [m for m in _LONG_SPACE.finditer(text) if not text[m.start() - 1 : m.start()].isspace() and not text[m.end() : m.end() + 1].isspace()]
-    for run in [*alone, None]:
+    for run in [*(_RUN.finditer(text) if runs else ()), None]:
         stop = run.start() if run else len(text)
         while at < stop:
             cut = _WORD_END.search(text, at + most, stop) if stop - at > most else None
@@ -94,19 +108,30 @@ def _parts(text: str, most: int = 1 << 20):
             yield text[run.start() : at], True
 
 
+def _ids(text: str | None, path: str, runs: bool = True) -> list[np.ndarray]:
+    """Ids of a text, part by part, without the end id."""
+    enc = _splitter(path)
+    return [np.asarray(enc._encode_single_piece(part), np.uint32) if single else enc.encode_to_numpy(part, disallowed_special=()) for part, single in _parts(text or "", runs=runs)]
+
+
 def tokens(text: str | None, path: str = VOCABULARY) -> array:
     """Ids of a text, with the end id (the vocabulary's size) after them."""
-    enc, out = encoder(path), array("H")
-    for part, single in _parts(text or ""):
-        out.extend(array("H", enc._encode_single_piece(part) if single else enc.encode_ordinary(part)))  # an array of a list is made faster than extended by one
-    out.append(enc.n_vocab)
-    return out
+    return array("H", np.frombuffer(_packed(text, path), "<u2").astype(np.uint16).tobytes())
 
 
-def n_tokens(text: str | None, path: str = VOCABULARY) -> int:
+def n_tokens(text: str | None, path: str = VOCABULARY, runs: bool = True) -> int:
     """How many ids tokens() gives."""
-    enc = encoder(path)
-    return 1 + sum(len(enc._encode_single_piece(part) if single else enc.encode_ordinary(part)) for part, single in _parts(text or ""))
+    return 1 + sum(len(ids) for ids in _ids(text, path, runs))
+
+
+def _packed(text: str | None, path: str, runs: bool = True) -> bytes:
+    """The ids of a text and the end id, 2 bytes each, little-endian."""
+    return b"".join([*(ids.astype("<u2").tobytes() for ids in _ids(text, path, runs)), _splitter(path).n_vocab.to_bytes(2, "little")])
+
+
+def _with_runs(texts: pa.Array) -> list[bool | None]:
+    """Which texts have two white-space characters in a row."""
+    return pc.match_substring_regex(texts, f"[{''.join(_SPACES)}]{{2}}").to_pylist()
 
 
 def feistel(index: np.ndarray, n: int, key: int, invert: bool = False) -> np.ndarray:
@@ -128,27 +153,19 @@ def feistel(index: np.ndarray, n: int, key: int, invert: bool = False) -> np.nda
     return x.astype(np.int64)
 
 
-def _packed(text: str | None, path: str) -> bytes:
-    """The ids of a text, 2 bytes each, little-endian."""
-    ids = tokens(text, path)
-    if sys.byteorder == "big":
-        ids.byteswap()
-    return ids.tobytes()
-
-
 def _count(layout: Layout):
     def run(batches):
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)
                 n, kept = [], []
-                for text, keep in zip(b.column(3), b.column(4).to_pylist(), strict=True):
+                for text, keep, runs in zip(b.column(3), b.column(4).to_pylist(), _with_runs(b.column(3)), strict=True):
                     if keep:
-                        kept.append(_packed(text.as_py(), layout.vocabulary))
+                        kept.append(_packed(text.as_py(), layout.vocabulary, runs))
                         n.append(-(-len(kept[-1]) // (2 * layout.length)))
                     else:
                         kept.append(None)
-                        n.append(-(-n_tokens(text.as_py(), layout.vocabulary) // layout.length))
+                        n.append(-(-n_tokens(text.as_py(), layout.vocabulary, runs) // layout.length))
                 yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int64()), pa.array(kept, pa.binary())], names=["k", "i", "doc_id", "n", "ids"])
 
     return run
@@ -208,8 +225,8 @@ def sequences(docs: DataFrame, layout: Layout, scratch: Scratch) -> tuple[DataFr
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)
                 ids, start, copies = (b.column(i).to_pylist() for i in (0, 3, 4))
-                for i, (text, stored) in enumerate(zip(b.column(1), b.column(2), strict=True)):
-                    raw = stored.as_py() or _packed(text.as_py(), layout.vocabulary)
+                for i, (text, stored, runs) in enumerate(zip(b.column(1), b.column(2), _with_runs(b.column(1)), strict=True)):
+                    raw = stored.as_py() or _packed(text.as_py(), layout.vocabulary, runs)
                     length = len(raw) // 2
                     n = -(-length // layout.length)
                     for j in range(n):
